@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import (BINARY_COLS, CATEGORICAL_FEATURES, ID_COL, INTERNET_SERVICE_COLS,
                          NO_INTERNET, TARGET)
 from ..functions import cleaning as C
+from .common import scalar_stats
 
 CLEAN_ORDER = ["gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "PhoneService",
                "MultipleLines", "InternetService", "OnlineSecurity", "OnlineBackup",
@@ -239,8 +240,8 @@ def minmax_scale(df: DataFrame, cols: list[str], suffix: str = "_mm", stats_from
     src = stats_from if stats_from is not None else df
     out = {}
     for c in cols:
-        lo = src.agg(F.min(F.col(c).cast("double"))).scalar()
-        hi = src.agg(F.max(F.col(c).cast("double"))).scalar()
+        st = scalar_stats(src, lo=F.min(F.col(c).cast("double")), hi=F.max(F.col(c).cast("double")))
+        lo, hi = st["lo"], st["hi"]
         rng = F.when(hi - lo == 0, F.lit(1.0)).otherwise(hi - lo)
         out[c + suffix] = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) - lo) / rng))
     return df.withColumns(out)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (CATEGORICAL_FEATURES, HIST_BINS, NUMERIC_FEATURES, SERVICE_COLS, TARGET)
 from ..functions.bands import cohort_tenure_band, eda_tenure_band
+from .common import scalar_stats
 
 
 def rate_pct(col: str = TARGET) -> Column:
@@ -227,8 +228,8 @@ def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 def histogram(df: DataFrame, col: str, bins: int = HIST_BINS, by: str = TARGET) -> DataFrame:
     """Equal-width bins over [min, max] (last edge closed), counted per class."""
     x = F.col(col).cast("double")
-    lo = df.agg(F.min(x)).scalar()
-    hi = df.agg(F.max(x)).scalar()
+    st = scalar_stats(df, lo=F.min(x), hi=F.max(x))
+    lo, hi = st["lo"], st["hi"]
     b = _bin(x, lo, hi, bins)
     out = df.groupBy(by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return out.select(by, "bin",
@@ -267,7 +268,8 @@ def scatter_bins(df: DataFrame, x: str = "tenure", y: str = "MonthlyCharges", bi
     """2-D binned point counts (the scalable form of a scatter plot)."""
     def edges(c):
         v = F.col(c).cast("double")
-        return v, df.agg(F.min(v)).scalar(), df.agg(F.max(v)).scalar()
+        st = scalar_stats(df, lo=F.min(v), hi=F.max(v))
+        return v, st["lo"], st["hi"]
     xv, xlo, xhi = edges(x)
     yv, ylo, yhi = edges(y)
     return df.groupBy(by, _bin(xv, xlo, xhi, bins).alias("x_bin"), _bin(yv, ylo, yhi, bins).alias("y_bin")) \
