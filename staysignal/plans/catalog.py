@@ -20,5 +20,5 @@ def query(name: str):
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # importing the modules registers their plans
-    from . import q_clean, q_ml, q_profile, q_sample, q_value  # noqa: F401
+    from . import q_clean, q_profile, q_sample, q_value, q_ml, q_io  # noqa: F401
     return dict(QUERIES)

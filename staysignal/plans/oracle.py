@@ -12,5 +12,5 @@ def oracle(name: str, sql: str) -> None:
 
 
 def all_oracles() -> dict[str, str]:
-    from . import q_clean, q_profile, q_sample, q_value  # noqa: F401
+    from . import q_clean, q_profile, q_sample, q_value, q_io  # noqa: F401
     return dict(ORACLE)
