@@ -165,3 +165,38 @@ def q_silhouette_sweep(spark, sf):
 def q_pca_2d(spark, sf):
     out, var = CL.pca_2d(CL.kmeans(cust(spark, sf), k=4))
     return out.withColumns({"var_pc1": F.lit(var[0]), "var_pc2": F.lit(var[1])})
+
+
+# --- resampling, semi-supervised labels and model attributions --------------------
+
+@query("smote")
+def q_smote(spark, sf):
+    from ..operators.oversample import smote
+    train, test = train_test(spark, sf)
+    tr, _, _, _ = M.prepare(train, test, weights=False)
+    arr = tr.select("cust_key", TARGET, M.vector_to_array(F.col("features")).alias("x"))
+    out = smote(arr, "cust_key", "x", TARGET, ratio=0.8, k=5)
+    return out.select("cust_key", TARGET, "synthetic", F.size("x").alias("n_features"))
+
+
+@query("label_propagation")
+def q_label_propagation(spark, sf):
+    from ..operators.semi import label_propagation
+    c = cust(spark, sf).withColumn("cust_key", F.substring(F.col(ID_COL), 2, 20).cast("bigint"))
+    masked = R.mask_labels(c, "cust_key")
+    feats = CL._assembled(masked)
+    arr = feats.select("cust_key", TARGET, "masked_label", M.vector_to_array(F.col("features")).alias("x"))
+    out = label_propagation(arr, "cust_key", "x", "masked_label", k=7)
+    return out.join(arr.select("cust_key", TARGET), "cust_key")
+
+
+@query("shap_tree")
+def q_shap_tree(spark, sf):
+    from ..operators.explain import permutation_shapley
+    train, test = train_test(spark, sf)
+    tr, te, levels, _ = M.prepare(train, test)
+    model = M.estimators()["random_forest"].fit(tr)
+    names = M.feature_names(levels)
+    mean = tr.select(M.vector_to_array(F.col("features")).alias("x")) \
+             .select(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(names))]).first()
+    return permutation_shapley(model, te, ID_COL, [float(v) for v in mean], names, permutations=8)
