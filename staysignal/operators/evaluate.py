@@ -184,20 +184,24 @@ def partial_dependence(df: DataFrame, feature: str, points: int = PDP_GRID_POINT
 def linear_contributions(df: DataFrame, id_col: str = "customerID", top: int | None = None) -> DataFrame:
     """Per-row additive attributions of the linear scorecard on the margin
     scale: w_j * (x_j - mean(x_j)); base = margin at the means.  Long format,
-    ranked by |contribution| within the row."""
+    ranked by |contribution| within the row (sorted inside the row, then
+    ``posexplode``: no shuffle, no window)."""
     terms = scorecard.TERMS
     means = scalar_stats(df, **{f"m{i}": F.avg(scorecard.term_value(t)) for i, (t, _) in enumerate(terms)})
     base = F.lit(scorecard.INTERCEPT)
     for i, (t, w) in enumerate(terms):
         base = base + F.lit(w) * means[f"m{i}"]
-    structs = [F.struct(F.lit(t).alias("feature"),
-                        (F.lit(w) * (scorecard.term_value(t) - means[f"m{i}"])).alias("contribution"))
-               for i, (t, w) in enumerate(terms)]
-    ex = df.select(id_col, F.round(base, 6).alias("base_margin"), F.explode(F.array(*structs)).alias("c"))
-    ex = ex.select(id_col, "base_margin", "c.feature", F.col("c.contribution").alias("contribution"))
-    w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("contribution")), F.asc("feature"))
-    ex = ex.withColumn("rank", F.row_number().over(w)).withColumn("contribution", F.round("contribution", 6))
-    return ex.filter(F.col("rank") <= top) if top else ex
+    structs = []
+    for i, (t, w) in enumerate(terms):
+        c = F.lit(w) * (scorecard.term_value(t) - means[f"m{i}"])
+        structs.append(F.struct((-F.abs(c)).alias("neg_abs"), F.lit(t).alias("feature"), c.alias("contribution")))
+    arr = F.sort_array(F.array(*structs))
+    if top:
+        arr = F.slice(arr, 1, top)
+    ex = df.select(id_col, F.round(base, 6).alias("base_margin"), F.posexplode(arr).alias("pos", "c"))
+    return ex.select(id_col, "base_margin", F.col("c.feature").alias("feature"),
+                     F.round(F.col("c.contribution"), 6).alias("contribution"),
+                     (F.col("pos") + 1).cast("int").alias("rank"))
 
 
 def shap_dependence(df: DataFrame, feature: str, id_col: str = "customerID") -> DataFrame:

@@ -109,18 +109,36 @@ def explode_actions(df: DataFrame) -> DataFrame:
                             **{f"new_{c}": F.col(f"__act.{c}") for c in _CHANGED}}).drop("__act")
 
 
+def _ranked_actions(df: DataFrame) -> Column:
+    """Per customer: the applicable actions as an array of structs, already
+    scored and sorted by (delta desc, action_id) -- built and sorted inside
+    the row, so ranking needs neither a shuffle nor a window."""
+    elig, over = A.eligibility(), A.overrides()
+    meta = {a[0]: a for a in ACTIONS}
+    base_p = scorecard.probability()
+    structs = []
+    for aid, cond in elig.items():
+        new_p = scorecard.probability(over[aid])
+        delta = round_half_up(base_p - new_p, 4)
+        structs.append(F.when(F.coalesce(cond, F.lit(False)), F.struct(
+            (-delta).alias("neg_delta"), F.lit(aid).alias("action_id"), F.lit(meta[aid][1]).alias("title"),
+            F.lit(meta[aid][3]).alias("category"), base_p.alias("baseline_prob"), new_p.alias("new_prob"),
+            delta.alias("delta"))))
+    return F.sort_array(F.filter(F.array(*structs), lambda x: x.isNotNull()))
+
+
 def recommend(df: DataFrame, k: int | None = None) -> DataFrame:
     """Baseline vs post-action probability per (customer, action), ranked by
     the reduction (ties -> action id).  Scored by the fixed scorecard."""
-    base = df.withColumn("baseline_prob", scorecard.probability())
-    ex = explode_actions(base)
-    new_p = scorecard.probability({c: F.col(f"new_{c}") for c in _CHANGED})
-    ex = ex.withColumn("new_prob", new_p)
-    ex = ex.withColumns({"delta": round_half_up(F.col("baseline_prob") - F.col("new_prob"), 4)})
-    ex = ex.withColumn("delta_pct", round_half_up(F.col("delta") * 100.0, 2))
-    w = Window.partitionBy(ID_COL).orderBy(F.desc("delta"), F.asc("action_id"))
-    ex = ex.withColumn("rank", F.row_number().over(w))
-    return ex.filter(F.col("rank") <= k) if k else ex
+    arr = _ranked_actions(df)
+    if k:
+        arr = F.slice(arr, 1, k)
+    ex = df.select("*", F.posexplode(arr).alias("__pos", "__a"))
+    return (ex.withColumns({
+        "action_id": F.col("__a.action_id"), "title": F.col("__a.title"), "category": F.col("__a.category"),
+        "baseline_prob": F.col("__a.baseline_prob"), "new_prob": F.col("__a.new_prob"),
+        "delta": F.col("__a.delta"), "delta_pct": round_half_up(F.col("__a.delta") * 100.0, 2),
+        "rank": (F.col("__pos") + 1).cast("int")}).drop("__pos", "__a"))
 
 
 def action_cost(category: Column) -> Column:
@@ -134,10 +152,22 @@ def recommend_roi(df: DataFrame, k: int = TOP_ACTIONS) -> DataFrame:
     return rec.withColumns(cols)
 
 
-def best_roi_action(df: DataFrame) -> DataFrame:
-    roi = recommend_roi(df)
-    w = Window.partitionBy(ID_COL).orderBy(F.desc("roi_pct"), F.asc("rank"))
-    return roi.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r")
+def best_roi_action(df: DataFrame, k: int = TOP_ACTIONS) -> DataFrame:
+    """Per customer the top-k action with the highest ROI % (ties -> better
+    rank), chosen inside the row: no shuffle."""
+    arr = F.slice(_ranked_actions(df), 1, k)
+    m, t, c = F.col("MonthlyCharges"), F.col("tenure"), F.col("Contract")
+    with_roi = F.transform(arr, lambda a, i: F.struct(
+        (-roi_columns(a["baseline_prob"], a["new_prob"], m, t, c, action_cost(a["category"]))["roi_pct"])
+        .alias("neg_roi"), (i + 1).alias("rank"), a.alias("a")))
+    best = F.get(F.sort_array(with_roi), 0)  # NULL when no action applies
+    out = df.withColumn("__b", best).filter(F.col("__b").isNotNull())
+    out = out.withColumns({"action_id": F.col("__b.a.action_id"), "title": F.col("__b.a.title"),
+                           "category": F.col("__b.a.category"), "baseline_prob": F.col("__b.a.baseline_prob"),
+                           "new_prob": F.col("__b.a.new_prob"), "delta": F.col("__b.a.delta"),
+                           "rank": F.col("__b.rank").cast("int")}).drop("__b")
+    cols = roi_columns(F.col("baseline_prob"), F.col("new_prob"), m, t, c, action_cost(F.col("category")))
+    return out.withColumns(cols)
 
 
 def breakeven_curve(best: DataFrame, max_months: int = BREAKEVEN_MAX_MONTHS) -> DataFrame:
