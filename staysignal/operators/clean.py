@@ -125,7 +125,12 @@ def clean(df: DataFrame, keep_id: bool = False, strict: bool = False) -> DataFra
     ordered = ([ID_COL] if keep_id and ID_COL in out.columns else []) + \
               [c for c in CLEAN_ORDER if c in out.columns] + \
               [c for c in out.columns if c not in CLEAN_ORDER and c != ID_COL]
-    return out.select(*ordered).dropna(how="any")
+    out = out.select(*ordered)
+    # Only columns Spark still marks nullable can hold NULL here (filled flags
+    # and services are coalesced); checking just those is the same filter but
+    # lets column pruning drop unused raw columns from the scan.
+    nullable = [f.name for f in out.schema.fields if f.nullable]
+    return out.dropna(how="any", subset=nullable) if nullable else out
 
 
 def preprocess_score_input(df: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def p1(col: str = "probability"):
     return vector_to_array(F.col(col))[1]
 
 
-def prepare(train: DataFrame, test: DataFrame, weights: bool = True):
+def prepare(train: DataFrame, test: DataFrame, weights: bool = True, rows_per_partition: int = 1_000_000):
     """Encode + assemble both sides with statistics learnt on ``train``."""
     from .resample import with_class_weight
     levels = category_levels(train, CATEGORICAL_FEATURES)
@@ -78,9 +78,14 @@ def prepare(train: DataFrame, test: DataFrame, weights: bool = True):
     if weights:
         tr = with_class_weight(tr, TARGET)
     pre = preprocessor(levels).fit(tr)
-    # iterative learners rescan their input many times: keep the assembled
-    # frames (memory, spilling to disk) instead of replaying the lineage
-    return pre.transform(tr).persist(), pre.transform(te).persist(), levels, pre
+    # Iterative learners rescan their input many times: keep the assembled
+    # frames (memory, spilling to disk) instead of replaying the lineage, in a
+    # partition count proportional to the row count so tiny inputs do not pay
+    # per-task overhead on every boosting round while large ones stay spread.
+    tr_out = pre.transform(tr)
+    n = tr_out.count()
+    parts = max(1, min(tr_out.rdd.getNumPartitions(), -(-n // rows_per_partition)))
+    return tr_out.coalesce(parts).persist(), pre.transform(te).persist(), levels, pre
 
 
 def fit_predict(name: str, est, tr: DataFrame, te: DataFrame):

@@ -44,3 +44,27 @@ def test_stream_equals_batch(spark):
     a = sorted(map(tuple, q["score_stream"](spark, SF).collect()))
     b = sorted(map(tuple, q["score_batch"](spark, SF).collect()))
     assert a == b
+
+
+def test_sinks_round_trip(spark):
+    from staysignal.session import shared_path
+    from staysignal.sources import sinks as SK
+    lb = spark.createDataFrame([("lr", 0.8, 0.85), ("rf", 0.79, 0.83)], "name string, accuracy double, roc_auc double")
+    path = shared_path(spark, "metrics-test")
+    SK.sink_csv(lb, path)
+    back = spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, lb.collect()))
+    SK.write_json_sidecar(spark, path + "-meta", {"cat_cols": ["a"], "num_cols": ["b"]})
+    assert SK.read_json_sidecar(spark, path + "-meta") == {"cat_cols": ["a"], "num_cols": ["b"]}
+
+
+def test_csv_round_trip_keeps_dirt(spark):
+    from staysignal.session import shared_path
+    df = spark.createDataFrame([("C1", " Yes", " ", None)], "customerID string, Partner string, TotalCharges string, "
+                                                            "Dependents string")
+    path = shared_path(spark, "csv-dirt")
+    FS.write_csv(df, path)
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in df.columns])
+    back = FS.scan_csv(spark, path, schema=schema).first()
+    assert back.Partner == " Yes" and back.TotalCharges == " " and back.Dependents is None
