@@ -146,31 +146,27 @@ def preprocess_score_input(df: DataFrame) -> DataFrame:
 # Imputation: statistics learnt on one frame (train), applied to another.
 # --------------------------------------------------------------------------
 
-def _stat(df: DataFrame, agg: Column) -> Column:
-    """One aggregate of ``df`` as a scalar subquery usable in another plan."""
-    return df.agg(agg).scalar()
-
-
 def impute(train: DataFrame, target: DataFrame, cols: list[str], strategy: str) -> DataFrame:
-    """Fill NULLs of ``cols`` in ``target`` using ``train`` statistics.
+    """Fill NULLs of ``cols`` in ``target`` using ``train`` statistics (all
+    columns' statistics in one scalar subquery).
 
     strategy: mean | median | mode | zero.  Median is the exact (interpolated)
     percentile; mode breaks ties by the smallest value.
     """
+    if strategy == "zero":
+        return target.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(target.schema[c].dataType))
+                                   for c in cols})
+    aggs = {"mean": lambda c: F.avg(c), "median": lambda c: F.percentile(F.col(c), 0.5),
+            "mode": lambda c: F.mode(c, deterministic=True)}
+    if strategy not in aggs:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    st = scalar_stats(train, **{f"v{i}": aggs[strategy](c) for i, c in enumerate(cols)})
     fills = {}
-    for c in cols:
-        if strategy == "zero":
-            stat = F.lit(0)
-        elif strategy == "mean":
-            stat = _stat(train, F.avg(c))
-        elif strategy == "median":
-            stat = _stat(train, F.percentile(F.col(c), 0.5))
-        elif strategy == "mode":
-            stat = _stat(train, F.mode(c, deterministic=True))
+    for i, c in enumerate(cols):
+        if strategy == "mean":
+            fills[c] = F.coalesce(F.col(c).cast("double"), st[f"v{i}"])
         else:
-            raise ValueError(f"unknown strategy {strategy!r}")
-        fills[c] = F.coalesce(F.col(c), stat.cast(target.schema[c].dataType)) \
-            if strategy != "mean" else F.coalesce(F.col(c).cast("double"), stat)
+            fills[c] = F.coalesce(F.col(c), st[f"v{i}"].cast(target.schema[c].dataType))
     return target.withColumns(fills)
 
 
@@ -229,24 +225,26 @@ def align_columns(df: DataFrame, columns: list[str], fill=0) -> DataFrame:
 
 def standardize(train: DataFrame, target: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame:
     """z-score with population std (matches sklearn), statistics from
-    ``train``; zero std leaves the centred value."""
-    stats = train.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols])
+    ``train`` in ONE scalar subquery; zero std leaves the centred value."""
+    st = scalar_stats(train, **{f"m{i}": F.avg(c) for i, c in enumerate(cols)},
+                      **{f"s{i}": F.stddev_pop(c) for i, c in enumerate(cols)})
     out = {}
-    for c in cols:
-        s = stats.select(F.col(c)).scalar()
-        sd = s.getField("s")
-        out[c + suffix] = (F.col(c) - s.getField("m")) / F.when(sd > 0, sd).otherwise(F.lit(1.0))
+    for i, c in enumerate(cols):
+        sd = st[f"s{i}"]
+        out[c + suffix] = (F.col(c) - st[f"m{i}"]) / F.when(sd > 0, sd).otherwise(F.lit(1.0))
     return target.withColumns(out)
 
 
 def minmax_scale(df: DataFrame, cols: list[str], suffix: str = "_mm", stats_from: DataFrame | None = None) -> DataFrame:
     """(x - min) / range clipped to [0, 1]; a zero range divides by 1.
-    Min/max come from ``stats_from`` (default: ``df``) as scalar subqueries."""
+    Min/max of every column come from ``stats_from`` (default ``df``) in one
+    scalar subquery."""
     src = stats_from if stats_from is not None else df
+    st = scalar_stats(src, **{f"lo{i}": F.min(F.col(c).cast("double")) for i, c in enumerate(cols)},
+                      **{f"hi{i}": F.max(F.col(c).cast("double")) for i, c in enumerate(cols)})
     out = {}
-    for c in cols:
-        st = scalar_stats(src, lo=F.min(F.col(c).cast("double")), hi=F.max(F.col(c).cast("double")))
-        lo, hi = st["lo"], st["hi"]
+    for i, c in enumerate(cols):
+        lo, hi = st[f"lo{i}"], st[f"hi{i}"]
         rng = F.when(hi - lo == 0, F.lit(1.0)).otherwise(hi - lo)
         out[c + suffix] = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) - lo) / rng))
     return df.withColumns(out)

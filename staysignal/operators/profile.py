@@ -267,11 +267,8 @@ def feature_distributions(df: DataFrame, cols=NUMERIC_FEATURES, bins: int = HIST
 def scatter_bins(df: DataFrame, x: str = "tenure", y: str = "MonthlyCharges", bins: int = 20,
                  by: str = TARGET) -> DataFrame:
     """2-D binned point counts (the scalable form of a scatter plot)."""
-    def edges(c):
-        v = F.col(c).cast("double")
-        st = scalar_stats(df, lo=F.min(v), hi=F.max(v))
-        return v, st["lo"], st["hi"]
-    xv, xlo, xhi = edges(x)
-    yv, ylo, yhi = edges(y)
+    xv, yv = F.col(x).cast("double"), F.col(y).cast("double")
+    st = scalar_stats(df, xlo=F.min(xv), xhi=F.max(xv), ylo=F.min(yv), yhi=F.max(yv))
+    xlo, xhi, ylo, yhi = st["xlo"], st["xhi"], st["ylo"], st["yhi"]
     return df.groupBy(by, _bin(xv, xlo, xhi, bins).alias("x_bin"), _bin(yv, ylo, yhi, bins).alias("y_bin")) \
              .agg(F.count(F.lit(1)).alias("n"))

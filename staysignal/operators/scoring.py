@@ -215,16 +215,21 @@ def customer_x_scenario(df: DataFrame, scenario: dict | None = None) -> DataFram
 # --- profile vs average -------------------------------------------------------
 
 def profile_vs_average(df: DataFrame, feats=("tenure", "MonthlyCharges", "TotalCharges")) -> DataFrame:
-    """Customer, average churner and average stayer on a min-max scale."""
+    """Customer, average churner and average stayer on a min-max scale (all
+    statistics in one scalar subquery)."""
+    aggs = {}
+    for i, f in enumerate(feats):
+        x = F.col(f).cast("double")
+        aggs.update({f"lo{i}": F.min(x), f"hi{i}": F.max(x), f"ch{i}": F.avg(F.when(F.col("Churn") == 1, x)),
+                     f"st{i}": F.avg(F.when(F.col("Churn") == 0, x))})
+    s = scalar_stats(df, **aggs)
     rows = []
-    for f in feats:
+    for i, f in enumerate(feats):
         x = F.col(f).cast("double")
-        s = scalar_stats(df, lo=F.min(x), hi=F.max(x), ch=F.avg(F.when(F.col("Churn") == 1, x)),
-                         st=F.avg(F.when(F.col("Churn") == 0, x)))
-        lo, hi, ch, st = s["lo"], s["hi"], s["ch"], s["st"]
+        lo, hi, ch, st = s[f"lo{i}"], s[f"hi{i}"], s[f"ch{i}"], s[f"st{i}"]
         rng = F.when(hi - lo == 0, F.lit(1.0)).otherwise(hi - lo)
 
-        def norm(v):
+        def norm(v, lo=lo, rng=rng):
             return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - lo) / rng)), 6)
         rows.append(F.struct(F.lit(f).alias("feature"), norm(x).alias("customer_norm"),
                              norm(ch).alias("churner_norm"), norm(st).alias("stayer_norm")))
