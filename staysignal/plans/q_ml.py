@@ -39,7 +39,7 @@ def q_ml_preprocess(spark, sf):
 
 
 _MEMO: dict[tuple, str] = {}
-_MEMO_LOCK = threading.Lock()
+_MEMO_LOCK = threading.RLock()  # re-entrant: a memoised build may use other memoised results
 
 
 def _memo_table(spark, sf, name, build):

@@ -45,3 +45,21 @@ def test_kmeans_labels_and_silhouette(spark):
     assert labels <= {f"Cluster {i}" for i in range(1, 5)} and len(labels) >= 2
     sw = q["silhouette_sweep"](spark, SF).collect()
     assert [r.k for r in sw] == [2, 3, 4, 5, 6, 7] and sum(r.is_best for r in sw) == 1
+
+
+def test_memo_is_reentrant_and_builds_once(spark):
+    from staysignal.plans import q_ml
+    calls = []
+
+    def inner():
+        calls.append("inner")
+        return spark.createDataFrame([(1,)], "x int")
+
+    def outer():
+        calls.append("outer")
+        v = q_ml._memo_table(spark, "/memo-test", "inner", inner).first().x
+        return spark.createDataFrame([(v + 1,)], "x int")
+
+    assert q_ml._memo_table(spark, "/memo-test", "outer", outer).first().x == 2
+    assert q_ml._memo_table(spark, "/memo-test", "outer", outer).first().x == 2
+    assert calls == ["outer", "inner"]
