@@ -1,13 +1,24 @@
-"""Approximate k-nearest neighbours with bounded work per row.
-
-Rows are ordered along a few seeded random projections; each ordering is cut
-into consecutive blocks of ``block_size`` rows (twice, the second cut shifted
-by half a block so block edges do not hide neighbours).  Candidate pairs are
-formed only inside a block, distances are computed for those, and the k
-closest candidates per row are kept.  Work is O(n * block_size * cuts): no
-group of unbounded size is ever paired with itself, and the position of a
-row in an ordering is its exact rank, computed with the bucketed-offset
-method of ``resample.stratified_rank`` (no global window over raw rows).
+"""Exact k-nearest neighbours without pairing any group with itself.
+
+Neighbours are *distinct* feature vectors: rows are first grouped by their
+vector (a partial aggregate, so a vector carried by a third of all rows
+costs one row per task), each vector is named by the smallest id carrying
+it, and a row's neighbours are the k nearest other vectors, ties broken by
+that id.  The search then runs in two passes over the distinct vectors:
+
+1. **Bound.**  Vectors are ordered along seeded random projections and each
+   ordering is cut into consecutive blocks of ``block_size`` rows (twice,
+   the second cut shifted by half a block).  Distances inside the blocks
+   give every vector an upper bound ``r`` on its k-th neighbour distance.
+   The position of a vector in an ordering is its exact rank, computed with
+   bucketed offsets (no global window over raw rows).
+2. **Exact pass.**  A projection onto a unit vector never lengthens a
+   distance, so every true neighbour lies inside the box ``+-r`` around the
+   vector on the first two projections.  Vectors are stored in a 2-D grid of
+   those projections (cell side = the median bound) and each vector probes
+   all cells its box touches: an equi-join on the cell, filtered by the box
+   and by ``dist2 <= r^2``, then ranked.  The candidate set is not capped:
+   it is every vector inside the box, so the result equals brute force.
 """
 
 from __future__ import annotations
@@ -16,6 +27,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Grid cells per projection axis are at most this many (cell ids stay small
+# and a vector with an unbounded radius probes a bounded number of cells).
+MAX_CELLS_PER_AXIS = 1024
+
 
 def dot(vec: Column, weights: list[float]) -> Column:
     prods = F.zip_with(vec, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b)
@@ -44,25 +59,83 @@ def value_rank(df: DataFrame, value: str, key: str, buckets: int = 1024) -> Data
     return d.withColumn("__rank", F.col("__off") + F.row_number().over(w) - 1).drop("__vb", "__off")
 
 
-def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | None = None, block_size: int = 64,
-        projections: int = 2, seed: int = 42) -> DataFrame:
-    """(id, nbr_id, dist2, nbr_rank) for the k nearest candidates of each row."""
-    if dim is None:
-        dim = int(df.select(F.size(vec_col)).first()[0])
+def vector_groups(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, node): the smallest id carrying each row's vector."""
+    reps = df.groupBy(vec_col).agg(F.min(id_col).alias("node"))
+    return df.select(id_col, vec_col).join(reps, vec_col).select(id_col, "node")
+
+
+def _directions(dim: int, count: int, seed: int) -> list[list[float]]:
     rng = np.random.default_rng(seed)
-    base = df.select(id_col, vec_col)
-    cands = None
-    for p in range(projections):
+    out = []
+    for _ in range(count):
         r = rng.normal(size=dim)
-        r = r / np.linalg.norm(r)
-        ranked = value_rank(base.withColumn("__v", dot(F.col(vec_col), list(r))), "__v", id_col)
+        out.append(list(r / np.linalg.norm(r)))
+    return out
+
+
+def _block_bound(base: DataFrame, id_col: str, vec_col: str, dirs: list[list[float]], k: int,
+                 block_size: int) -> DataFrame:
+    """(id, r2): k-th smallest squared distance among block candidates (NULL
+    when a vector met fewer than k candidates)."""
+    cands = None
+    for p in range(len(dirs)):
+        ranked = value_rank(base.select(id_col, vec_col, F.col(f"__p{p}").alias("__v")), "__v", id_col)
         for shift in (0, block_size // 2):
             blk = ranked.withColumn("__blk", F.floor((F.col("__rank") + shift) / block_size))
             a = blk.select(F.col(id_col).alias("a"), F.col(vec_col).alias("va"), "__blk")
             b = blk.select(F.col(id_col).alias("b"), F.col(vec_col).alias("vb"), "__blk")
             pairs = a.join(b, "__blk").filter(F.col("a") != F.col("b")).select("a", "b", "va", "vb")
             cands = pairs if cands is None else cands.unionByName(pairs)
-    cands = cands.dropDuplicates(["a", "b"]).withColumn("dist2", sq_dist(F.col("va"), F.col("vb")))
-    w = Window.partitionBy("a").orderBy("dist2", "b")  # <= 2 * projections * block_size rows per id
-    top = cands.withColumn("nbr_rank", F.row_number().over(w)).filter(F.col("nbr_rank") <= k)
-    return top.select(F.col("a").alias(id_col), F.col("b").alias("nbr_id"), "dist2", "nbr_rank")
+    cands = cands.dropDuplicates(["a", "b"]).select("a", sq_dist(F.col("va"), F.col("vb")).alias("d2"))
+    # <= 2 * projections * block_size candidates per vector
+    kth = F.try_element_at(F.array_sort(F.collect_list("d2")), F.lit(k))
+    return cands.groupBy("a").agg(kth.alias("r2")).select(F.col("a").alias(id_col), "r2")
+
+
+def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | None = None, block_size: int = 64,
+        projections: int = 2, seed: int = 42) -> DataFrame:
+    """(id, nbr_id, dist2, nbr_rank) for every row of ``df``: its k nearest
+    distinct other vectors (``nbr_id`` = the smallest id carrying the vector),
+    exact, ordered by (dist2, nbr_id)."""
+    if dim is None:
+        dim = int(df.select(F.size(vec_col)).first()[0])
+    groups = df.groupBy(vec_col).agg(F.min(id_col).alias(id_col))
+    dirs = _directions(dim, max(projections, 2), seed)
+    base = groups.select(id_col, vec_col, *[dot(F.col(vec_col), u).alias(f"__p{i}") for i, u in enumerate(dirs)])
+
+    bound = _block_bound(base, id_col, vec_col, dirs, k, block_size)
+    q = base.join(bound, id_col, "left").withColumn("__r", F.sqrt("r2"))
+    st = q.agg(F.min("__p0").alias("lo0"), F.max("__p0").alias("hi0"), F.min("__p1").alias("lo1"),
+               F.max("__p1").alias("hi1"), F.percentile_approx("__r", 0.5).alias("med")).first()
+    lo0, hi0, lo1, hi1 = (float(st[c]) for c in ("lo0", "hi0", "lo1", "hi1"))
+    span = max(hi0 - lo0, hi1 - lo1)
+    side = max(float(st["med"] or 0.0), span / MAX_CELLS_PER_AXIS, 1e-12)
+    n0, n1 = int((hi0 - lo0) // side), int((hi1 - lo1) // side)
+    # slack for rounding in the projected coordinates
+    eps = 1e-9 * (1.0 + max(abs(lo0), abs(hi0), abs(lo1), abs(hi1)))
+
+    def cell(p: Column, lo: float, top: int) -> Column:
+        return F.least(F.greatest(F.floor((p - F.lit(lo)) / F.lit(side)), F.lit(0)), F.lit(top)).cast("int")
+
+    stored = base.select(F.col(id_col).alias("b"), F.col(vec_col).alias("vb"), F.col("__p0").alias("s0"),
+                         F.col("__p1").alias("s1"), cell(F.col("__p0"), lo0, n0).alias("__c0"),
+                         cell(F.col("__p1"), lo1, n1).alias("__c1"))
+    # no bound (fewer than k candidates): the box covers the whole grid
+    rad = F.coalesce(F.col("__r") * F.lit(1.0 + 1e-9), F.lit(span + 1.0)) + F.lit(eps)
+    probe = q.select(F.col(id_col).alias("a"), F.col(vec_col).alias("va"), F.col("__p0").alias("q0"),
+                     F.col("__p1").alias("q1"), F.col("r2"), rad.alias("rad"))
+    probe = probe.select("*", F.explode(F.sequence(cell(F.col("q0") - F.col("rad"), lo0, n0),
+                                                   cell(F.col("q0") + F.col("rad"), lo0, n0))).alias("__c0"))
+    probe = probe.select("*", F.explode(F.sequence(cell(F.col("q1") - F.col("rad"), lo1, n1),
+                                                   cell(F.col("q1") + F.col("rad"), lo1, n1))).alias("__c1"))
+    hits = (probe.join(stored, ["__c0", "__c1"])
+            .filter((F.col("a") != F.col("b")) & (F.abs(F.col("q0") - F.col("s0")) <= F.col("rad"))
+                    & (F.abs(F.col("q1") - F.col("s1")) <= F.col("rad")))
+            .select("a", "b", "r2", sq_dist(F.col("va"), F.col("vb")).alias("dist2"))
+            .filter(F.col("r2").isNull() | (F.col("dist2") <= F.col("r2"))))
+    w = Window.partitionBy("a").orderBy("dist2", "b")
+    top = hits.withColumn("nbr_rank", F.row_number().over(w)).filter(F.col("nbr_rank") <= k) \
+              .select(F.col("a").alias("node"), F.col("b").alias("nbr_id"), "dist2", "nbr_rank")
+    # every row inherits the neighbours of its vector
+    return vector_groups(df, id_col, vec_col).join(top, "node").drop("node")

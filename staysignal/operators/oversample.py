@@ -5,9 +5,10 @@ Counts follow the original rule: n_new = int(ratio * n_majority - n_minority).
 Parents are assigned deterministically (every minority row gets
 n_new // n_min children, the first n_new % n_min rows in hash order one
 more), so the total is exact and no row is sampled on the driver.  Each
-child interpolates towards one of its parent's k neighbours (``neighbors.knn``)
-with a hash-seeded step in [0, 1).  Only minority rows enter the neighbour
-search.
+child interpolates towards one of its parent's k neighbours (``neighbors.knn``,
+exact, over distinct minority vectors) with a hash-seeded step in [0, 1).
+Only minority rows enter the neighbour search; a parent without any other
+distinct minority vector yields copies of itself, so the count stays exact.
 """
 
 from __future__ import annotations
@@ -41,10 +42,11 @@ def smote(df: DataFrame, key: str, vec: str, label: str, ratio: float = 0.8, k:
     kids = parents.select(key, vec, F.explode(F.sequence(F.lit(0), F.col("n_children") - 1)).alias("child"))
     nn = knn(mino, key, vec, k=k, block_size=block_size, seed=seed)
     avail = nn.groupBy(key).agg(F.max("nbr_rank").alias("k_avail"))
-    kids = kids.join(avail, key)
+    kids = kids.join(avail, key, "left")
     pick = (F.pmod(F.xxhash64(F.col(key), F.col("child"), F.lit(seed)), F.col("k_avail")) + 1).cast("int")
     kids = kids.withColumn("nbr_rank", pick)
-    kids = kids.join(nn.select(key, "nbr_rank", "nbr_id"), [key, "nbr_rank"])
+    kids = kids.join(nn.select(key, "nbr_rank", "nbr_id"), [key, "nbr_rank"], "left") \
+               .withColumn("nbr_id", F.coalesce(F.col("nbr_id"), F.col(key)))
     nb_vec = mino.select(F.col(key).alias("nbr_id"), F.col(vec).alias("__nb"))
     kids = kids.join(nb_vec, "nbr_id")
     u = F.pmod(F.xxhash64(F.col(key), F.col("child"), F.lit(seed + 1)), F.lit(1000003)) / F.lit(1000003.0)
