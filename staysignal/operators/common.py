@@ -11,3 +11,25 @@ def scalar_stats(df: DataFrame, **aggs: Column) -> dict[str, Column]:
     reused wherever the fields appear), returned as field Columns."""
     sub = df.agg(F.struct(*[a.alias(k) for k, a in aggs.items()]).alias("s")).scalar()
     return {k: sub.getField(k) for k in aggs}
+
+
+def running_sums(df: DataFrame, order: Column, cols: list[str], prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of the non-negative ``cols`` in ``order``
+    (whose values must be distinct), without a single-partition window.
+
+    Rows are range-partitioned on ``order`` (sampled bounds, so partitions
+    hold similar row counts however the values cluster); each partition
+    sums locally, and the totals of the partitions before it -- a table
+    with one row per partition, broadcast -- are added as an offset.
+    """
+    from pyspark.sql import Window
+    d = df.repartitionByRange(order).withColumn("__pid", F.spark_partition_id())
+    w = Window.partitionBy("__pid").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = d.select("*", *[F.sum(c).over(w).alias(f"__run_{c}") for c in cols])
+    tot = local.groupBy("__pid").agg(*[F.max(f"__run_{c}").alias(f"__tot_{c}") for c in cols])
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offs = tot.select("__pid", *[F.coalesce(F.sum(f"__tot_{c}").over(before), F.lit(0)).alias(f"__off_{c}")
+                                 for c in cols])
+    out = local.join(F.broadcast(offs), "__pid")
+    return out.select(*df.columns, *[(F.col(f"__run_{c}") + F.col(f"__off_{c}")).alias(f"{prefix}{c}")
+                                     for c in cols])

@@ -2,10 +2,12 @@
 
 Scale: every curve is computed from the *score histogram* -- one row per
 distinct probability with its positive/negative counts, built by a partial
-aggregate.  Probabilities carry 4 decimals, so the histogram has at most
-10,001 rows whatever the number of customers; the cumulative windows that
-turn it into ROC / PR points run over that bounded table, never over raw
-rows.  Threshold sweeps cross the histogram with a fixed 50-point grid
+aggregate.  With the 4-decimal scorecard the histogram has at most 10,001 rows
+whatever the number of customers; a fitted model's raw probabilities can
+give one row per customer, so the cumulative counts that turn it into
+ROC / PR points are a distributed prefix sum (``common.running_sums``),
+never a single-partition window.  The previous point of a curve is the
+current cumulative count minus this score's own count (no ``lag``).  Threshold sweeps cross the histogram with a fixed 50-point grid
 (an ``explode`` of a literal array, not a join).
 """
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from ..constants import (CALIBRATION_BINS, DECISION_THRESHOLD, PDP_GRID_POINTS, THRESHOLD_GRID_HIGH,
                          THRESHOLD_GRID_LOW, THRESHOLD_GRID_POINTS)
 from ..functions import scorecard
-from .common import scalar_stats
+from .common import running_sums, scalar_stats
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -103,10 +105,10 @@ def threshold_curve(scored: DataFrame, grid: list[float] | None = None) -> DataF
 def _cumulative(scored: DataFrame) -> DataFrame:
     """Histogram rows in descending score order with running TP / FP."""
     hist = score_histogram(scored)
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tot = scalar_stats(hist, P=F.sum("pos"), N=F.sum("neg"))
-    return hist.select("p", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
-                       tot["P"].alias("tot_pos"), tot["N"].alias("tot_neg"))
+    run = running_sums(hist, F.desc("p"), ["pos", "neg"])
+    return run.select("p", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+                      tot["P"].alias("tot_pos"), tot["N"].alias("tot_neg"))
 
 
 def roc_curve(scored: DataFrame) -> DataFrame:
@@ -119,14 +121,11 @@ def roc_curve(scored: DataFrame) -> DataFrame:
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Trapezoid area under the ROC points (ties handled as one step)."""
     c = _cumulative(scored)
-    w = Window.orderBy(F.desc("p"))
     fpr = _div0(F.col("fp"), F.col("tot_neg"))
     tpr = _div0(F.col("tp"), F.col("tot_pos"))
-    c = c.select(fpr.alias("fpr"), tpr.alias("tpr"), F.col("p"))
-    c = c.select("fpr", "tpr", F.coalesce(F.lag("fpr").over(w), F.lit(0.0)).alias("fpr0"),
-                 F.coalesce(F.lag("tpr").over(w), F.lit(0.0)).alias("tpr0"))
-    return c.agg(F.round(F.sum((F.col("fpr") - F.col("fpr0")) * (F.col("tpr") + F.col("tpr0")) / 2.0), 6)
-                 .alias("roc_auc"))
+    fpr0 = _div0(F.col("fp") - F.col("neg"), F.col("tot_neg"))
+    tpr0 = _div0(F.col("tp") - F.col("pos"), F.col("tot_pos"))
+    return c.agg(F.round(F.sum((fpr - fpr0) * (tpr + tpr0) / 2.0), 6).alias("roc_auc"))
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
@@ -139,12 +138,10 @@ def pr_curve(scored: DataFrame) -> DataFrame:
 def average_precision(scored: DataFrame) -> DataFrame:
     """sum over thresholds of (R_n - R_{n-1}) * P_n, plus the base rate."""
     c = _cumulative(scored)
-    w = Window.orderBy(F.desc("p"))
     rec = _div0(F.col("tp"), F.col("tot_pos"))
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    c = c.select(rec.alias("r"), prec.alias("pr"), "p", "tot_pos", "tot_neg")
-    c = c.select("r", "pr", "tot_pos", "tot_neg", F.coalesce(F.lag("r").over(w), F.lit(0.0)).alias("r0"))
-    return c.agg(F.round(F.sum((F.col("r") - F.col("r0")) * F.col("pr")), 6).alias("average_precision"),
+    rec0 = _div0(F.col("tp") - F.col("pos"), F.col("tot_pos"))
+    return c.agg(F.round(F.sum((rec - rec0) * prec), 6).alias("average_precision"),
                  F.round(F.first("tot_pos") / (F.first("tot_pos") + F.first("tot_neg")), 6).alias("base_rate"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -41,16 +41,20 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; a folder of our own is set only when
-    the session has none (local tests).
+    The cluster's setting always wins.  A folder of our own is set only when
+    the session has none *and* runs in local mode (tests, the bench); a
+    cluster session without a shared folder is an error, because a
+    machine-local folder would not survive the loss of an executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or fallback
     if not configured:
-        configured = fallback or os.environ.get("STAYSIGNAL_CHECKPOINT_DIR") or "/tmp/staysignal-checkpoints"
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS/S3)")
+        configured = tempfile.mkdtemp(prefix="staysignal-checkpoints-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
