@@ -85,31 +85,30 @@ def ffill(df: DataFrame, cols: list[str], order_by: str, partition_by: list[str]
           block_rows: int = 1 << 20) -> DataFrame:
     """Forward fill NULLs in ``order_by`` order (optionally per partition key).
 
-    Without a key the fill is global, yet it still distributes: rows are cut
-    into contiguous blocks of the (numeric, unique) order key, each block is
-    filled by a window over that block alone, and the value carried into a
-    block is the last non-null value of earlier blocks, found on a small
-    per-block summary (one row per block).
+    The fill distributes even when one key (or the whole table, without a
+    key) holds most rows: rows are cut into contiguous blocks of the
+    (numeric, unique within a key) order column, each (key, block) is filled
+    by a window over that block alone, and the value carried into a block is
+    the last non-null value of the key's earlier blocks, found on a small
+    per-block summary (one row per key and block).
     """
-    if partition_by:
-        w = (Window.partitionBy(*partition_by).orderBy(order_by)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-
+    keys = list(partition_by or [])
     key = F.col(order_by)
     lo = df.agg(F.min(key)).scalar()
     blk = F.floor((key - lo) / F.lit(block_rows)).cast("bigint")
     keyed = df.withColumn("__blk", blk)
-    w = (Window.partitionBy("__blk").orderBy(order_by)
+    w = (Window.partitionBy(*keys, "__blk").orderBy(order_by)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = keyed.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-    # per block: last non-null value of each column (one row per block)
-    summary = keyed.groupBy("__blk").agg(
+    # per (key, block): last non-null value of each column
+    summary = keyed.groupBy(*keys, "__blk").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"__last_{c}") for c in cols])
-    prev = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select("__blk", *[F.last(f"__last_{c}", ignorenulls=True).over(prev).alias(f"__in_{c}")
-                                      for c in cols])
-    out = local.join(carry, "__blk", "left")
+    prev = (Window.partitionBy(*keys).orderBy("__blk") if keys else Window.orderBy("__blk")) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__blk").alias("__cb"),
+                           *[F.last(f"__last_{c}", ignorenulls=True).over(prev).alias(f"__in_{c}") for c in cols])
+    cond = [F.col("__blk") == F.col("__cb")] + [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    out = local.join(carry, cond, "left").drop("__cb", *[f"__k{i}" for i in range(len(keys))])
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__in_{c}")) for c in cols}) \
               .drop("__blk", *[f"__in_{c}" for c in cols])
 

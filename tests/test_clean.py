@@ -97,3 +97,20 @@ def test_ffill_global_matches_sequential_fill(spark):
     got = K.ffill(df, ["x"], "k", block_rows=3).orderBy("k").toPandas()["x"].tolist()
     want = pdf["x"].ffill().tolist()
     assert [None if (v is None or v != v) else v for v in got] == [None if v != v or v is None else v for v in want]
+
+
+def test_ffill_keyed_with_hot_and_null_keys(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    n = 120
+    grp = ["hot" if i % 3 else ("b" if i % 2 else None) for i in range(n)]  # one key holds 2/3 of rows
+    vals = [None if rng.random() < 0.6 else float(i) for i in range(n)]
+    rows = [(i, g, v) for i, (g, v) in enumerate(zip(grp, vals))]
+    df = spark.createDataFrame(rows, "k long, g string, x double")
+    got = {r.k: r.x for r in K.ffill(df, ["x"], "k", partition_by=["g"], block_rows=7).collect()}
+    last, want = {}, {}
+    for i, g, v in rows:
+        if v is not None:
+            last[g] = v
+        want[i] = v if v is not None else last.get(g)
+    assert got == want
