@@ -14,11 +14,14 @@ that id.  The search then runs in two passes over the distinct vectors:
    bucketed offsets (no global window over raw rows).
 2. **Exact pass.**  A projection onto a unit vector never lengthens a
    distance, so every true neighbour lies inside the box ``+-r`` around the
-   vector on the first two projections.  Vectors are stored in a 2-D grid of
-   those projections (cell side = the median bound) and each vector probes
-   all cells its box touches: an equi-join on the cell, filtered by the box
-   and by ``dist2 <= r^2``, then ranked.  The candidate set is not capped:
-   it is every vector inside the box, so the result equals brute force.
+   vector on the first two projections.  Vectors are stored in 2-D grids of
+   those projections at a few resolutions (cell side = the median bound
+   times a power of two) and each vector probes, at the finest level whose
+   cell side covers its radius, the at most 3 x 3 cells its box touches: an
+   equi-join on (level, cell), filtered by the box and by ``dist2 <= r^2``,
+   then ranked.  Only levels some probe uses are stored.  The candidate set
+   is not capped: it is every vector inside the box, so the result equals
+   brute force, and dense regions get small radii, hence small cells.
 """
 
 from __future__ import annotations
@@ -27,9 +30,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Grid cells per projection axis are at most this many (cell ids stay small
-# and a vector with an unbounded radius probes a bounded number of cells).
-MAX_CELLS_PER_AXIS = 1024
+# Finest grid level: cells no smaller than 2^-40 of the median bound.
+MIN_LEVEL = -40
 
 
 def dot(vec: Column, weights: list[float]) -> Column:
@@ -110,26 +112,36 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | None =
                F.max("__p1").alias("hi1"), F.percentile_approx("__r", 0.5).alias("med")).first()
     lo0, hi0, lo1, hi1 = (float(st[c]) for c in ("lo0", "hi0", "lo1", "hi1"))
     span = max(hi0 - lo0, hi1 - lo1)
-    side = max(float(st["med"] or 0.0), span / MAX_CELLS_PER_AXIS, 1e-12)
-    n0, n1 = int((hi0 - lo0) // side), int((hi1 - lo1) // side)
+    side0 = float(st["med"]) if st["med"] else span + 1.0
+    side0 = max(side0, 1e-12)
+    top = max(0, int(np.ceil(np.log2((span + 1.0) / side0))) + 1)  # whole range in <= 2 cells per axis
     # slack for rounding in the projected coordinates
     eps = 1e-9 * (1.0 + max(abs(lo0), abs(hi0), abs(lo1), abs(hi1)))
 
-    def cell(p: Column, lo: float, top: int) -> Column:
-        return F.least(F.greatest(F.floor((p - F.lit(lo)) / F.lit(side)), F.lit(0)), F.lit(top)).cast("int")
-
-    stored = base.select(F.col(id_col).alias("b"), F.col(vec_col).alias("vb"), F.col("__p0").alias("s0"),
-                         F.col("__p1").alias("s1"), cell(F.col("__p0"), lo0, n0).alias("__c0"),
-                         cell(F.col("__p1"), lo1, n1).alias("__c1"))
-    # no bound (fewer than k candidates): the box covers the whole grid
+    # no bound (fewer than k candidates): the box covers the whole range
     rad = F.coalesce(F.col("__r") * F.lit(1.0 + 1e-9), F.lit(span + 1.0)) + F.lit(eps)
+    # grid level of a probe: the finest whose cell side is >= its radius, so
+    # every probe touches at most 3 x 3 cells whatever its radius
+    level = F.least(F.greatest(F.ceil(F.log2(F.col("rad") / F.lit(side0))), F.lit(MIN_LEVEL)), F.lit(top)).cast("int")
     probe = q.select(F.col(id_col).alias("a"), F.col(vec_col).alias("va"), F.col("__p0").alias("q0"),
-                     F.col("__p1").alias("q1"), F.col("r2"), rad.alias("rad"))
-    probe = probe.select("*", F.explode(F.sequence(cell(F.col("q0") - F.col("rad"), lo0, n0),
-                                                   cell(F.col("q0") + F.col("rad"), lo0, n0))).alias("__c0"))
-    probe = probe.select("*", F.explode(F.sequence(cell(F.col("q1") - F.col("rad"), lo1, n1),
-                                                   cell(F.col("q1") + F.col("rad"), lo1, n1))).alias("__c1"))
-    hits = (probe.join(stored, ["__c0", "__c1"])
+                     F.col("__p1").alias("q1"), F.col("r2"), rad.alias("rad")).withColumn("__L", level)
+    levels = sorted(r[0] for r in probe.select("__L").distinct().collect())  # <= top - MIN_LEVEL + 1 values
+
+    def side(lv: Column) -> Column:
+        return F.lit(side0) * F.pow(F.lit(2.0), lv)
+
+    def cell(p: Column, lo: float, lv: Column) -> Column:
+        return F.floor((p - F.lit(lo)) / side(lv)).cast("bigint")
+
+    stored = base.select(F.col(id_col).alias("b"), F.col(vec_col).alias("vb"), F.col("__p0").alias("s0"),
+                         F.col("__p1").alias("s1"), F.explode(F.array(*[F.lit(v) for v in levels])).alias("__L"))
+    stored = stored.withColumns({"__c0": cell(F.col("s0"), lo0, F.col("__L")),
+                                 "__c1": cell(F.col("s1"), lo1, F.col("__L"))})
+    probe = probe.select("*", F.explode(F.sequence(cell(F.col("q0") - F.col("rad"), lo0, F.col("__L")),
+                                                   cell(F.col("q0") + F.col("rad"), lo0, F.col("__L")))).alias("__c0"))
+    probe = probe.select("*", F.explode(F.sequence(cell(F.col("q1") - F.col("rad"), lo1, F.col("__L")),
+                                                   cell(F.col("q1") + F.col("rad"), lo1, F.col("__L")))).alias("__c1"))
+    hits = (probe.join(stored, ["__L", "__c0", "__c1"])
             .filter((F.col("a") != F.col("b")) & (F.abs(F.col("q0") - F.col("s0")) <= F.col("rad"))
                     & (F.abs(F.col("q1") - F.col("s1")) <= F.col("rad")))
             .select("a", "b", "r2", sq_dist(F.col("va"), F.col("vb")).alias("dist2"))

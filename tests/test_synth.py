@@ -24,6 +24,8 @@ def test_knn_equals_brute_force_with_duplicates(spark):
     rows = [(i + 1, (rng.integers(-6, 7, size=4) + (8 if i % 4 == 0 else 0)).astype(float).tolist())
             for i in range(300)]
     rows += [(1000 + j, [0.0, 0.0, 0.0, 0.0]) for j in range(50)]  # one hot vector
+    rows += [(2000 + j, [400.0 * (j + 1), -300.0 * j, 7.0, 0.0]) for j in range(6)]  # far outliers
+    rows += [(3000 + j, [50.0 + j % 2, 50.0 + j % 3, 50.0 + j % 5, 50.0]) for j in range(30)]  # dense cluster
     df = spark.createDataFrame(rows, "k long, x array<double>")
     got = {}
     for r in knn(df, "k", "x", k=5, block_size=16).collect():
