@@ -104,10 +104,13 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | None =
         dim = int(df.select(F.size(vec_col)).first()[0])
     groups = df.groupBy(vec_col).agg(F.min(id_col).alias(id_col))
     dirs = _directions(dim, max(projections, 2), seed)
-    base = groups.select(id_col, vec_col, *[dot(F.col(vec_col), u).alias(f"__p{i}") for i, u in enumerate(dirs)])
+    # the distinct vectors and their bounds feed several jobs: written once
+    # to spark.checkpoint.dir (lineage cut, no executor memory held)
+    base = groups.select(id_col, vec_col, *[dot(F.col(vec_col), u).alias(f"__p{i}")
+                                            for i, u in enumerate(dirs)]).checkpoint()
 
     bound = _block_bound(base, id_col, vec_col, dirs, k, block_size)
-    q = base.join(bound, id_col, "left").withColumn("__r", F.sqrt("r2"))
+    q = base.join(bound, id_col, "left").withColumn("__r", F.sqrt("r2")).checkpoint()
     st = q.agg(F.min("__p0").alias("lo0"), F.max("__p0").alias("hi0"), F.min("__p1").alias("lo1"),
                F.max("__p1").alias("hi1"), F.percentile_approx("__r", 0.5).alias("med")).first()
     lo0, hi0, lo1, hi1 = (float(st[c]) for c in ("lo0", "hi0", "lo1", "hi1"))
