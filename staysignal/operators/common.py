@@ -13,9 +13,10 @@ def scalar_stats(df: DataFrame, **aggs: Column) -> dict[str, Column]:
     return {k: sub.getField(k) for k in aggs}
 
 
-def running_sums(df: DataFrame, order: Column, cols: list[str], prefix: str = "cum_") -> DataFrame:
-    """Inclusive running sums of the non-negative ``cols`` in ``order``
-    (whose values must be distinct), without a single-partition window.
+def running_sums(df: DataFrame, order: Column | list[Column], cols: list[str], prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of the non-negative ``cols`` in ``order`` (one
+    or more Columns whose combined values must be distinct), without a
+    single-partition window.
 
     Rows are range-partitioned on ``order`` (sampled bounds, so partitions
     hold similar row counts however the values cluster); each partition
@@ -23,8 +24,9 @@ def running_sums(df: DataFrame, order: Column, cols: list[str], prefix: str = "c
     with one row per partition, broadcast -- are added as an offset.
     """
     from pyspark.sql import Window
-    d = df.repartitionByRange(order).withColumn("__pid", F.spark_partition_id())
-    w = Window.partitionBy("__pid").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = order if isinstance(order, list) else [order]
+    d = df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id())
+    w = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = d.select("*", *[F.sum(c).over(w).alias(f"__run_{c}") for c in cols])
     tot = local.groupBy("__pid").agg(*[F.max(f"__run_{c}").alias(f"__tot_{c}") for c in cols])
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition

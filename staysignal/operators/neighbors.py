@@ -10,8 +10,8 @@ that id.  The search then runs in two passes over the distinct vectors:
    ordering is cut into consecutive blocks of ``block_size`` rows (twice,
    the second cut shifted by half a block).  Distances inside the blocks
    give every vector an upper bound ``r`` on its k-th neighbour distance.
-   The position of a vector in an ordering is its exact rank, computed with
-   bucketed offsets (no global window over raw rows).
+   The position of a vector in an ordering is its exact rank, a running
+   count over range partitions (no global window over raw rows).
 2. **Exact pass.**  A projection onto a unit vector never lengthens a
    distance, so every true neighbour lies inside the box ``+-r`` around the
    vector on the first two projections.  Vectors are stored in 2-D grids of
@@ -30,6 +30,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import running_sums
+
 # Finest grid level: cells no smaller than 2^-40 of the median bound.
 MIN_LEVEL = -40
 
@@ -44,21 +46,13 @@ def sq_dist(a: Column, b: Column) -> Column:
     return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def value_rank(df: DataFrame, value: str, key: str, buckets: int = 1024) -> DataFrame:
+def value_rank(df: DataFrame, value: str, key: str) -> DataFrame:
     """Exact 0-based rank of each row by (value, key) without a global
-    window: equal-width value buckets, a small per-bucket count table turned
-    into offsets, and a row_number inside each bucket."""
-    st = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    lo, hi = float(st["lo"]), float(st["hi"])
-    width = (hi - lo) or 1.0
-    b = F.least(F.floor((F.col(value) - F.lit(lo)) / F.lit(width) * buckets), F.lit(buckets - 1)).cast("int")
-    d = df.withColumn("__vb", b)
-    counts = d.groupBy("__vb").agg(F.count(F.lit(1)).alias("__c"))
-    offs = counts.select("__vb", (F.sum("__c").over(Window.orderBy("__vb").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)) - F.col("__c")).alias("__off"))
-    d = d.join(F.broadcast(offs), "__vb")  # <= buckets rows: parameter-bounded
-    w = Window.partitionBy("__vb").orderBy(value, key)
-    return d.withColumn("__rank", F.col("__off") + F.row_number().over(w) - 1).drop("__vb", "__off")
+    window: a distributed running count over range partitions
+    (``common.running_sums``), balanced however the values cluster."""
+    ones = df.withColumn("__one", F.lit(1).cast("bigint"))
+    out = running_sums(ones, [F.col(value), F.col(key)], ["__one"], prefix="__cum")
+    return out.withColumn("__rank", F.col("__cum__one") - 1).drop("__one", "__cum__one")
 
 
 def vector_groups(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
