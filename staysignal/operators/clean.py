@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import (BINARY_COLS, CATEGORICAL_FEATURES, ID_COL, INTERNET_SERVICE_COLS,
                          NO_INTERNET, TARGET)
 from ..functions import cleaning as C
-from .common import scalar_stats
+from .common import running_sums, scalar_stats
 
 CLEAN_ORDER = ["gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "PhoneService",
                "MultipleLines", "InternetService", "OnlineSecurity", "OnlineBackup",
@@ -177,8 +177,11 @@ def label_encode(train: DataFrame, target: DataFrame, col: str, out: str | None
     """Alphabetical code 0..n-1 learnt on ``train``; unseen values fail
     loudly (as the reference does) through ANSI ``assert_true``."""
     out = out or f"{col}_code"
-    levels = train.select(col).distinct().withColumn(
-        "_code", F.dense_rank().over(Window.orderBy(col)) - 1)
+    # code = position among the distinct levels: a distributed running count
+    # (range partitions), so a high-cardinality column is not one task
+    levels = running_sums(train.select(col).distinct().withColumn("_one", F.lit(1).cast("bigint")),
+                          [F.col(col)], ["_one"], prefix="_cum") \
+        .select(col, (F.col("_cum_one") - 1).alias("_code"))
     # One row per distinct level; AQE broadcasts it only if its measured
     # size is under the threshold, otherwise it stays a shuffle join.
     joined = target.join(levels.withColumnRenamed(col, "_lvl"),

@@ -162,14 +162,17 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def categorical_profile(df: DataFrame, cols=CATEGORICAL_FEATURES) -> DataFrame:
-    """Distinct count and top value (ties -> smallest) per categorical column."""
+    """Distinct count and top value (ties -> smallest) per categorical column.
+
+    Two partial aggregates, no window: (column, value) counts, then per column
+    the count of values and ``min_by(value, (-count, value))``, so even a
+    column with as many distinct values as rows is merged map-side."""
     counts = long_format(df, list(cols)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("column_name").orderBy(F.desc("cnt"), F.asc("value"))
-    return (counts.withColumn("rk", F.row_number().over(w))
-                  .withColumn("n_distinct", F.count(F.lit(1)).over(Window.partitionBy("column_name")))
-                  .filter(F.col("rk") == 1)
-                  .select("column_name", "n_distinct", F.col("value").alias("top_value"),
-                          F.col("cnt").alias("top_count")))
+    top = F.min_by(F.struct("value", "cnt"), F.struct((-F.col("cnt")).alias("k"), F.col("value").alias("v")))
+    return (counts.groupBy("column_name")
+                  .agg(F.count(F.lit(1)).alias("n_distinct"), top.alias("t"))
+                  .select("column_name", "n_distinct", F.col("t.value").alias("top_value"),
+                          F.col("t.cnt").alias("top_count")))
 
 
 def numeric_profile(df: DataFrame, cols=NUMERIC_FEATURES) -> DataFrame:
