@@ -20,14 +20,17 @@ def running_sums(df: DataFrame, order: Column | list[Column], cols: list[str], p
 
     Rows are range-partitioned on ``order`` (sampled bounds, so partitions
     hold similar row counts however the values cluster); each partition
-    sums locally, and the totals of the partitions before it -- a table
-    with one row per partition, broadcast -- are added as an offset.
+    sums locally (materialised once in ``spark.checkpoint.dir``), and the
+    totals of the partitions before it -- a table with one row per
+    partition, broadcast -- are added as an offset.
     """
     from pyspark.sql import Window
     order = order if isinstance(order, list) else [order]
     d = df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id())
     w = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = d.select("*", *[F.sum(c).over(w).alias(f"__run_{c}") for c in cols])
+    # written once (reliable checkpoint): the totals below and the final join
+    # must see the very same partition of every row, even if a stage reruns
+    local = d.select("*", *[F.sum(c).over(w).alias(f"__run_{c}") for c in cols]).checkpoint()
     tot = local.groupBy("__pid").agg(*[F.max(f"__run_{c}").alias(f"__tot_{c}") for c in cols])
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = tot.select("__pid", *[F.coalesce(F.sum(f"__tot_{c}").over(before), F.lit(0)).alias(f"__off_{c}")
