@@ -28,6 +28,10 @@ FEATURES = ["Contract", "InternetService", "tenure", "MonthlyCharges", "PaymentM
             "TechSupport", "OnlineSecurity", "SeniorCitizen"]
 
 
+# probabilities carry this many decimals (at most 10,001 distinct values)
+DECIMALS = 4
+
+
 def term_value(term: str, cols: dict | None = None) -> Column:
     """Value of one scorecard term (indicator or numeric) as double."""
     cols = cols or {}
@@ -47,8 +51,8 @@ def margin(cols: dict | None = None) -> Column:
 
 
 def probability(cols: dict | None = None) -> Column:
-    """p = round(sigmoid(z), 4)."""
-    return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-margin(cols))), 4)
+    """p = round(sigmoid(z), DECIMALS)."""
+    return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-margin(cols))), DECIMALS)
 
 
 def score(df: DataFrame, out: str = "p") -> DataFrame:

@@ -522,7 +522,7 @@ oracle("threshold_curve", _threshold_sql())
 
 @query("roc_curve")
 def q_roc_curve(spark, sf):
-    return EV.roc_curve(eval_table(spark, sf))
+    return EV.roc_curve(eval_table(spark, sf), decimals=scorecard.DECIMALS)
 
 
 oracle("roc_curve", esql(f"SELECT p AS threshold, ROUND({_d0('fp', 'tot_neg')}, 6) AS fpr, ROUND({_d0('tp', 'tot_pos')}, 6) AS tpr "
@@ -531,7 +531,7 @@ oracle("roc_curve", esql(f"SELECT p AS threshold, ROUND({_d0('fp', 'tot_neg')},
 
 @query("roc_auc")
 def q_roc_auc(spark, sf):
-    return EV.roc_auc(eval_table(spark, sf))
+    return EV.roc_auc(eval_table(spark, sf), decimals=scorecard.DECIMALS)
 
 
 oracle("roc_auc", esql(
@@ -542,7 +542,7 @@ oracle("roc_auc", esql(
 
 @query("pr_curve")
 def q_pr_curve(spark, sf):
-    return EV.pr_curve(eval_table(spark, sf))
+    return EV.pr_curve(eval_table(spark, sf), decimals=scorecard.DECIMALS)
 
 
 oracle("pr_curve", esql(
@@ -552,7 +552,7 @@ oracle("pr_curve", esql(
 
 @query("average_precision")
 def q_average_precision(spark, sf):
-    return EV.average_precision(eval_table(spark, sf))
+    return EV.average_precision(eval_table(spark, sf), decimals=scorecard.DECIMALS)
 
 
 oracle("average_precision", esql(

@@ -29,3 +29,14 @@ def test_categorical_profile_ties_and_high_cardinality(spark):
            for r in categorical_profile(df, ["uid", "c"]).collect()}
     assert got["c"] == (36, "x", 3)      # x and y tie at 3: the smaller value wins
     assert got["uid"] == (40, "id0", 1)  # all distinct: smallest value
+
+
+def test_curves_same_with_bounded_window_and_prefix_sum(spark):
+    from staysignal.operators import evaluate as EV
+    rng = np.random.default_rng(2)
+    p = np.round(rng.random(500), 4)
+    y = (rng.random(500) < p).astype(int)
+    df = spark.createDataFrame([(i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, p))], "id long, y int, p double")
+    for fn in (EV.roc_auc, EV.average_precision):
+        assert fn(df).first() == fn(df, decimals=4).first()
+    assert sorted(EV.roc_curve(df).collect()) == sorted(EV.roc_curve(df, decimals=4).collect())
