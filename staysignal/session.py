@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Broadcast only what the planner has measured to be small.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Remove checkpoint files once the DataFrames using them are collected.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
