@@ -81,9 +81,12 @@ def _block_bound(base: DataFrame, id_col: str, vec_col: str, dirs: list[list[flo
             blk = ranked.withColumn("__blk", F.floor((F.col("__rank") + shift) / block_size))
             a = blk.select(F.col(id_col).alias("a"), F.col(vec_col).alias("va"), "__blk")
             b = blk.select(F.col(id_col).alias("b"), F.col(vec_col).alias("vb"), "__blk")
-            pairs = a.join(b, "__blk").filter(F.col("a") != F.col("b")).select("a", "b", "va", "vb")
+            # distances inside the block join: only (a, b, d2) is shuffled below
+            pairs = a.join(b, "__blk").filter(F.col("a") != F.col("b")) \
+                     .select("a", "b", sq_dist(F.col("va"), F.col("vb")).alias("d2"))
             cands = pairs if cands is None else cands.unionByName(pairs)
-    cands = cands.dropDuplicates(["a", "b"]).select("a", sq_dist(F.col("va"), F.col("vb")).alias("d2"))
+    # a pair met in several blocks has the same d2; keep it once
+    cands = cands.dropDuplicates(["a", "b"])
     # <= 2 * projections * block_size candidates per vector
     kth = F.try_element_at(F.array_sort(F.collect_list("d2")), F.lit(k))
     return cands.groupBy("a").agg(kth.alias("r2")).select(F.col("a").alias(id_col), "r2")
