@@ -37,11 +37,21 @@ MIN_LEVEL = -40
 
 
 def dot(vec: Column, weights: list[float]) -> Column:
-    prods = F.zip_with(vec, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b)
-    return F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
+    """Unrolled over the known length: plain arithmetic stays in whole-stage
+    codegen (array lambdas would be interpreted per row)."""
+    out = vec[0] * F.lit(float(weights[0]))
+    for i, w in enumerate(weights[1:], start=1):
+        out = out + vec[i] * F.lit(float(w))
+    return out
 
 
-def sq_dist(a: Column, b: Column) -> Column:
+def sq_dist(a: Column, b: Column, dim: int | None = None) -> Column:
+    """Squared Euclidean distance; unrolled when the length is known."""
+    if dim:
+        out = (a[0] - b[0]) * (a[0] - b[0])
+        for i in range(1, dim):
+            out = out + (a[i] - b[i]) * (a[i] - b[i])
+        return out
     diffs = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
     return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -71,7 +81,7 @@ def _directions(dim: int, count: int, seed: int) -> list[list[float]]:
 
 
 def _block_bound(base: DataFrame, id_col: str, vec_col: str, dirs: list[list[float]], k: int,
-                 block_size: int) -> DataFrame:
+                 block_size: int, dim: int) -> DataFrame:
     """(id, r2): k-th smallest squared distance among block candidates (NULL
     when a vector met fewer than k candidates)."""
     cands = None
@@ -83,7 +93,7 @@ def _block_bound(base: DataFrame, id_col: str, vec_col: str, dirs: list[list[flo
             b = blk.select(F.col(id_col).alias("b"), F.col(vec_col).alias("vb"), "__blk")
             # distances inside the block join: only (a, b, d2) is shuffled below
             pairs = a.join(b, "__blk").filter(F.col("a") != F.col("b")) \
-                     .select("a", "b", sq_dist(F.col("va"), F.col("vb")).alias("d2"))
+                     .select("a", "b", sq_dist(F.col("va"), F.col("vb"), dim).alias("d2"))
             cands = pairs if cands is None else cands.unionByName(pairs)
     # a pair met in several blocks has the same d2; keep it once
     cands = cands.dropDuplicates(["a", "b"])
@@ -106,7 +116,7 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | None =
     base = groups.select(id_col, vec_col, *[dot(F.col(vec_col), u).alias(f"__p{i}")
                                             for i, u in enumerate(dirs)]).checkpoint()
 
-    bound = _block_bound(base, id_col, vec_col, dirs, k, block_size)
+    bound = _block_bound(base, id_col, vec_col, dirs, k, block_size, dim)
     q = base.join(bound, id_col, "left").withColumn("__r", F.sqrt("r2")).checkpoint()
     st = q.agg(F.min("__p0").alias("lo0"), F.max("__p0").alias("hi0"), F.min("__p1").alias("lo1"),
                F.max("__p1").alias("hi1"), F.percentile_approx("__r", 0.5).alias("med")).first()
@@ -144,7 +154,7 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | None =
     hits = (probe.join(stored, ["__L", "__c0", "__c1"])
             .filter((F.col("a") != F.col("b")) & (F.abs(F.col("q0") - F.col("s0")) <= F.col("rad"))
                     & (F.abs(F.col("q1") - F.col("s1")) <= F.col("rad")))
-            .select("a", "b", "r2", sq_dist(F.col("va"), F.col("vb")).alias("dist2"))
+            .select("a", "b", "r2", sq_dist(F.col("va"), F.col("vb"), dim).alias("dist2"))
             .filter(F.col("r2").isNull() | (F.col("dist2") <= F.col("r2"))))
     w = Window.partitionBy("a").orderBy("dist2", "b")
     top = hits.withColumn("nbr_rank", F.row_number().over(w)).filter(F.col("nbr_rank") <= k) \
