@@ -16,10 +16,10 @@ that id.  The search then runs in two passes over the distinct vectors:
    distance, so every true neighbour lies inside the box ``+-r`` around the
    vector on the first two projections.  Vectors are stored in 2-D grids of
    those projections at a few resolutions (cell side = the median bound
-   times a power of two) and each vector probes, at the finest level whose
-   cell side covers its radius, the at most 3 x 3 cells its box touches: an
-   equi-join on (level, cell), filtered by the box and by ``dist2 <= r^2``,
-   then ranked.  Only levels some probe uses are stored.  The candidate set
+   times a power of two) and each vector probes, at the level whose cell
+   side is between half its radius and its radius, the at most 5 x 5 cells
+   its box touches: an equi-join on (level, cell), filtered by the box and
+   by ``dist2 <= r^2``, then ranked.  Only levels some probe uses are stored.  The candidate set
    is not capped: it is every vector inside the box, so the result equals
    brute force, and dense regions get small radii, hence small cells.
 """
@@ -130,9 +130,11 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | None =
 
     # no bound (fewer than k candidates): the box covers the whole range
     rad = F.coalesce(F.col("__r") * F.lit(1.0 + 1e-9), F.lit(span + 1.0)) + F.lit(eps)
-    # grid level of a probe: the finest whose cell side is >= its radius, so
-    # every probe touches at most 3 x 3 cells whatever its radius
-    level = F.least(F.greatest(F.ceil(F.log2(F.col("rad") / F.lit(side0))), F.lit(MIN_LEVEL)), F.lit(top)).cast("int")
+    # grid level of a probe: cell side in [radius / 2, radius), so every probe
+    # touches at most 5 x 5 cells whatever its radius and scans at most
+    # (2.5 .. 3)^2 / 4 of its box area
+    level = F.least(F.greatest(F.ceil(F.log2(F.col("rad") / F.lit(side0))) - 1, F.lit(MIN_LEVEL)),
+                    F.lit(top)).cast("int")
     probe = q.select(F.col(id_col).alias("a"), F.col(vec_col).alias("va"), F.col("__p0").alias("q0"),
                      F.col("__p1").alias("q1"), F.col("r2"), rad.alias("rad")).withColumn("__L", level)
     levels = sorted(r[0] for r in probe.select("__L").distinct().collect())  # <= top - MIN_LEVEL + 1 values
