@@ -80,3 +80,12 @@ def test_permutation_shapley_sums_to_prediction_gap(spark):
     preds = model.transform(data.limit(10)).select("k", vector_to_array("probability")[1].alias("p")).collect()
     for r in preds:
         assert abs(sums[r.k] - (r.p - pb)) < 1e-4
+
+
+def test_knn_result_does_not_depend_on_the_projections(spark):
+    # exact search: different random projections (seeds, block sizes) only
+    # change the work, never the neighbours
+    df, _ = points(spark, n=200, seed=4)
+    a = sorted(tuple(r) for r in knn(df.select("k", "x"), "k", "x", k=4, block_size=16, seed=1).collect())
+    b = sorted(tuple(r) for r in knn(df.select("k", "x"), "k", "x", k=4, block_size=48, seed=9).collect())
+    assert a == b and len(a) == 4 * 200
