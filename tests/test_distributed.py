@@ -40,3 +40,34 @@ def test_curves_same_with_bounded_window_and_prefix_sum(spark):
     for fn in (EV.roc_auc, EV.average_precision):
         assert fn(df).first() == fn(df, decimals=4).first()
     assert sorted(EV.roc_curve(df).collect()) == sorted(EV.roc_curve(df, decimals=4).collect())
+
+
+def test_cluster_session_needs_a_shared_checkpoint_folder():
+    import pytest
+    from staysignal.session import ensure_checkpoint_dir
+
+    class _SC:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class _Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value if key == "spark.checkpoint.dir" else default
+
+    class _Session:
+        def __init__(self, master, configured=None):
+            self.sparkContext, self.conf = _SC(master), _Conf(configured)
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(_Session("yarn"))
+    assert ensure_checkpoint_dir(_Session("yarn", "hdfs:///shared/chk")) == "hdfs:///shared/chk"
+    assert ensure_checkpoint_dir(_Session("local[2]"))  # tests get a folder of their own
