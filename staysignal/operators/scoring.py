@@ -124,7 +124,10 @@ def _ranked_actions(df: DataFrame) -> Column:
             (-delta).alias("neg_delta"), F.lit(aid).alias("action_id"), F.lit(meta[aid][1]).alias("title"),
             F.lit(meta[aid][3]).alias("category"), base_p.alias("baseline_prob"), new_p.alias("new_prob"),
             delta.alias("delta"))))
-    return F.sort_array(F.filter(F.array(*structs), lambda x: x.isNotNull()))
+    # no lambda (it would pull the whole scoring tree out of codegen):
+    # sort_array puts the NULLs of ineligible actions first; skip them
+    n_ok = sum((F.coalesce(c, F.lit(False)).cast("int") for c in elig.values()), F.lit(0))
+    return F.slice(F.sort_array(F.array(*structs)), F.lit(len(structs)) - n_ok + 1, n_ok)
 
 
 def recommend(df: DataFrame, k: int | None = None) -> DataFrame:
