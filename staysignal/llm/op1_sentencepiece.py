@@ -12,20 +12,21 @@ text is that of its words one by one, and words are remembered (a bounded number
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
+_MARK = MARK.encode()
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 250_000  # words in each of two generations
+REMEMBERED = 150_000  # words in each of two generations
 
 
 def model_path(name: str = "piece_bpe_32k") -> str:
@@ -105,41 +106,39 @@ class Unigram:
         self.unknown_score = min([scores[i] for i in normal.values()], default=0.0) - UNKNOWN_PENALTY
         self.bytes = [bytes([int(p[3:5], 16)]) if k == "b" else p.encode() if k == "n" else b"" for p, k in
                       zip(pieces, kinds)]
+        self._table = None
         self.by_words = not any(MARK in p.lstrip(MARK) for p, k in zip(pieces, kinds) if k == "n")
 
     def viterbi(self, raw: bytes) -> list[int]:
         """Piece ids of the best segmentation; of equal ones that with the earlier last start."""
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
-        n = len(raw)
-        best: list[float | None] = [None] * (n + 1)
-        back = [(0, 0)] * (n + 1)
+        n, never = len(raw), float("-inf")
+        best, back, piece = [never] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for i in range(n):
             here = best[i]
-            if here is None:
+            if here == never:
                 continue
-            c = raw[i]
-            width = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
-            node, alone = 0, False
-            for j in range(i, n):
+            node, j, first = 0, i, 0
+            while j < n:
                 t = base[node] + raw[j] + 1
                 if check[t] != node:
                     break
                 node = t
+                j += 1
                 v = value[t]
                 if v >= 0:
-                    to = j + 1
-                    alone |= to == i + width
+                    first = first or j
                     s = here + scores[v]
-                    if best[to] is None or s > best[to]:
-                        best[to], back[to] = s, (i, v)
-            if not alone:
-                s, to = here + self.unknown_score, i + width
-                if best[to] is None or s > best[to]:
-                    best[to], back[to] = s, (i, -1)
+                    if s > best[j]:
+                        best[j], back[j], piece[j] = s, i, v
+            c = raw[i]
+            to = i + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
+            if first != to and here + self.unknown_score > best[to]:  # no piece is this character alone
+                best[to], back[to], piece[to] = here + self.unknown_score, i, -1
         ids, at = [], n
         while at:
-            start, v = back[at]
+            start, v = back[at], piece[at]
             if v >= 0:
                 ids.append(v)
             elif self.byte:
@@ -150,18 +149,29 @@ class Unigram:
         return ids[::-1]
 
     def words(self, text: str) -> list[str]:
-        """Parts of a text that are segmented one by one."""
+        """Parts of a text that are segmented one by one, each without the marker before it."""
         if not text:
             return []
-        marked = MARK + text.replace(" ", MARK)
         if not self.by_words:
-            return [marked]
-        return re.findall(f"{MARK}+[^{MARK}]*", marked)
+            return [text.replace(" ", MARK)]
+        if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
+
+    def decode_all(self, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """Texts of the id lists ids[cuts[i]:cuts[i + 1]]."""
+        if self._table is None:
+            size = np.array([len(b) for b in self.bytes])
+            self._table = np.frombuffer(b"".join(self.bytes), np.uint8), size, np.cumsum(size) - size
+        table, size, start = self._table
+        n = size[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = table[np.repeat(start[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        texts = [raw[a:b].replace(_MARK, b" ").decode("utf-8", "replace") for a, b in zip(ends[cuts], ends[cuts[1:]])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.bytes.__getitem__, ids))
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 @lru_cache(maxsize=2)
@@ -181,32 +191,37 @@ def load(path: str) -> Unigram:
     return Unigram(pieces, scores, kinds)
 
 
-class Encoder:
-    """Word by word, with a bounded memory: of two generations the older goes when the newer is full."""
+class _Words(dict):
+    """ids of words, with a bounded memory: of two generations the older goes when the newer is full."""
 
     def __init__(self, model: Unigram):
-        self.model, self.new, self.old = model, {}, {}
+        super().__init__()
+        self.model, self.old = model, {}
 
-    def word(self, word: str) -> bytes:
-        got = self.new.get(word)
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
         if got is None:
-            got = self.old.get(word)
-            if got is None:
-                got = np.array(self.model.viterbi(word.encode()), "<u4").tobytes()
-            if len(self.new) >= REMEMBERED:
-                self.old, self.new = self.new, {}
-            if len(word) <= 64:
-                self.new[word] = got
+            got = np.array(self.model.viterbi(_MARK + word.encode()), "<u4").tobytes()
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        if len(word) <= 64:
+            self[word] = got
         return got
 
+
+class Encoder:
+    def __init__(self, model: Unigram):
+        self.model, self.known = model, _Words(model)
+
     def encode(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.word, self.model.words(text)))
+        return b"".join(map(self.known.__getitem__, self.model.words(text)))
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text",
            carry: list[str] | None = None) -> DataFrame:
-    """doc_id, the columns ``carry``, and ids.  A null text has null ids, an empty one none.  U+2581 in a
+    """doc_id, the columns ``carry``, ids and their crc32 (as little-endian unsigned 32-bit integers).  A null text has null ids, an empty one none.  U+2581 in a
     text is a space afterwards, as with every SentencePiece model."""
     path, carry = path or model_path(), carry or []
 
@@ -222,12 +237,14 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
                 lists = pa.ListArray.from_arrays(
                     pa.array(cuts, pa.int32(), mask=np.array([*[r is None for r in raw], False])),
                     pa.array(np.frombuffer(b"".join(r or b"" for r in raw), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[part.column(2 + i) for i in range(len(carry))], lists],
-                                                 names=["doc_id", *carry, "ids"])
+                crc = pa.array([None if r is None else zlib.crc32(r) for r in raw], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *[part.column(2 + i) for i in range(len(carry))], lists, crc],
+                    names=["doc_id", *carry, "ids", "ids_crc32"])
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in carry]).mapInArrow(
-        f, f"doc_id long, {kept + ', ' if kept else ''}ids array<int>")
+        f, f"doc_id long, {kept + ', ' if kept else ''}ids array<int>, ids_crc32 long")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -237,9 +254,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def f(batches):
         model = shared.value
         for b in batches:
-            ids = b.column("ids").to_pylist()
-            texts = pa.array([None if x is None else model.decode(x) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, "decoded"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                lists = part.column("ids")
+                cuts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+                texts = model.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), cuts)
+                texts = pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(f, T.StructType([*encoded.schema, T.StructField("decoded", T.StringType())]))
 
@@ -248,17 +269,6 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and whether the round trip is exact."""
     rows = docs.select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     done = decode(encode(rows, carry=["text_sha256"]))
-
-    def f(batches):
-        for b in batches:
-            lists, sha = b.column("ids"), b.column("text_sha256").to_pylist()
-            cuts = lists.offsets.to_numpy()
-            raw = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [None if s is None else zlib.crc32(raw[x:y].tobytes()) for s, x, y in zip(sha, cuts, cuts[1:])]
-            own = [None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in b.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(cuts), pa.int64()), pa.array(crc, pa.int64()),
-                 pa.array(own, pa.string()), pa.array([x == y for x, y in zip(sha, own)])],
-                names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
-
-    return done.mapInArrow(f, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    done = done.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids_crc32",
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "text_sha256")
+    return done.withColumn("round_trip", F.col("decoded_sha256") == F.col("text_sha256")).drop("text_sha256")
