@@ -105,41 +105,26 @@ def threshold_curve(scored: DataFrame, grid: list[float] | None = None) -> DataF
     return agg.select(F.round("t", 6).alias("threshold"), *[F.round(v, 6).alias(k) for k, v in m.items()])
 
 
-# With scores of at most this many decimals the histogram is small enough
-# (<= 10^d + 1 rows) for one window over it.
-MAX_WINDOW_DECIMALS = 5
-
-
-def _cumulative(scored: DataFrame, decimals: int | None = None) -> DataFrame:
-    """Histogram rows in descending score order with running TP / FP.
-
-    ``decimals``: the scores' precision when it is known and small (the
-    scorecard's 4).  Scores are then rounded to it, which bounds the histogram
-    at 10^decimals + 1 rows, and one window runs over it; otherwise the
-    running counts are the distributed prefix sum."""
-    if decimals is not None and decimals <= MAX_WINDOW_DECIMALS:
-        scored = scored.withColumn("p", F.round(F.col("p"), decimals))
+def _cumulative(scored: DataFrame) -> DataFrame:
+    """Histogram rows in descending score order with running TP / FP, the
+    distributed prefix sum whatever the scores' precision."""
     hist = score_histogram(scored)
     tot = scalar_stats(hist, P=F.sum("pos"), N=F.sum("neg"))
-    if decimals is not None and decimals <= MAX_WINDOW_DECIMALS:
-        w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        run = hist.select("*", F.sum("pos").over(w).alias("cum_pos"), F.sum("neg").over(w).alias("cum_neg"))
-    else:
-        run = running_sums(hist, F.desc("p"), ["pos", "neg"])
+    run = running_sums(hist, F.desc("p"), ["pos", "neg"])
     return run.select("p", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                       tot["P"].alias("tot_pos"), tot["N"].alias("tot_neg"))
 
 
-def roc_curve(scored: DataFrame, decimals: int | None = None) -> DataFrame:
+def roc_curve(scored: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, highest first."""
-    c = _cumulative(scored, decimals)
+    c = _cumulative(scored)
     return c.select(F.col("p").alias("threshold"), F.round(_div0(F.col("fp"), F.col("tot_neg")), 6).alias("fpr"),
                     F.round(_div0(F.col("tp"), F.col("tot_pos")), 6).alias("tpr"))
 
 
-def roc_auc(scored: DataFrame, decimals: int | None = None) -> DataFrame:
+def roc_auc(scored: DataFrame) -> DataFrame:
     """Trapezoid area under the ROC points (ties handled as one step)."""
-    c = _cumulative(scored, decimals)
+    c = _cumulative(scored)
     fpr = _div0(F.col("fp"), F.col("tot_neg"))
     tpr = _div0(F.col("tp"), F.col("tot_pos"))
     fpr0 = _div0(F.col("fp") - F.col("neg"), F.col("tot_neg"))
@@ -147,16 +132,16 @@ def roc_auc(scored: DataFrame, decimals: int | None = None) -> DataFrame:
     return c.agg(F.round(F.sum((fpr - fpr0) * (tpr + tpr0) / 2.0), 6).alias("roc_auc"))
 
 
-def pr_curve(scored: DataFrame, decimals: int | None = None) -> DataFrame:
-    c = _cumulative(scored, decimals)
+def pr_curve(scored: DataFrame) -> DataFrame:
+    c = _cumulative(scored)
     return c.select(F.col("p").alias("threshold"),
                     F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"),
                     F.round(_div0(F.col("tp"), F.col("tot_pos")), 6).alias("recall"))
 
 
-def average_precision(scored: DataFrame, decimals: int | None = None) -> DataFrame:
+def average_precision(scored: DataFrame) -> DataFrame:
     """sum over thresholds of (R_n - R_{n-1}) * P_n, plus the base rate."""
-    c = _cumulative(scored, decimals)
+    c = _cumulative(scored)
     rec = _div0(F.col("tp"), F.col("tot_pos"))
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     rec0 = _div0(F.col("tp") - F.col("pos"), F.col("tot_pos"))

@@ -25,7 +25,9 @@ from ..constants import CATEGORICAL_FEATURES, ID_COL, NUMERIC_FEATURES, TARGET
 from ..operators.clean import category_levels, one_hot
 from . import evaluate as EV
 
-TREE_MODELS = ("decision_tree", "random_forest", "gbt")
+# Models taken in this order if they are about as good as the best one.
+PREFERRED = ("gbt", "random_forest")
+POSITIVE_WEIGHT_COL, POSITIVE_WEIGHT = "positive_weight", 3.0  # of boosting
 
 
 def indicator_names(levels: dict[str, list[str]]) -> list[str]:
@@ -53,44 +55,39 @@ def feature_names(levels: dict[str, list[str]]) -> list[str]:
 
 def estimators(seed: int = 42, weight_col: str | None = "weight") -> dict:
     lr = LogisticRegression(maxIter=2000, featuresCol="features", labelCol=TARGET)
-    if weight_col:
-        lr = lr.setWeightCol(weight_col)
-    return {
-        "logistic_regression": lr,
-        "decision_tree": DecisionTreeClassifier(maxDepth=8, seed=seed, featuresCol="features", labelCol=TARGET),
-        "random_forest": RandomForestClassifier(numTrees=200, maxDepth=12, seed=seed, featuresCol="features",
-                                                labelCol=TARGET),
-        "gbt": GBTClassifier(maxIter=200, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, seed=seed,
-                             featuresCol="features", labelCol=TARGET),
-    }
+    tree = DecisionTreeClassifier(maxDepth=8, seed=seed, featuresCol="features", labelCol=TARGET)
+    forest = RandomForestClassifier(numTrees=200, maxDepth=12, seed=seed, featuresCol="features", labelCol=TARGET)
+    gbt = GBTClassifier(maxIter=200, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, seed=seed,
+                        featureSubsetStrategy="0.8", featuresCol="features", labelCol=TARGET)
+    if weight_col:  # balanced classes; boosting weighs the positive class by a fixed factor
+        lr, tree, forest = (e.setWeightCol(weight_col) for e in (lr, tree, forest))
+        gbt = gbt.setWeightCol(POSITIVE_WEIGHT_COL)
+    return {"logistic_regression": lr, "decision_tree": tree, "random_forest": forest, "gbt": gbt}
 
 
 def p1(col: str = "probability"):
     return vector_to_array(F.col(col))[1]
 
 
-def prepare(train: DataFrame, test: DataFrame, weights: bool = True, rows_per_partition: int = 1_000_000):
+def prepare(train: DataFrame, test: DataFrame, weights: bool = True):
     """Encode + assemble both sides with statistics learnt on ``train``."""
     from .resample import with_class_weight
     levels = category_levels(train, CATEGORICAL_FEATURES)
     tr = encode(train, levels)
     te = encode(test, levels)
     if weights:
-        tr = with_class_weight(tr, TARGET)
+        tr = with_class_weight(tr, TARGET).withColumn(
+            POSITIVE_WEIGHT_COL, F.when(F.col(TARGET) == 1, POSITIVE_WEIGHT).otherwise(1.0))
     pre = preprocessor(levels).fit(tr)
     # Iterative learners rescan their input many times: keep the assembled
-    # frames (memory, spilling to disk) instead of replaying the lineage, in a
-    # partition count proportional to the row count so tiny inputs do not pay
-    # per-task overhead on every boosting round while large ones stay spread.
-    tr_out = pre.transform(tr)
-    n = tr_out.count()
-    parts = max(1, min(tr_out.rdd.getNumPartitions(), -(-n // rows_per_partition)))
-    return tr_out.coalesce(parts).persist(), pre.transform(te).persist(), levels, pre
+    # frames (memory, spilling to disk) instead of replaying the lineage.
+    # Their partitions are those of the input.
+    return pre.transform(tr).persist(), pre.transform(te).persist(), levels, pre
 
 
 def fit_predict(name: str, est, tr: DataFrame, te: DataFrame):
     model = est.fit(tr)
-    pred = model.transform(te).select(ID_COL, F.col(TARGET).alias("y"), F.round(p1(), 4).alias("p"))
+    pred = model.transform(te).select(ID_COL, F.col(TARGET).alias("y"), p1().alias("p"))
     return model, pred
 
 
@@ -114,7 +111,8 @@ def cv_auc(est, tr: DataFrame, folds: int = 5, parallelism: int = 5, fold_col: s
     from multiprocessing.pool import ThreadPool
 
     import numpy as np
-    ev = BinaryClassificationEvaluator(labelCol=TARGET, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+    ev = BinaryClassificationEvaluator(labelCol=TARGET, rawPredictionCol="rawPrediction", metricName="areaUnderROC",
+                                       numBins=0)
 
     def one(i: int) -> float:
         model = est.copy().fit(tr.filter(F.col(fold_col) != i))
@@ -153,7 +151,7 @@ def soft_vote(preds: list[DataFrame]) -> DataFrame:
     for i, p in enumerate(preds[1:], start=1):
         out = out.join(p.select(ID_COL, F.col("p").alias(f"p{i}")), ID_COL)
     mean = sum((F.col(f"p{i}") for i in range(len(preds))), F.lit(0.0)) / float(len(preds))
-    return out.select(ID_COL, "y", F.round(mean, 4).alias("p"))
+    return out.select(ID_COL, "y", mean.alias("p"))
 
 
 def leaderboard(lb: DataFrame) -> DataFrame:
@@ -163,17 +161,18 @@ def leaderboard(lb: DataFrame) -> DataFrame:
 
 
 def select_best(lb: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """Best cross-validated AUC; a tree model within ``tolerance`` of the
-    best is preferred; the ensemble maps to the boosting model."""
+    """The first of ``PREFERRED`` whose test AUC is within ``tolerance`` of the
+    best one, the ensemble's included; otherwise the model with the best AUC, where
+    the ensemble stands for the boosting model.  One row per model comes in."""
     from pyspark.sql import Window
-    score = F.coalesce(F.col("cv_auc_mean"), F.col("roc_auc"))
-    cand = lb.filter(F.col("name") != "soft_vote").withColumn("score", score)
-    best = cand.agg(F.max("score")).scalar()
-    is_tree = F.col("name").isin(*TREE_MODELS)
-    pref = F.when(is_tree & (F.col("score") >= best - tolerance), 0).otherwise(1)
-    w = Window.orderBy(pref, F.desc("score"), F.asc("name"))
-    return (cand.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1)
-                .select("name", "score", "roc_auc", "cv_auc_mean"))
+    best = lb.agg(F.max("roc_auc")).scalar()
+    pref = F.lit(len(PREFERRED))
+    for i, name in reversed(list(enumerate(PREFERRED))):
+        pref = F.when((F.col("name") == name) & (F.col("roc_auc") >= best - tolerance), i).otherwise(pref)
+    w = Window.orderBy(pref, F.desc("roc_auc"), F.asc("name"))
+    first = lb.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1)
+    name = F.when(F.col("name") == "soft_vote", "gbt").otherwise(F.col("name"))
+    return first.select(name.alias("name"), F.col("roc_auc").alias("score"), "roc_auc", "cv_auc_mean")
 
 
 def tune_logistic(train: DataFrame, draws: int = 20, folds: int = 5, seed: int = 42, parallelism: int = 8):
@@ -185,7 +184,7 @@ def tune_logistic(train: DataFrame, draws: int = 20, folds: int = 5, seed: int =
             .addGrid(lr.elasticNetParam, [0.0, 0.25, 0.5, 0.75, 1.0]).addGrid(lr.fitIntercept, [True, False]).build())
     rnd = random.Random(seed)
     picked = rnd.sample(grid, min(draws, len(grid)))
-    ev = BinaryClassificationEvaluator(labelCol=TARGET, metricName="areaUnderROC")
+    ev = BinaryClassificationEvaluator(labelCol=TARGET, metricName="areaUnderROC", numBins=0)
     cv = CrossValidator(estimator=lr, estimatorParamMaps=picked, evaluator=ev, numFolds=folds, seed=seed,
                         parallelism=parallelism)
     if "fold" in tr.columns:

@@ -256,8 +256,8 @@ def multi_histogram(df: DataFrame, cols: list[str], bins: int = HIST_BINS, by: s
                       "n")
 
 
-def distribution_columns(df: DataFrame, cols=NUMERIC_FEATURES, limit: int = 6) -> list[str]:
-    """Numeric columns with more than two distinct values (first ``limit``).
+def distribution_columns(df: DataFrame, cols=NUMERIC_FEATURES, limit: int | None = None) -> list[str]:
+    """Numeric columns with more than two distinct values (all, or the first ``limit``).
     One aggregate returning one small row of counts."""
     row = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
     return [c for c in cols if row[c] > 2][:limit]

@@ -32,10 +32,24 @@ def test_select_best_prefers_tree_within_tolerance(spark):
                                 ("random_forest", 0.8, 0.8, 0.8, 0.8, 0.84, 0.847, 0.01),
                                 ("gbt", 0.8, 0.8, 0.8, 0.8, 0.83, 0.830, 0.01),
                                 ("soft_vote", 0.8, 0.8, 0.8, 0.8, 0.90, None, None)], M.LEADERBOARD_SCHEMA)
-    assert M.select_best(lb).first().name == "random_forest"
-    lb2 = lb.withColumn("cv_auc_mean", F.when(F.col("name") == "random_forest", 0.80)
-                        .otherwise(F.col("cv_auc_mean")))
-    assert M.select_best(lb2).first().name == "logistic_regression"
+    assert M.select_best(lb).first().name == "gbt"  # the ensemble wins and stands for boosting
+    alone = lb.filter("name <> 'soft_vote'")
+    assert M.select_best(alone).first().name == "logistic_regression"
+    near = alone.withColumn("roc_auc", F.when(F.col("name") == "random_forest", 0.846).otherwise(F.col("roc_auc")))
+    assert M.select_best(near).first().name == "random_forest"
+    both = near.withColumn("roc_auc", F.when(F.col("name") == "gbt", 0.8455).otherwise(F.col("roc_auc")))
+    assert M.select_best(both).first().name == "gbt"
+
+
+def test_auc_of_raw_scores_equals_the_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    import numpy as np
+    rng = np.random.default_rng(1)
+    p = rng.random(3000)
+    y = (rng.random(3000) < p).astype(int)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double")
+    want = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="p", numBins=0).evaluate(df)
+    assert abs(EV.roc_auc(df).first().roc_auc - want) < 1e-6
 
 
 def test_kmeans_labels_and_silhouette(spark):
