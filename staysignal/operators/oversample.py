@@ -22,8 +22,9 @@ from .resample import stratified_rank
 
 def smote(df: DataFrame, key: str, vec: str, label: str, ratio: float = 0.8, k: int = 5, seed: int = 42,
           block_size: int = 64) -> DataFrame:
-    """Returns ``df`` plus synthetic minority rows (``synthetic`` = true,
-    ``key`` = -(parent key * 1e6 + child index) - 1)."""
+    """Returns ``df`` plus synthetic minority rows: ``synthetic`` = true, a
+    NULL ``key``, and the pair (``parent_key``, ``child``) naming each one.
+    Ids may be of any type; other columns of ``df`` are NULL in new rows."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) != 2:
         raise ValueError("SMOTE needs exactly two classes")
@@ -52,8 +53,8 @@ def smote(df: DataFrame, key: str, vec: str, label: str, ratio: float = 0.8, k:
     u = F.pmod(F.xxhash64(F.col(key), F.col("child"), F.lit(seed + 1)), F.lit(1000003)) / F.lit(1000003.0)
     kids = kids.withColumn("__u", u)
     new_vec = F.zip_with(F.col(vec), F.col("__nb"), lambda a, b: a + F.col("__u") * (b - a))
-    syn = kids.select((-(F.col(key) * 1000000 + F.col("child")) - 1).alias(key), new_vec.alias(vec),
+    syn = kids.select(F.lit(None).cast(df.schema[key].dataType).alias(key), new_vec.alias(vec),
                       F.lit(minority).cast(df.schema[label].dataType).alias(label),
                       F.lit(True).alias("synthetic"),
-                      F.col(key).alias("parent_key"), F.col("nbr_id").alias("neighbor_key"))
+                      F.col(key).alias("parent_key"), "child", F.col("nbr_id").alias("neighbor_key"))
     return base.unionByName(syn, allowMissingColumns=True)

@@ -8,7 +8,8 @@ deterministic hash ``h`` and a bucket ``b = h * B / H``:
 
 1. count rows per (stratum, bucket)  -- a partial aggregate, <= strata x B rows;
 2. running count of earlier buckets per stratum -- a window over that small
-   table, broadcast back (its size is bounded by strata x B, not by data);
+   table, joined back on (stratum, bucket) (broadcast only if the planner
+   measures it to be small: the strata are the caller's columns);
 3. rank inside (stratum, bucket) -- windows over ~n / (strata x B) rows each.
 
 rank = offset(stratum, bucket) + in-bucket rank is the exact position of the
@@ -21,14 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_MOD = 1000003
-HASH_MULT = 40503
+HASH_HEX_DIGITS = 15
+HASH_MOD = 16 ** HASH_HEX_DIGITS
 
 
 def row_hash(key: Column, seed: int = 42) -> Column:
-    """Deterministic pseudo-random value in [0, HASH_MOD) from an integer key
-    (modular arithmetic, so other engines can reproduce it)."""
-    return F.pmod(key * F.lit(HASH_MULT) + F.lit(seed), F.lit(HASH_MOD))
+    """Deterministic pseudo-random value in [0, 2^60) from an id of any type:
+    the leading hex digits of the MD5 of ``<id text>:<seed>`` (NULL ids hash
+    like the empty text), which other engines reproduce."""
+    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, HASH_HEX_DIGITS), 16, 10).cast("bigint")
 
 
 def stratified_rank(df: DataFrame, key: str, strata: list[str] | None = None, seed: int = 42,
@@ -37,15 +40,17 @@ def stratified_rank(df: DataFrame, key: str, strata: list[str] | None = None, se
     (hash, key)) and ``stratum_n`` (stratum size)."""
     strata = list(strata or [])
     h = row_hash(F.col(key), seed)
-    d = df.withColumn("__h", h).withColumn("__b", (F.col("__h") * buckets / HASH_MOD).cast("int"))
+    d = df.withColumn("__h", h).withColumn("__b", (F.col("__h") / float(HASH_MOD) * buckets).cast("int"))
     counts = d.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy(*strata).orderBy("__b") if strata else Window.orderBy("__b")
     offsets = counts.select(*strata, "__b",
                             (F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
                              - F.col("__cnt")).alias("__off"),
                             F.sum("__cnt").over(Window.partitionBy(*strata)).alias("stratum_n"))
-    # strata x buckets rows: a size bound fixed by the parameters, not the data
-    d = d.join(F.broadcast(offsets), [*strata, "__b"])
+    names = {c: f"__s{i}" for i, c in enumerate(strata)}
+    offsets = offsets.withColumnsRenamed({**names, "__b": "__ob"})
+    cond = [F.col("__b") == F.col("__ob")] + [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    d = d.join(offsets, cond).drop("__ob", *names.values())
     wb = Window.partitionBy(*strata, "__b").orderBy("__h", key)
     return d.withColumn("rank", (F.col("__off") + F.row_number().over(wb) - 1).cast("bigint")) \
             .drop("__b", "__off")

@@ -20,7 +20,7 @@ from .catalog import query
 from .context import cust, raw
 from .oracle import ORACLE, oracle
 from . import q_clean, q_profile, q_sample  # noqa: F401  (oracles reused below)
-from .q_value import batch_input  # noqa: F401
+from .q_value import _SCORE_OUT, BATCH_SUMMARY_SQL, bsql
 
 
 @query("scan_csv")
@@ -30,7 +30,25 @@ def q_scan_csv(spark, sf):
     return FS.scan_csv(spark, path + "-missing", fallback=path)
 
 
-oracle("scan_csv", ORACLE["scan_parquet"])
+@query("scan_csv_plain")
+def q_scan_csv_plain(spark, sf):
+    """A file without an index column."""
+    path = shared_path(spark, "customers-plain-csv")
+    FS.write_csv(raw(spark, sf), path, index_col=None)
+    return FS.scan_csv(spark, path)
+
+
+@query("scan_csv_reordered")
+def q_scan_csv_reordered(spark, sf):
+    """A file with its columns in another order."""
+    path = shared_path(spark, "customers-reordered-csv")
+    df = raw(spark, sf)
+    FS.write_csv(df.select(*reversed(df.columns)), path, index_col=None)
+    return FS.scan_csv(spark, path)
+
+
+for _name in ("scan_csv", "scan_csv_plain", "scan_csv_reordered"):
+    oracle(_name, ORACLE["scan_parquet"])
 
 
 @query("scan_csv_upload")
@@ -61,17 +79,16 @@ oracle("sink_cleaned", ORACLE["clean_pipeline"])
 
 @query("sink_train_test")
 def q_sink_train_test(spark, sf):
-    c = cust(spark, sf).withColumn("cust_key", F.substring(F.col(ID_COL), 2, 20).cast("bigint"))
-    s = R.split(c, "cust_key", 0.2, [TARGET]).drop("cust_key")
+    s = R.split(cust(spark, sf), ID_COL, 0.2, [TARGET])
     path = shared_path(spark, "train-test")
     SK.sink_train_test(spark, s, path, CATEGORICAL_FEATURES, NUMERIC_FEATURES)
     meta = SK.read_json_sidecar(spark, f"{path}/columns")
     if meta["cat_cols"] != CATEGORICAL_FEATURES:
         raise AssertionError("column sidecar did not round-trip")
-    return spark.read.parquet(f"{path}/data").select(ID_COL, TARGET, "split")
+    return spark.read.parquet(f"{path}/data")
 
 
-oracle("sink_train_test", ORACLE["split_stratified"])
+oracle("sink_train_test", q_sample.split_sql("*"))
 
 
 @query("sink_scores")
@@ -79,22 +96,25 @@ def q_sink_scores(spark, sf):
     from .q_value import batch_scored, q_batch_summary
     path = shared_path(spark, "scores")
     SK.sink_scores(batch_scored(spark, sf), q_batch_summary(spark, sf), path)
-    return spark.read.parquet(f"{path}/summary")
+    summary = spark.read.parquet(f"{path}/summary")  # one row
+    scores = spark.read.parquet(f"{path}/scores").select(*_SCORE_OUT, "CLV_Estimate", "Revenue_at_Risk")
+    return scores.withColumns({c: summary.select(c).scalar() for c in summary.columns})
 
 
-oracle("sink_scores", ORACLE["batch_summary"])
+oracle("sink_scores", bsql(
+    f"SELECT {', '.join(_SCORE_OUT)}, CLV_Estimate, Revenue_at_Risk, total, churn_n, stay_n, churn_rate_pct, "
+    "mean_prob_pct FROM bsc, bsum", f"bsum AS ({BATCH_SUMMARY_SQL})"))
 
 
 @query("score_stream")
 def q_score_stream(spark, sf):
     """Raw customers land as several parquet files; an availableNow stream
-    scores them; the sink table must equal the batch scores."""
+    scores them all (rows whose TotalCharges does not parse too)."""
     landing = shared_path(spark, "landing")
     raw(spark, sf).repartition(4).write.mode("overwrite").parquet(landing)
     out, chk = shared_path(spark, "stream-out"), shared_path(spark, "stream-chk")
     q = start_scoring(spark, landing, out, chk)
     q.awaitTermination()
-    from .q_value import _SCORE_OUT
     return spark.read.parquet(out).select(*_SCORE_OUT)
 
 

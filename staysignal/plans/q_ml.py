@@ -17,15 +17,16 @@ from ..operators import cluster as CL
 from ..operators import models as M
 from ..operators import resample as R
 from ..session import shared_path
+from . import q_sample
 from .catalog import query
 from .context import cust
+from .oracle import oracle
 
 
 def train_test(spark, sf):
     """80/20 stratified split; the train side carries a stratified 5-fold id."""
-    c = cust(spark, sf).withColumn("cust_key", F.substring(F.col(ID_COL), 2, 20).cast("bigint"))
-    s = R.split(c, "cust_key", 0.2, [TARGET]).persist()
-    train = R.kfold(s.filter(F.col("split") == "train").drop("split"), "cust_key", 5, [TARGET]).persist()
+    s = R.split(cust(spark, sf), ID_COL, 0.2, [TARGET]).persist()
+    train = R.kfold(s.filter(F.col("split") == "train").drop("split"), ID_COL, 5, [TARGET]).persist()
     test = s.filter(F.col("split") == "test").drop("split")
     return train, test
 
@@ -209,20 +210,33 @@ def q_smote(spark, sf):
     from ..operators.oversample import smote
     train, test = train_test(spark, sf)
     tr, _, _, _ = M.prepare(train, test, weights=False)
-    arr = tr.select("cust_key", TARGET, M.vector_to_array(F.col("features")).alias("x"))
-    out = smote(arr, "cust_key", "x", TARGET, ratio=0.8, k=5)
-    return out.select("cust_key", TARGET, "synthetic", F.size("x").alias("n_features"))
+    arr = tr.select(ID_COL, TARGET, M.vector_to_array(F.col("features")).alias("x"))
+    return smote(arr, ID_COL, "x", TARGET, ratio=0.8, k=5)
+
+
+@query("smote_counts")
+def q_smote_counts(spark, sf):
+    """Rows per class before and after oversampling."""
+    n = q_smote(spark, sf).groupBy(TARGET).agg(F.count_if(~F.col("synthetic")).alias("before"),
+                                               F.count(F.lit(1)).alias("after"))
+    return n
+
+
+_TRAIN_COUNTS = q_sample.split_sql("customerID, Churn")
+oracle("smote_counts", f"""
+WITH n AS (SELECT Churn, COUNT(*) AS before FROM ({_TRAIN_COUNTS}) t WHERE split = 'train' GROUP BY Churn)
+SELECT Churn, before, CASE WHEN before = (SELECT MIN(before) FROM n)
+  THEN GREATEST(before, CAST(FLOOR(0.8e0 * (SELECT MAX(before) FROM n)) AS BIGINT)) ELSE before END AS after FROM n""")
 
 
 @query("label_propagation")
 def q_label_propagation(spark, sf):
     from ..operators.semi import label_propagation
-    c = cust(spark, sf).withColumn("cust_key", F.substring(F.col(ID_COL), 2, 20).cast("bigint"))
-    masked = R.mask_labels(c, "cust_key")
+    masked = R.mask_labels(cust(spark, sf), ID_COL)
     feats = CL._assembled(masked)
-    arr = feats.select("cust_key", TARGET, "masked_label", M.vector_to_array(F.col("features")).alias("x"))
-    out = label_propagation(arr, "cust_key", "x", "masked_label", k=7)
-    return out.join(arr.select("cust_key", TARGET), "cust_key")
+    arr = feats.select(ID_COL, TARGET, "masked_label", M.vector_to_array(F.col("features")).alias("x"))
+    out = label_propagation(arr, ID_COL, "x", "masked_label", k=7)
+    return out.join(arr.select(ID_COL, TARGET), ID_COL)
 
 
 @query("shap_tree")

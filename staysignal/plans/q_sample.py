@@ -14,17 +14,13 @@ from .context import cust
 from .oracle import oracle
 from .sqlbase import with_ctes
 
-_K = "CAST(SUBSTRING(customerID, 2, 20) AS BIGINT)"
-_H = f"(({_K} * {R.HASH_MULT} + 42) % {R.HASH_MOD})"
-
-
-def keyed(spark, sf):
-    return cust(spark, sf).withColumn("cust_key", F.substring(F.col(ID_COL), 2, 20).cast("bigint"))
+_K = "customerID"
+_H = f"CAST(CONCAT('0x', SUBSTRING(MD5(CONCAT({_K}, ':42')), 1, {R.HASH_HEX_DIGITS})) AS BIGINT)"
 
 
 @query("split_stratified")
 def q_split_stratified(spark, sf):
-    return R.split(keyed(spark, sf), "cust_key", 0.2, ["Churn"]).select(ID_COL, "Churn", "split")
+    return R.split(cust(spark, sf), ID_COL, 0.2, ["Churn"]).select(ID_COL, "Churn", "split")
 
 
 def _rank_sql(partition: str, cols: str) -> str:
@@ -33,14 +29,18 @@ def _rank_sql(partition: str, cols: str) -> str:
             f"COUNT(*) OVER ({part.strip()}) AS n FROM cust")
 
 
-oracle("split_stratified", with_ctes(
-    "SELECT customerID, Churn, CASE WHEN rank < FLOOR(0.2e0 * n + 0.5e0) THEN 'test' ELSE 'train' END AS split "
-    f"FROM ({_rank_sql('Churn', 'customerID, Churn')}) t"))
+def split_sql(cols: str) -> str:
+    out = "* EXCLUDE (rank, n)" if cols == "*" else cols
+    return with_ctes(f"SELECT {out}, CASE WHEN rank < FLOOR(0.2e0 * n + 0.5e0) THEN 'test' ELSE 'train' END AS split "
+                     f"FROM ({_rank_sql('Churn', cols)}) t")
+
+
+oracle("split_stratified", split_sql("customerID, Churn"))
 
 
 @query("split_random")
 def q_split_random(spark, sf):
-    return R.split(keyed(spark, sf), "cust_key", 0.3).select(ID_COL, "split")
+    return R.split(cust(spark, sf), ID_COL, 0.3).select(ID_COL, "split")
 
 
 oracle("split_random", with_ctes(
@@ -50,7 +50,7 @@ oracle("split_random", with_ctes(
 
 @query("kfold")
 def q_kfold(spark, sf):
-    return R.kfold(keyed(spark, sf), "cust_key", 5, ["Churn"]).select(ID_COL, "Churn", "fold")
+    return R.kfold(cust(spark, sf), ID_COL, 5, ["Churn"]).select(ID_COL, "Churn", "fold")
 
 
 oracle("kfold", with_ctes(
@@ -59,7 +59,7 @@ oracle("kfold", with_ctes(
 
 @query("sample_rows")
 def q_sample_rows(spark, sf):
-    return R.sample_rows(keyed(spark, sf), "cust_key", 300).select(ID_COL, "tenure", "MonthlyCharges")
+    return R.sample_rows(cust(spark, sf), ID_COL, 300).select(ID_COL, "tenure", "MonthlyCharges")
 
 
 oracle("sample_rows", with_ctes(f"SELECT customerID, tenure, MonthlyCharges FROM cust ORDER BY {_H}, {_K} LIMIT 300"))
@@ -77,7 +77,7 @@ oracle("class_weights", with_ctes(
 
 @query("mask_labels")
 def q_mask_labels(spark, sf):
-    return R.mask_labels(keyed(spark, sf), "cust_key").select(ID_COL, "masked_label")
+    return R.mask_labels(cust(spark, sf), ID_COL).select(ID_COL, "masked_label")
 
 
 oracle("mask_labels", with_ctes(

@@ -24,8 +24,8 @@ from .sqlbase import CLEAN_COLS, CLEAN_SELECT, margin_sql, prob_sql, with_ctes
 
 
 def batch_input(spark, sf):
-    """Scoring input: the label is dropped before cleaning (no row lost)."""
-    return K.clean(raw(spark, sf).drop("Churn"), keep_id=True)
+    """Scoring input: no label, and cleaning that drops no row."""
+    return K.preprocess_score_input(raw(spark, sf).drop("Churn"))
 
 
 def batch_scored(spark, sf):
@@ -37,9 +37,7 @@ def eval_table(spark, sf):
     return c.select(ID_COL, F.col("Churn").alias("y"), scorecard.probability().alias("p"))
 
 
-_BAT_COLS = [c for c in CLEAN_COLS if c != "Churn"]
-BAT_CTE = ("bat AS (SELECT * EXCLUDE (Churn) FROM (" + CLEAN_SELECT + ") t WHERE "
-           + " AND ".join(f"{c} IS NOT NULL" for c in _BAT_COLS) + ")")
+BAT_CTE = f"bat AS (SELECT * EXCLUDE (Churn) FROM ({CLEAN_SELECT}) t)"
 
 _EXPECTED_SQL = ("CASE Contract WHEN 'Month-to-month' THEN 24.0e0 WHEN 'One year' THEN 36.0e0 "
                  "WHEN 'Two year' THEN 60.0e0 ELSE 24.0e0 END")
@@ -100,11 +98,12 @@ def q_batch_summary(spark, sf):
                  F.round(F.avg("Churn_Probability"), 4).alias("mean_prob_pct"))
 
 
-oracle("batch_summary", bsql(
+BATCH_SUMMARY_SQL = (
     "SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE Prediction = 'Churn') AS churn_n, "
     "COUNT(*) FILTER (WHERE Prediction <> 'Churn') AS stay_n, "
     "ROUND(COUNT(*) FILTER (WHERE Prediction = 'Churn') * 100.0 / COUNT(*), 4) AS churn_rate_pct, "
-    "ROUND(AVG(Churn_Probability), 4) AS mean_prob_pct FROM bsc"))
+    "ROUND(AVG(Churn_Probability), 4) AS mean_prob_pct FROM bsc")
+oracle("batch_summary", bsql(BATCH_SUMMARY_SQL))
 
 
 @query("risk_distribution")

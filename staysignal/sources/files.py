@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import RAW_COLUMNS
+from ..constants import RAW_COLUMNS, UPLOAD_REQUIRED
 
 _INT_COLS = {"SeniorCitizen": T.IntegerType(), "tenure": T.LongType(), "MonthlyCharges": T.DoubleType()}
 
 # Raw customer file schema: declared, never inferred.
 RAW_SCHEMA = T.StructType([T.StructField(c, _INT_COLS.get(c, T.StringType()), True) for c in RAW_COLUMNS])
-INDEX_COLUMNS = ("_c0", "Unnamed: 0")
 
 # Keep the file's own whitespace (' Yes', ' ') and read empty fields as NULL.
 CSV_OPTIONS = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
@@ -27,30 +26,50 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def scan_csv(spark: SparkSession, path: str, fallback: str | None = None,
-             schema: T.StructType = RAW_SCHEMA, index_column: bool = True) -> DataFrame:
-    """Read the customer CSV with a declared schema; use ``fallback`` when
-    ``path`` does not exist; drop a leading index column by name."""
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """Column names in the file's first line (an unnamed column is ``_cN``)."""
+    return spark.read.options(**CSV_OPTIONS).csv(path).columns
+
+
+def _read_by_header(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None,
+                    corrupt: str | None = None) -> DataFrame:
+    """The file's columns are found by name, whatever their order; columns
+    outside ``schema`` (an index column, extras) are dropped, optional ones
+    that the file lacks are NULL, and missing required names raise."""
+    names = _header(spark, path)
+    missing = [c for c in (required if required is not None else schema.names) if c not in names]
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
+    types = {f.name: f.dataType for f in schema.fields}
+    full = T.StructType([T.StructField(c, types.get(c, T.StringType()), True) for c in names])
+    reader = spark.read.options(**CSV_OPTIONS).option("enforceSchema", "false")
+    if corrupt:
+        full = full.add(corrupt, T.StringType())
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
+    df = reader.schema(full).csv(path)
+    out = [F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return df.select(*out, *([corrupt] if corrupt else []))
+
+
+def scan_csv(spark: SparkSession, path: str, fallback: str | None = None, schema: T.StructType = RAW_SCHEMA,
+             required: list[str] | None = None) -> DataFrame:
+    """Read the customer CSV with declared types, columns by header name
+    (``required``: all of the schema's); use ``fallback`` when ``path`` does
+    not exist."""
     if not path_exists(spark, path):
         if fallback and path_exists(spark, fallback):
             path = fallback
         else:
             raise FileNotFoundError(f"no data file at {path}" + (f" or {fallback}" if fallback else ""))
-    full = T.StructType([T.StructField("_c0", T.StringType(), True)] + schema.fields) if index_column else schema
-    df = spark.read.schema(full).options(**CSV_OPTIONS).csv(path)
-    return df.drop(*[c for c in INDEX_COLUMNS if c in df.columns])
+    return _read_by_header(spark, path, schema, required)
 
 
 def scan_csv_upload(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
-                    index_column: bool = True) -> DataFrame:
-    """Permissive parse: malformed lines keep their text in
-    ``_corrupt_record`` instead of failing the job (no size cap: the reader
-    splits the file across tasks)."""
-    fields = ([T.StructField("_c0", T.StringType(), True)] if index_column else []) + schema.fields
-    full = T.StructType(fields + [T.StructField("_corrupt_record", T.StringType(), True)])
-    df = (spark.read.schema(full).options(**CSV_OPTIONS).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
-    return df.drop(*[c for c in INDEX_COLUMNS if c in df.columns])
+                    required: list[str] = UPLOAD_REQUIRED) -> DataFrame:
+    """Permissive parse, columns by header name: malformed lines keep their
+    text in ``_corrupt_record`` instead of failing the job (no size cap: the
+    reader splits the file across tasks); only ``required`` must be there."""
+    return _read_by_header(spark, path, schema, required, "_corrupt_record")
 
 
 def write_csv(df: DataFrame, path: str, index_col: str | None = "_c0") -> None:

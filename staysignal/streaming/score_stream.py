@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.clean import clean
+from ..operators.clean import preprocess_score_input
 from ..operators.scoring import score_batch
 from ..sources.files import RAW_SCHEMA
 
@@ -20,7 +20,7 @@ from ..sources.files import RAW_SCHEMA
 def scored_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
     raw = (spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(landing_dir))
-    return score_batch(clean(raw.drop("Churn"), keep_id=True))
+    return score_batch(preprocess_score_input(raw.drop("Churn")))
 
 
 def start_scoring(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint_dir: str,

@@ -1,6 +1,7 @@
 """Driver contract, sources and streaming."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from staysignal.sources import files as FS
@@ -68,3 +69,36 @@ def test_csv_round_trip_keeps_dirt(spark):
     schema = T.StructType([T.StructField(c, T.StringType()) for c in df.columns])
     back = FS.scan_csv(spark, path, schema=schema).first()
     assert back.Partner == " Yes" and back.TotalCharges == " " and back.Dependents is None
+
+
+def test_csv_columns_are_found_by_name(spark):
+    from pyspark.sql import types as T
+    from staysignal.session import shared_path
+    df = spark.createDataFrame([("C1", 3, "Male"), ("C2", 4, None)], "customerID string, tenure long, gender string")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+    want = sorted(map(tuple, df.collect()))
+    for i, (frame, index) in enumerate([(df, "_c0"), (df, None), (df.select("gender", "customerID", "tenure"), None),
+                                        (df.withColumn("extra", F.lit("x")), "Unnamed: 0")]):
+        path = shared_path(spark, f"csv-by-name-{i}")
+        FS.write_csv(frame, path, index_col=index)
+        assert sorted(map(tuple, FS.scan_csv(spark, path, schema=schema).collect())) == want
+        assert sorted(r[:3] for r in map(tuple, FS.scan_csv_upload(
+            spark, path, schema=schema, required=["tenure"]).collect())) == want
+    FS.write_csv(df.drop("tenure"), path, index_col=None)
+    with pytest.raises(ValueError, match="tenure"):
+        FS.scan_csv(spark, path, schema=schema)
+    with pytest.raises(ValueError, match="tenure"):
+        FS.scan_csv_upload(spark, path, schema=schema, required=["tenure"])
+
+
+def test_stream_keeps_rows_with_nulls(spark):
+    from staysignal.plans.context import raw
+    from staysignal.session import shared_path
+    from staysignal.streaming.score_stream import start_scoring
+    landing, out = shared_path(spark, "null-landing"), shared_path(spark, "null-out")
+    src = raw(spark, SF).limit(20).withColumn("gender", F.lit(None).cast("string")) \
+                        .withColumn("TotalCharges", F.lit("not a number"))
+    src.write.parquet(landing)
+    start_scoring(spark, landing, out, shared_path(spark, "null-chk")).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == 20 and got.filter("TotalCharges IS NULL AND gender IS NULL AND p IS NOT NULL").count() == 20

@@ -1,6 +1,7 @@
 """Distributed splits / folds against a brute-force ranking, and the
 statistical tests against direct formulas."""
 
+import hashlib
 import math
 
 import pandas as pd
@@ -17,7 +18,7 @@ def frame(spark, n=997):
 
 def brute_rank(pdf, strata):
     pdf = pdf.copy()
-    pdf["h"] = (pdf["k"] * R.HASH_MULT + 42) % R.HASH_MOD
+    pdf["h"] = [int(hashlib.md5(f"{k}:42".encode()).hexdigest()[:15], 16) for k in pdf["k"]]
     pdf = pdf.sort_values(["h", "k"])
     pdf["rank"] = pdf.groupby(strata).cumcount() if strata else range(len(pdf))
     return pdf
@@ -40,6 +41,16 @@ def test_small_buckets_still_exact(spark):
     assert (a.sort_index() == pdf.sort_index()).all()
 
 
+def test_split_takes_large_text_and_null_ids(spark):
+    big = spark.range(1000).select((F.col("id") * 7 + 10 ** 15).alias("k"))
+    assert R.split(big, "k", 0.2).filter("split = 'test'").count() == 200
+    text = big.select(F.concat(F.lit("cust-"), F.col("k").cast("string")).alias("k"))
+    assert R.split(text, "k", 0.2).filter("split = 'test'").count() == 200
+    assert R.kfold(text, "k", 5).groupBy("fold").count().count() == 5
+    nulls = spark.createDataFrame([(None, "a"), ("x", None), ("y", None), (None, "a")], "k string, s string")
+    assert R.split(nulls, "k", 0.5, ["s"]).groupBy("s", "split").count().count() == 4
+
+
 def test_fold_sizes_balanced(spark):
     folds = R.kfold(frame(spark), "k", 5, ["Churn"]).groupBy("Churn", "fold").count().toPandas()
     for _, g in folds.groupby("Churn"):

@@ -51,7 +51,10 @@ def test_smote_count_and_convexity(spark):
         a, b, v = X[r.parent_key], X[r.neighbor_key], np.array(r.x)
         lo, hi = np.minimum(a, b) - 1e-9, np.maximum(a, b) + 1e-9
         assert ((v >= lo) & (v <= hi)).all()
-        assert r.y == 1
+        assert r.y == 1 and r.k is None
+    assert syn.select("parent_key", "child").distinct().count() == syn.count()
+    named = df.withColumn("k", F.concat(F.lit("id-"), F.col("k").cast("string")))
+    assert smote(named, "k", "x", "y", ratio=0.8, k=5, block_size=32).filter("synthetic").count() == syn.count()
 
 
 def test_label_propagation_recovers_separable_labels(spark):
