@@ -2,15 +2,17 @@
 scenarios (SURVEY 2.4, 2.8, 2.11).
 
 The per-customer loops of the original (one model call per action, per
-scenario) become one ``explode`` of candidate rows per customer followed by
-a single scoring pass: the fan-out per customer is fixed by the catalog
-(at most 8 actions, 8 scenarios), so the work stays linear in customers,
-there is no join and no shuffle until the final per-customer ranking.
+scenario) become columns (scorecard: one probability per action or scenario,
+ranked inside the row) or, for any other scorer, one ``explode`` of candidate
+rows and a single scoring pass.  The fan-out per customer is fixed by the
+catalog (8 actions, 8 scenarios), so the work stays linear in customers;
+only ranking a fitted model's actions shuffles, by customer id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ def score_batch(df: DataFrame, scorer: Scorer = scorecard.score) -> DataFrame:
     s = scorer(df)
     return s.withColumns({
         "Churn_Probability": round_half_up(F.col("p") * 100.0, 1),
-        "Prediction": F.when(F.col("p") >= DECISION_THRESHOLD, "Churn").otherwise("Stay"),
+        "Prediction": F.when(F.col("p") >= DECISION_THRESHOLD, "Churn").when(F.col("p").isNotNull(), "Stay"),
         "Risk_Level": risk_level("p"),
     })
 
@@ -109,34 +111,60 @@ def explode_actions(df: DataFrame) -> DataFrame:
                             **{f"new_{c}": F.col(f"__act.{c}") for c in _CHANGED}}).drop("__act")
 
 
-def _ranked_actions(df: DataFrame) -> Column:
-    """Per customer: the applicable actions as an array of structs, already
-    scored and sorted by (delta desc, action_id) -- built and sorted inside
-    the row, so ranking needs neither a shuffle nor a window."""
+def _with(df: DataFrame, scorer: Scorer, out: str) -> DataFrame:
+    """``df`` plus the scorer's ``p`` as ``out``; its other columns go."""
+    return scorer(df).select(*df.columns, F.col("p").alias(out))
+
+
+def _action_scores(df: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """The scorecard's probabilities, one column for the customer as is
+    (``__p``) and one per action (``__p_<id>``), with the reduction
+    ``__d_<id>`` (NULL where the action does not apply): each probability is
+    computed once, everything after reads the columns."""
     elig, over = A.eligibility(), A.overrides()
-    meta = {a[0]: a for a in ACTIONS}
-    base_p = scorecard.probability()
-    structs = []
-    for aid, cond in elig.items():
-        new_p = scorecard.probability(over[aid])
-        delta = round_half_up(base_p - new_p, 4)
-        structs.append(F.when(F.coalesce(cond, F.lit(False)), F.struct(
-            (-delta).alias("neg_delta"), F.lit(aid).alias("action_id"), F.lit(meta[aid][1]).alias("title"),
-            F.lit(meta[aid][3]).alias("category"), base_p.alias("baseline_prob"), new_p.alias("new_prob"),
-            delta.alias("delta"))))
-    # no lambda (it would pull the whole scoring tree out of codegen):
-    # sort_array puts the NULLs of ineligible actions first; skip them
-    n_ok = sum((F.coalesce(c, F.lit(False)).cast("int") for c in elig.values()), F.lit(0))
-    return F.slice(F.sort_array(F.array(*structs)), F.lit(len(structs)) - n_ok + 1, n_ok)
+    ids = list(elig)
+    out = df.withColumns({"__p": scorecard.probability(),
+                          **{f"__p_{a}": scorecard.probability(over[a]) for a in ids},
+                          **{f"__e_{a}": F.coalesce(elig[a], F.lit(False)) for a in ids}})
+    out = out.withColumns({f"__d_{a}": F.when(F.col(f"__e_{a}"), round_half_up(F.col("__p") - F.col(f"__p_{a}"), 4))
+                           for a in ids})
+    return out, ids, "__p"
+
 
+def _action_rank(aid: str, ids: list[str]) -> Column:
+    """1 + how many applicable actions come first (delta desc, action id)."""
+    d = F.col(f"__d_{aid}")
+    ahead = [F.when(F.col(f"__d_{o}") >= d if o < aid else F.col(f"__d_{o}") > d, 1).otherwise(0)
+             for o in ids if o != aid]
+    return sum(ahead, F.lit(1))
 
-def recommend(df: DataFrame, k: int | None = None) -> DataFrame:
+
+def recommend(df: DataFrame, k: int | None = None, scorer: Scorer | None = None) -> DataFrame:
     """Baseline vs post-action probability per (customer, action), ranked by
-    the reduction (ties -> action id).  Scored by the fixed scorecard."""
-    arr = _ranked_actions(df)
+    the reduction (ties -> action id).
+
+    Without a ``scorer`` the fixed scorecard is used: scored, ranked and
+    sorted inside the row, no shuffle.  With one (a fitted model), every
+    (customer, applicable action) row is scored in one pass and ranked by
+    customer id, the only shuffle (at most one row per action and customer).
+    """
+    if scorer is not None:
+        return _recommend_scored(df, scorer, k)
+    meta = {a[0]: a for a in ACTIONS}
+    sc, ids, base = _action_scores(df)
+    structs = []
+    for aid in ids:
+        d = F.col(f"__d_{aid}")
+        structs.append(F.when(d.isNotNull(), F.struct(
+            (-d).alias("neg_delta"), F.lit(aid).alias("action_id"), F.lit(meta[aid][1]).alias("title"),
+            F.lit(meta[aid][3]).alias("category"), F.col(base).alias("baseline_prob"),
+            F.col(f"__p_{aid}").alias("new_prob"), d.alias("delta"))))
+    # sort_array puts the NULLs of ineligible actions first; skip them
+    n_ok = sum((F.col(f"__d_{a}").isNotNull().cast("int") for a in ids), F.lit(0))
+    arr = F.slice(F.sort_array(F.array(*structs)), F.lit(len(structs)) - n_ok + 1, n_ok)
     if k:
         arr = F.slice(arr, 1, k)
-    ex = df.select("*", F.posexplode(arr).alias("__pos", "__a"))
+    ex = sc.select(*df.columns, F.posexplode(arr).alias("__pos", "__a"))
     return (ex.withColumns({
         "action_id": F.col("__a.action_id"), "title": F.col("__a.title"), "category": F.col("__a.category"),
         "baseline_prob": F.col("__a.baseline_prob"), "new_prob": F.col("__a.new_prob"),
@@ -144,33 +172,59 @@ def recommend(df: DataFrame, k: int | None = None) -> DataFrame:
         "rank": (F.col("__pos") + 1).cast("int")}).drop("__pos", "__a"))
 
 
+def _recommend_scored(df: DataFrame, scorer: Scorer, k: int | None) -> DataFrame:
+    cand = explode_actions(_with(df, scorer, "baseline_prob"))
+    own = {c: f"__own_{c}" for c in _CHANGED}
+    cand = cand.withColumnsRenamed(own).withColumnsRenamed({f"new_{c}": c for c in _CHANGED})
+    cand = _with(cand, scorer, "new_prob").drop(*_CHANGED).withColumnsRenamed({v: c for c, v in own.items()})
+    delta = round_half_up(F.col("baseline_prob") - F.col("new_prob"), 4)
+    w = Window.partitionBy(ID_COL).orderBy(F.desc_nulls_last("delta"), "action_id")
+    out = cand.withColumn("delta", delta).withColumns({"delta_pct": round_half_up(F.col("delta") * 100.0, 2),
+                                                       "rank": F.row_number().over(w).cast("int")})
+    out = out.select(*df.columns, "action_id", "title", "category", "baseline_prob", "new_prob", "delta", "delta_pct",
+                     "rank")
+    return out.filter(F.col("rank") <= k) if k else out
+
+
 def action_cost(category: Column) -> Column:
     return F.when(category == "Pricing", F.lit(ACTION_COST_PRICING)).otherwise(F.lit(ACTION_COST_OTHER))
 
 
-def recommend_roi(df: DataFrame, k: int = TOP_ACTIONS) -> DataFrame:
-    rec = recommend(df, k)
-    cols = roi_columns(F.col("baseline_prob"), F.col("new_prob"), F.col("MonthlyCharges"),
+def _action_roi() -> dict[str, Column]:
+    return roi_columns(F.col("baseline_prob"), F.col("new_prob"), F.col("MonthlyCharges"),
                        F.col("tenure"), F.col("Contract"), action_cost(F.col("category")))
-    return rec.withColumns(cols)
 
 
-def best_roi_action(df: DataFrame, k: int = TOP_ACTIONS) -> DataFrame:
+def recommend_roi(df: DataFrame, k: int = TOP_ACTIONS, scorer: Scorer | None = None) -> DataFrame:
+    return recommend(df, k, scorer).withColumns(_action_roi())
+
+
+def best_roi_action(df: DataFrame, k: int = TOP_ACTIONS, scorer: Scorer | None = None) -> DataFrame:
     """Per customer the top-k action with the highest ROI % (ties -> better
-    rank), chosen inside the row: no shuffle."""
-    arr = F.slice(_ranked_actions(df), 1, k)
+    rank), chosen inside the row for the scorecard: no shuffle.  Customers
+    to whom no action applies have no row."""
+    if scorer is not None:
+        w = Window.partitionBy(ID_COL).orderBy(F.desc_nulls_last("roi_pct"), "rank")
+        out = recommend_roi(df, k, scorer).withColumn("__r", F.row_number().over(w))
+        return out.filter(F.col("__r") == 1).drop("__r", "delta_pct")
+    meta = {a[0]: a for a in ACTIONS}
+    applicable = reduce(lambda x, y: x | y, [F.coalesce(c, F.lit(False)) for c in A.eligibility().values()])
+    sc, ids, base = _action_scores(df.filter(applicable))
+    sc = sc.withColumns({f"__r_{a}": _action_rank(a, ids) for a in ids})
     m, t, c = F.col("MonthlyCharges"), F.col("tenure"), F.col("Contract")
-    with_roi = F.transform(arr, lambda a, i: F.struct(
-        (-roi_columns(a["baseline_prob"], a["new_prob"], m, t, c, action_cost(a["category"]))["roi_pct"])
-        .alias("neg_roi"), (i + 1).alias("rank"), a.alias("a")))
-    best = F.get(F.sort_array(with_roi), 0)  # NULL when no action applies
-    out = df.withColumn("__b", best).filter(F.col("__b").isNotNull())
-    out = out.withColumns({"action_id": F.col("__b.a.action_id"), "title": F.col("__b.a.title"),
-                           "category": F.col("__b.a.category"), "baseline_prob": F.col("__b.a.baseline_prob"),
-                           "new_prob": F.col("__b.a.new_prob"), "delta": F.col("__b.a.delta"),
-                           "rank": F.col("__b.rank").cast("int")}).drop("__b")
-    cols = roi_columns(F.col("baseline_prob"), F.col("new_prob"), m, t, c, action_cost(F.col("category")))
-    return out.withColumns(cols)
+    structs = []
+    for aid in ids:
+        category = F.lit(meta[aid][3])
+        pct = roi_columns(F.col(base), F.col(f"__p_{aid}"), m, t, c, action_cost(category))["roi_pct"]
+        structs.append(F.when(F.col(f"__d_{aid}").isNotNull() & (F.col(f"__r_{aid}") <= k), F.struct(
+            pct.alias("pct"), (-F.col(f"__r_{aid}")).alias("neg_rank"), F.lit(aid).alias("action_id"),
+            F.lit(meta[aid][1]).alias("title"), category.alias("category"), F.col(f"__p_{aid}").alias("new_prob"),
+            F.col(f"__d_{aid}").alias("delta"))))
+    out = sc.withColumn("__b", F.greatest(*structs))  # skips the NULLs of actions that do not apply
+    out = out.select(*df.columns, *[F.col(f"__b.{f}").alias(f) for f in ("action_id", "title", "category")],
+                     F.col(base).alias("baseline_prob"), F.col("__b.new_prob").alias("new_prob"),
+                     F.col("__b.delta").alias("delta"), (-F.col("__b.neg_rank")).cast("int").alias("rank"))
+    return out.withColumns(_action_roi())
 
 
 def breakeven_curve(best: DataFrame, max_months: int = BREAKEVEN_MAX_MONTHS) -> DataFrame:
@@ -185,34 +239,55 @@ def breakeven_curve(best: DataFrame, max_months: int = BREAKEVEN_MAX_MONTHS) ->
 
 # --- what-if ----------------------------------------------------------------
 
-def what_if(df: DataFrame, scenario: dict | None = None) -> DataFrame:
-    """One row per attribute whose scenario value differs from the
-    customer's (compared as text), plus the combined scenario."""
-    scenario = dict(scenario or WHAT_IF_SCENARIO)
-    base = df.withColumn("baseline_prob", scorecard.probability())
-    rows = []
-    changed_any = F.lit(False)
+def _scenario_rows(df: DataFrame, scenario: dict) -> tuple[list[tuple], Column]:
+    """[(feature, text, overrides, does it differ?)] and: does any differ?"""
+    rows, changed_any = [], F.lit(False)
     for feat, val in scenario.items():
-        differs = F.col(feat).cast("string") != F.lit(val).cast("string")
+        differs = F.coalesce(F.col(feat).cast("string") != F.lit(val).cast("string"), F.lit(False))
         changed_any = changed_any | differs
-        over = {feat: F.lit(val).cast(df.schema[feat].dataType)}
-        rows.append(F.when(differs, F.struct(F.lit(feat).alias("feature"), F.lit(str(val)).alias("new_val"),
-                                             scorecard.probability(over).alias("probability"))))
+        rows.append((feat, str(val), {feat: F.lit(val).cast(df.schema[feat].dataType)}, differs))
     combined = {f: F.lit(v).cast(df.schema[f].dataType) for f, v in scenario.items()}
-    rows.append(F.when(changed_any, F.struct(F.lit("combined").alias("feature"),
-                                             F.lit(None).cast("string").alias("new_val"),
-                                             scorecard.probability(combined).alias("probability"))))
-    ex = base.withColumn("__s", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())))
-    delta = F.col("__s.probability") - F.col("baseline_prob")
-    return ex.select(ID_COL, "baseline_prob", F.col("__s.feature").alias("feature"),
-                     F.col("__s.new_val").alias("new_val"), F.col("__s.probability").alias("probability"),
+    return rows + [("combined", None, combined, changed_any)], changed_any
+
+
+def what_if(df: DataFrame, scenario: dict | None = None, scorer: Scorer | None = None) -> DataFrame:
+    """One row per attribute whose scenario value differs from the
+    customer's (compared as text), plus the combined scenario.  A
+    ``scorer`` scores all scenario rows in one pass, without a shuffle."""
+    scenario = dict(scenario or WHAT_IF_SCENARIO)
+    rows, _ = _scenario_rows(df, scenario)
+    label = [F.struct(F.lit(f).alias("feature"), F.lit(v).cast("string").alias("new_val"), F.lit(i).alias("i"))
+             for i, (f, v, _, _) in enumerate(rows)]
+    if scorer is None:
+        # every probability once, as a column; the exploded structs read them
+        sc = df.withColumns({"baseline_prob": scorecard.probability(),
+                             **{f"__p{i}": scorecard.probability(o) for i, (_, _, o, _) in enumerate(rows)}})
+        items = [F.when(d, F.struct(label[i].alias("s"), F.col(f"__p{i}").alias("probability")))
+                 for i, (_, _, _, d) in enumerate(rows)]
+        ex = sc.select(ID_COL, "baseline_prob", F.explode(F.array_compact(F.array(*items))).alias("x"))
+        ex = ex.select(ID_COL, "baseline_prob", "x.s.feature", "x.s.new_val", "x.probability")
+    else:
+        base = _with(df, scorer, "baseline_prob")
+        ex = base.withColumn("__s", F.explode(F.array_compact(F.array(
+            *[F.when(d, label[i]) for i, (_, _, _, d) in enumerate(rows)]))))
+        i = F.col("__s.i")
+        ex = ex.withColumns({f: F.when(i.isin([j for j, r in enumerate(rows) if f in r[2]]), rows[-1][2][f])
+                             .otherwise(F.col(f)) for f in scenario})
+        ex = _with(ex, scorer, "probability").select(ID_COL, "baseline_prob", "__s.feature", "__s.new_val",
+                                                     "probability")
+    delta = F.col("probability") - F.col("baseline_prob")
+    return ex.select(ID_COL, "baseline_prob", "feature", "new_val", "probability",
                      round_half_up(delta, 4).alias("delta"),
                      F.when(delta > WHAT_IF_DEAD_BAND, "Higher Risk")
                       .when(delta < -WHAT_IF_DEAD_BAND, "Lower Risk").otherwise("No Change").alias("direction"))
 
 
 def customer_x_scenario(df: DataFrame, scenario: dict | None = None) -> DataFrame:
-    return what_if(df, scenario).select(ID_COL, "feature", "new_val")
+    """The rows of ``what_if`` without scoring them."""
+    rows, _ = _scenario_rows(df, dict(scenario or WHAT_IF_SCENARIO))
+    items = [F.when(d, F.struct(F.lit(f).alias("feature"), F.lit(v).cast("string").alias("new_val")))
+             for f, v, _, d in rows]
+    return df.select(ID_COL, F.explode(F.array_compact(F.array(*items))).alias("s")).select(ID_COL, "s.*")
 
 
 # --- profile vs average -------------------------------------------------------
@@ -238,7 +313,3 @@ def profile_vs_average(df: DataFrame, feats=("tenure", "MonthlyCharges", "TotalC
                              norm(ch).alias("churner_norm"), norm(st).alias("stayer_norm")))
     ex = df.select(ID_COL, F.explode(F.array(*rows)).alias("r"))
     return ex.select(ID_COL, "r.*")
-
-
-def expected_months_col(df: DataFrame) -> DataFrame:
-    return df.withColumn("expected_months", expected_months("Contract"))
