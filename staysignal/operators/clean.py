@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import (BINARY_COLS, CATEGORICAL_FEATURES, ID_COL, INTERNET_SERVICE_COLS,
                          NO_INTERNET, TARGET)
 from ..functions import cleaning as C
-from .common import running_sums, scalar_stats
+from .common import broadcast_if_small, quantiles, running_sums, scalar_stats
 
 CLEAN_ORDER = ["gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "PhoneService",
                "MultipleLines", "InternetService", "OnlineSecurity", "OnlineBackup",
@@ -155,18 +155,22 @@ def impute(train: DataFrame, target: DataFrame, cols: list[str], strategy: str)
     if strategy == "zero":
         return target.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(target.schema[c].dataType))
                                    for c in cols})
-    aggs = {"mean": lambda c: F.avg(c), "median": lambda c: F.percentile(F.col(c), 0.5),
-            "mode": lambda c: F.mode(c, deterministic=True)}
-    if strategy not in aggs:
+    if strategy == "mean":
+        st = scalar_stats(train, **{f"v{i}": F.avg(c) for i, c in enumerate(cols)})
+        return target.withColumns({c: F.coalesce(F.col(c).cast("double"), st[f"v{i}"]) for i, c in enumerate(cols)})
+    if strategy == "median":
+        long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
+                                                for c in cols])).alias("s")).select("s.*")
+        med = quantiles(long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n")), {"q": 0.5}, ("name",))
+        st = scalar_stats(med, **{c: F.max(F.when(F.col("name") == c, F.col("q"))) for c in cols})
+    elif strategy == "mode":  # a grouped count per column: no value -> count map in one buffer
+        st = {}
+        for c in cols:
+            n = train.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            st[c] = n.agg(F.min_by("v", F.struct((-F.col("n")).alias("k"), "v"))).scalar()
+    else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    st = scalar_stats(train, **{f"v{i}": aggs[strategy](c) for i, c in enumerate(cols)})
-    fills = {}
-    for i, c in enumerate(cols):
-        if strategy == "mean":
-            fills[c] = F.coalesce(F.col(c).cast("double"), st[f"v{i}"])
-        else:
-            fills[c] = F.coalesce(F.col(c), st[f"v{i}"].cast(target.schema[c].dataType))
-    return target.withColumns(fills)
+    return target.withColumns({c: F.coalesce(F.col(c), st[c].cast(target.schema[c].dataType)) for c in cols})
 
 
 # --------------------------------------------------------------------------
@@ -182,9 +186,9 @@ def label_encode(train: DataFrame, target: DataFrame, col: str, out: str | None
     levels = running_sums(train.select(col).distinct().withColumn("_one", F.lit(1).cast("bigint")),
                           [F.col(col)], ["_one"], prefix="_cum") \
         .select(col, (F.col("_cum_one") - 1).alias("_code"))
-    # One row per distinct level; AQE broadcasts it only if its measured
-    # size is under the threshold, otherwise it stays a shuffle join.
-    joined = target.join(levels.withColumnRenamed(col, "_lvl"),
+    # one row per distinct level: broadcast after a count, so that a column
+    # of few levels does not shuffle the whole table on them
+    joined = target.join(broadcast_if_small(levels.withColumnRenamed(col, "_lvl")),
                          F.col(col) == F.col("_lvl"), "left")
     return (joined.withColumn(out, F.when(F.col("_code").isNotNull(), F.col("_code").cast("int"))
                               .otherwise(F.raise_error(F.concat(F.lit("unseen label: "), F.col(col)))))

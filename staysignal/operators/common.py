@@ -38,3 +38,43 @@ def running_sums(df: DataFrame, order: Column | list[Column], cols: list[str], p
     out = local.join(F.broadcast(offs), "__pid")
     return out.select(*df.columns, *[(F.col(f"__run_{c}") + F.col(f"__off_{c}")).alias(f"{prefix}{c}")
                                      for c in cols])
+
+
+# A joined-back table of at most this many rows may be broadcast after a count.
+BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to hold at most ``rows``
+    rows; left to the planner otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def quantiles(counts: DataFrame, qs: dict[str, float], groups: tuple[str, ...] = (), value: str = "value",
+              n: str = "n") -> DataFrame:
+    """Exact interpolated quantiles from (groups, value, n) counts: one row
+    per group with a column per entry of ``qs``.
+
+    The ranks are a distributed prefix sum over the counted values in (group,
+    value) order, so no task holds the values of a column or group.
+    """
+    c = counts.filter(F.col(value).isNotNull()).select(*groups, value, F.col(n).cast("bigint").alias("__n"))
+    run = running_sums(c, [F.col(g) for g in groups] + [F.col(value)], ["__n"])
+    ends = run.groupBy(*groups).agg(F.min(F.col("cum___n") - F.col("__n")).alias("__start"),
+                                    F.sum("__n").alias("__total"))
+    if groups:
+        ends = ends.withColumnsRenamed({g: f"__g{i}" for i, g in enumerate(groups)})
+        cond = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
+        run = run.join(broadcast_if_small(ends), cond)
+        start, total = F.col("__start"), F.col("__total")
+    else:
+        s = ends.select(F.struct("__start", "__total").alias("s")).scalar()
+        start, total = s["__start"], s["__total"]
+    aggs = []
+    for name, q in qs.items():
+        pos = F.lit(float(q)) * (total - 1)
+        lo = F.min(F.when(F.col("cum___n") - start > F.floor(pos), F.col(value)))
+        hi = F.min(F.when(F.col("cum___n") - start > F.ceil(pos), F.col(value)))
+        frac = F.max(pos - F.floor(pos))
+        aggs.append((lo + (hi - lo) * frac).alias(name))
+    return run.groupBy(*groups).agg(*aggs)

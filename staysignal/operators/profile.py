@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (CATEGORICAL_FEATURES, HIST_BINS, NUMERIC_FEATURES, SERVICE_COLS, TARGET)
 from ..functions.bands import cohort_tenure_band, eda_tenure_band
-from .common import scalar_stats
+from .common import broadcast_if_small, quantiles, scalar_stats
 
 
 def rate_pct(col: str = TARGET) -> Column:
@@ -148,17 +148,21 @@ def clean_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """dtype, distinct count and a deterministic sample (the minimum) per
-    column.  Exact distinct counts; ``approx_count_distinct`` is the knob for
-    very high-cardinality columns."""
+    """dtype, exact distinct count and a deterministic sample (the minimum)
+    per column.  Distinct values are grouped as narrow (column, value) rows
+    first, then counted, so no aggregate expands the wide rows."""
     dtypes = dict(df.dtypes)
-    wide = df.agg(*[F.struct(F.count_distinct(c).alias("d"), F.min(c).cast("string").alias("s")).alias(c)
-                    for c in df.columns])
-    long = wide.unpivot([], df.columns, "column_name", "st")
+    wide = df.agg(*[F.min(c).cast("string").alias(c) for c in df.columns])
+    long = wide.unpivot([], df.columns, "column_name", "sample_value")
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    values = texts.unpivot([], df.columns, "column_name", "value").filter(F.col("value").isNotNull())
+    n = values.groupBy("column_name", "value").agg(F.lit(1).alias("one")) \
+              .groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
     dtype = F.element_at(F.create_map(*[x for c in df.columns for x in (F.lit(c), F.lit(dtypes[c]))]),
                          F.col("column_name"))
-    return long.select("column_name", dtype.alias("dtype"), F.col("st.d").alias("n_distinct"),
-                       F.col("st.s").alias("sample_value"))
+    return long.join(n, "column_name", "left").select(
+        "column_name", dtype.alias("dtype"), F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct"),
+        "sample_value")
 
 
 def categorical_profile(df: DataFrame, cols=CATEGORICAL_FEATURES) -> DataFrame:
@@ -182,20 +186,18 @@ def numeric_profile(df: DataFrame, cols=NUMERIC_FEATURES) -> DataFrame:
         F.round(F.min("value"), 2).alias("min"), F.round(F.max("value"), 2).alias("max"))
 
 
-def describe(df: DataFrame, cols=NUMERIC_FEATURES, approx: bool = False) -> DataFrame:
-    """count/mean/std/min/quartiles/max per numeric column.
-
-    Spark's exact ``percentile`` keeps a value->count map per group and merges
-    partial maps, so memory follows the number of distinct values; set
-    ``approx=True`` for continuous columns at very large scale.
-    """
+def describe(df: DataFrame, cols=NUMERIC_FEATURES) -> DataFrame:
+    """count/mean/std/min/quartiles/max per numeric column; the quartiles are
+    exact and read from the counted values (``common.quantiles``)."""
     long = long_format(df, list(cols), cast="double")
-    q = (lambda p: F.percentile_approx("value", p, 10000)) if approx else (lambda p: F.percentile("value", p))
-    return long.groupBy("column_name").agg(
+    stats = long.groupBy("column_name").agg(
         F.count("value").alias("count"), F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("min"),
-        F.round(q(0.25), 6).alias("q25"), F.round(q(0.5), 6).alias("q50"),
-        F.round(q(0.75), 6).alias("q75"), F.max("value").alias("max"))
+        F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    q = quantiles(counts, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ("column_name",))
+    out = stats.join(q, "column_name", "left")  # one row per column on both sides
+    return out.select("column_name", "count", "mean", "std", "min",
+                      *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")], "max")
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
@@ -204,20 +206,20 @@ def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, by: str = TARGET) -> DataFrame:
-    """Quartiles, 1.5*IQR whiskers and outlier count per group."""
-    stats = df.groupBy(by).agg(
-        F.min(value).alias("min"), F.percentile(value, 0.25).alias("q1"),
-        F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.75).alias("q3"),
-        F.max(value).alias("max"))
+    """Quartiles, 1.5*IQR whiskers and outlier count per group, all from the
+    counted (group, value) pairs; raw rows are shuffled by none of them."""
+    hist = df.groupBy(by, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
+             .filter(F.col("value").isNotNull())
+    ends = hist.groupBy(by).agg(F.min("value").alias("min"), F.max("value").alias("max"))
+    stats = ends.join(quantiles(hist, {"q1": 0.25, "median": 0.5, "q3": 0.75}, (by,)), by)
     stats = stats.withColumns({"lo_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                                "hi_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    # one row per group: AQE broadcasts it from measured size
-    joined = df.select(by, value).join(stats.select(by, "lo_fence", "hi_fence"), by)
-    inside = (F.col(value) >= F.col("lo_fence")) & (F.col(value) <= F.col("hi_fence"))
+    joined = hist.join(broadcast_if_small(stats.select(by, "lo_fence", "hi_fence")), by)
+    inside = (F.col("value") >= F.col("lo_fence")) & (F.col("value") <= F.col("hi_fence"))
     whiskers = joined.groupBy(by).agg(
-        F.min(F.when(inside, F.col(value))).alias("lower_whisker"),
-        F.max(F.when(inside, F.col(value))).alias("upper_whisker"),
-        F.sum(F.when(inside, 0).otherwise(1)).cast("bigint").alias("n_outliers"))
+        F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
+        F.max(F.when(inside, F.col("value"))).alias("upper_whisker"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).cast("bigint").alias("n_outliers"))
     return stats.join(whiskers, by).select(
         by, *[F.round(c, 6).alias(c) for c in ["min", "q1", "median", "q3", "max", "lower_whisker",
                                                  "upper_whisker"]], "n_outliers")
@@ -246,8 +248,11 @@ def multi_histogram(df: DataFrame, cols: list[str], bins: int = HIST_BINS, by: s
     """Histograms of several columns in one job: unpivot, per-feature range,
     then a single grouped count."""
     long = long_format(df, cols, "feature", "value", ids=[by], cast="double")
-    rng = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    j = long.join(rng, "feature")  # one row per feature: broadcast by AQE
+    st = scalar_stats(df, **{f"{k}{i}": f(F.col(c).cast("double")) for i, c in enumerate(cols)
+                             for k, f in (("lo", F.min), ("hi", F.max))})
+    rng = [(F.col("feature") == c, st[f"lo{i}"], st[f"hi{i}"]) for i, c in enumerate(cols)]
+    lo, hi = (F.coalesce(*[F.when(r[0], r[k]) for r in rng]) for k in (1, 2))
+    j = long.withColumns({"lo": lo, "hi": hi})
     b = _bin(F.col("value"), F.col("lo"), F.col("hi"), bins)
     out = j.groupBy("feature", by, b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
     return out.select("feature", by, "bin",
@@ -258,9 +263,11 @@ def multi_histogram(df: DataFrame, cols: list[str], bins: int = HIST_BINS, by: s
 
 def distribution_columns(df: DataFrame, cols=NUMERIC_FEATURES, limit: int | None = None) -> list[str]:
     """Numeric columns with more than two distinct values (all, or the first ``limit``).
-    One aggregate returning one small row of counts."""
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] > 2][:limit]
+    A column has a third value if one lies strictly between its ends."""
+    ends = scalar_stats(df, **{f"{k}{i}": f(c) for i, c in enumerate(cols) for k, f in (("lo", F.min), ("hi", F.max))})
+    row = df.agg(*[F.coalesce(F.bool_or((F.col(c) > ends[f"lo{i}"]) & (F.col(c) < ends[f"hi{i}"])), F.lit(False))
+                   .alias(c) for i, c in enumerate(cols)]).first()
+    return [c for c in cols if row[c]][:limit]
 
 
 def feature_distributions(df: DataFrame, cols=NUMERIC_FEATURES, bins: int = HIST_BINS) -> DataFrame:
