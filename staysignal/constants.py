@@ -121,6 +121,7 @@ THRESHOLD_GRID_POINTS = 50
 CALIBRATION_BINS = 10
 PDP_GRID_POINTS = 50
 SHAP_TOP = 10
+WATERFALL_TOP = 8  # attributions shown one by one; the rest is one row
 TOP_RISK_N = 10
 TOP_CLV_N = 5
 RECENT_N = 20

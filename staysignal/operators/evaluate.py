@@ -6,9 +6,7 @@ aggregate.  With the 4-decimal scorecard the histogram has at most 10,001 rows
 whatever the number of customers; a fitted model's raw probabilities can
 give one row per customer, so the cumulative counts that turn it into
 ROC / PR points are a distributed prefix sum (``common.running_sums``),
-never a single-partition window (callers whose scores have a known small
-precision, like the scorecard, pass ``decimals`` and get one window over the
-bounded histogram).  The previous point of a curve is the current
+never a single-partition window.  The previous point of a curve is the current
 cumulative count minus this score's own count (no ``lag``).  Threshold
 sweeps cross the histogram with a fixed 50-point grid
 (an ``explode`` of a literal array, not a join).
@@ -16,6 +14,8 @@ sweeps cross the histogram with a fixed 50-point grid
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from ..constants import (CALIBRATION_BINS, DECISION_THRESHOLD, PDP_GRID_POINTS, THRESHOLD_GRID_HIGH,
                          THRESHOLD_GRID_LOW, THRESHOLD_GRID_POINTS)
 from ..functions import scorecard
-from .common import running_sums, scalar_stats
+from .common import quantiles, running_sums, scalar_stats
+
+
+Scorer = Callable[[DataFrame], DataFrame]
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -93,10 +96,15 @@ def threshold_grid(low=THRESHOLD_GRID_LOW, high=THRESHOLD_GRID_HIGH, n=THRESHOLD
 
 
 def threshold_curve(scored: DataFrame, grid: list[float] | None = None) -> DataFrame:
-    grid = grid or threshold_grid()
-    hist = score_histogram(scored)
-    ex = hist.withColumn("t", F.explode(F.array(*[F.lit(t) for t in grid])))
-    ge = F.col("p") >= F.col("t")
+    """Precision, recall and F1 at each threshold.  A score counts for the
+    grid points not above it: rows are aggregated by that number first, then
+    the at most len(grid) + 1 sums are added up for every grid point."""
+    grid = sorted(grid or threshold_grid())
+    passed = sum((F.when(F.col("p") >= t, 1).otherwise(0) for t in grid), F.lit(0))
+    small = scored.groupBy(passed.alias("passed")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(grid)])
+    ex = small.withColumn("g", F.explode(at)).select("*", "g.*")
+    ge = F.col("passed") > F.col("i")
     agg = ex.groupBy("t").agg(
         F.sum(F.when(ge, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(ge, F.col("neg")).otherwise(0)).alias("fp"),
@@ -115,11 +123,19 @@ def _cumulative(scored: DataFrame) -> DataFrame:
                       tot["P"].alias("tot_pos"), tot["N"].alias("tot_neg"))
 
 
+def _end_point(df: DataFrame, x: str, y: str, values: tuple[float, float]) -> DataFrame:
+    """One more point, where nothing is predicted positive (threshold NULL)."""
+    return df.unionByName(df.sparkSession.range(1).select(
+        F.lit(None).cast(df.schema["threshold"].dataType).alias("threshold"),
+        F.lit(values[0]).alias(x), F.lit(values[1]).alias(y)))
+
+
 def roc_curve(scored: DataFrame) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, highest first."""
+    """(threshold, fpr, tpr) at every distinct score, and the start (0, 0)."""
     c = _cumulative(scored)
-    return c.select(F.col("p").alias("threshold"), F.round(_div0(F.col("fp"), F.col("tot_neg")), 6).alias("fpr"),
-                    F.round(_div0(F.col("tp"), F.col("tot_pos")), 6).alias("tpr"))
+    out = c.select(F.col("p").alias("threshold"), F.round(_div0(F.col("fp"), F.col("tot_neg")), 6).alias("fpr"),
+                   F.round(_div0(F.col("tp"), F.col("tot_pos")), 6).alias("tpr"))
+    return _end_point(out, "fpr", "tpr", (0.0, 0.0))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -133,10 +149,13 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
+    """(threshold, precision, recall) at every distinct score, and the end
+    (recall 0, precision 1)."""
     c = _cumulative(scored)
-    return c.select(F.col("p").alias("threshold"),
-                    F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"),
-                    F.round(_div0(F.col("tp"), F.col("tot_pos")), 6).alias("recall"))
+    out = c.select(F.col("p").alias("threshold"),
+                   F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"),
+                   F.round(_div0(F.col("tp"), F.col("tot_pos")), 6).alias("recall"))
+    return _end_point(out, "precision", "recall", (1.0, 0.0))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
@@ -163,30 +182,37 @@ def calibration(scored: DataFrame, n_bins: int = CALIBRATION_BINS) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def pdp_grid_bounds(df: DataFrame, feature: str):
-    return scalar_stats(df, lo=F.percentile(F.col(feature).cast("double"), 0.05),
-                        hi=F.percentile(F.col(feature).cast("double"), 0.95))
+def pdp_grid(df: DataFrame, feature: str, points: int = PDP_GRID_POINTS) -> list[float]:
+    """The feature's distinct values where they are fewer than ``points``,
+    else ``points`` even steps from its 5th to its 95th percentile (at most
+    ``points`` numbers on the driver)."""
+    counts = df.groupBy(F.col(feature).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
+               .filter(F.col("value").isNotNull())
+    few = [r["value"] for r in counts.select("value").limit(points).collect()]
+    if len(few) < points:
+        return sorted(few)
+    b = quantiles(counts, {"lo": 0.05, "hi": 0.95}).first()
+    return [b["lo"] + i * (b["hi"] - b["lo"]) / float(points - 1) for i in range(points)]
 
 
-def partial_dependence(df: DataFrame, feature: str, points: int = PDP_GRID_POINTS) -> DataFrame:
-    """Mean score over a grid of the feature (5th..95th percentile), the
-    other columns as observed.  Every row is scored at every grid point: a
-    fixed fan-out, aggregated map-side to one partial row per grid point."""
-    st = pdp_grid_bounds(df, feature)
-    idx = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    ex = df.withColumn("gi", idx)
-    g = st["lo"] + F.col("gi") * (st["hi"] - st["lo"]) / F.lit(float(points - 1))
-    ex = ex.withColumn("grid_value", g)
-    p = scorecard.probability({feature: F.col("grid_value")})
-    return ex.groupBy("gi").agg(F.round(F.first("grid_value"), 6).alias("grid_value"),
-                                F.round(F.avg(p), 6).alias("avg_p")).withColumnRenamed("gi", "grid_index")
+def partial_dependence(df: DataFrame, feature: str, points: int = PDP_GRID_POINTS,
+                       scorer: Scorer = scorecard.score) -> DataFrame:
+    """Mean score over a grid of the feature, the other columns as observed.
+    Every row is scored at every grid point: a fixed fan-out, aggregated
+    map-side to one partial row per grid point."""
+    grid = pdp_grid(df, feature, points)
+    at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).alias("g")) for i, g in enumerate(grid)])
+    ex = df.drop(feature).withColumn("__g", F.explode(at)).withColumn(feature, F.col("__g.g"))
+    return scorer(ex).groupBy(F.col("__g.i").alias("grid_index"), F.round("__g.g", 6).alias("grid_value")) \
+                     .agg(F.round(F.avg("p"), 6).alias("avg_p"))
 
 
 def linear_contributions(df: DataFrame, id_col: str = "customerID", top: int | None = None) -> DataFrame:
     """Per-row additive attributions of the linear scorecard on the margin
     scale: w_j * (x_j - mean(x_j)); base = margin at the means.  Long format,
     ranked by |contribution| within the row (sorted inside the row, then
-    ``posexplode``: no shuffle, no window)."""
+    ``posexplode``: no shuffle, no window).  With ``top``, the terms after
+    the first ``top`` are summed up in one last row ``other``."""
     terms = scorecard.TERMS
     means = scalar_stats(df, **{f"m{i}": F.avg(scorecard.term_value(t)) for i, (t, _) in enumerate(terms)})
     base = F.lit(scorecard.INTERCEPT)
@@ -197,8 +223,12 @@ def linear_contributions(df: DataFrame, id_col: str = "customerID", top: int | N
         c = F.lit(w) * (scorecard.term_value(t) - means[f"m{i}"])
         structs.append(F.struct((-F.abs(c)).alias("neg_abs"), F.lit(t).alias("feature"), c.alias("contribution")))
     arr = F.sort_array(F.array(*structs))
-    if top:
-        arr = F.slice(arr, 1, top)
+    if top and top < len(terms):
+        df, arr = df.select(id_col, arr.alias("__c"), base.alias("__base")), F.col("__c")
+        base = F.col("__base")
+        rest = sum((arr[i]["contribution"] for i in range(top, len(terms))), F.lit(0.0))
+        other = F.struct((-F.abs(rest)).alias("neg_abs"), F.lit("other").alias("feature"), rest.alias("contribution"))
+        arr = F.concat(F.slice(arr, 1, top), F.array(other))
     ex = df.select(id_col, F.round(base, 6).alias("base_margin"), F.posexplode(arr).alias("pos", "c"))
     return ex.select(id_col, "base_margin", F.col("c.feature").alias("feature"),
                      F.round(F.col("c.contribution"), 6).alias("contribution"),

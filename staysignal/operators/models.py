@@ -123,28 +123,6 @@ def cv_auc(est, tr: DataFrame, folds: int = 5, parallelism: int = 5, fold_col: s
     return float(np.mean(aucs)), float(np.std(aucs))
 
 
-def compare(spark: SparkSession, train: DataFrame, test: DataFrame, names=None, with_cv: bool = True):
-    """Fit every model, score the test side, add a soft-vote ensemble.
-    Returns (leaderboard DataFrame, {name: prediction DataFrame})."""
-    tr, te, levels, pre = prepare(train, test)
-    ests = estimators()
-    names = list(names or ests)
-    rows, preds = [], {}
-    for name in names:
-        _, pred = fit_predict(name, ests[name], tr, te)
-        preds[name] = pred
-        cvs = cv_auc(ests[name], tr) if with_cv else (None, None)
-        rows.append(metrics_row(name, pred, cvs))
-    vote = soft_vote(list(preds.values()))
-    preds["soft_vote"] = vote
-    rows.append(metrics_row("soft_vote", vote))
-    tr.unpersist()
-    lb = spark.createDataFrame([tuple(r[k] for k in ["name", "accuracy", "precision", "recall", "f1", "roc_auc",
-                                                     "cv_auc_mean", "cv_auc_std"]) for r in rows],
-                               LEADERBOARD_SCHEMA)
-    return lb, preds
-
-
 def soft_vote(preds: list[DataFrame]) -> DataFrame:
     """Mean probability of several models, joined on the customer id."""
     out = preds[0].select(ID_COL, "y", F.col("p").alias("p0"))
@@ -211,6 +189,14 @@ def save_model(model: PipelineModel, path: str, meta: dict) -> None:
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(path + "_meta")
 
 
+def scorer(model: PipelineModel, levels: dict[str, list[str]]):
+    """A fitted pipeline as ``DataFrame -> DataFrame`` adding ``p``, for every
+    operator that takes a scorer."""
+    def run(df: DataFrame) -> DataFrame:
+        return model.transform(encode(df, levels)).select(*df.columns, p1().alias("p"))
+    return run
+
+
 def load_model(path: str):
     spark = SparkSession.getActiveSession()
     try:

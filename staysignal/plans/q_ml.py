@@ -13,14 +13,20 @@ from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import functions as F
 
 from ..constants import ID_COL, TARGET
+from ..functions import scorecard
 from ..operators import cluster as CL
+from ..operators import evaluate as EV
 from ..operators import models as M
 from ..operators import resample as R
+from ..operators import scoring as S
+from ..operators.clean import category_levels
 from ..session import shared_path
+from ..sources import sinks as SK
 from . import q_sample
 from .catalog import query
 from .context import cust
 from .oracle import oracle
+from .sqlbase import prob_sql, with_ctes
 
 
 def train_test(spark, sf):
@@ -156,21 +162,137 @@ def q_ml_feature_select(spark, sf):
                                  "name string, n_features int, roc_auc double, f1 double")
 
 
+def saved_model(spark, sf) -> str:
+    """Path of the fitted pipeline, fitted and saved once per application."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), "saved-model")
+    with _MEMO_LOCK:
+        if key not in _MEMO:
+            from pyspark.ml import Pipeline
+            train, _ = train_test(spark, sf)
+            levels = category_levels(train)
+            tr = R.with_class_weight(M.encode(train, levels), TARGET)
+            pipe = Pipeline(stages=M.preprocessor(levels).getStages() + [M.estimators()["logistic_regression"]])
+            path = shared_path(spark, "model")
+            M.save_model(pipe.fit(tr), path, {"name": "logistic_regression", "levels": levels})
+            _MEMO[key] = path
+        return _MEMO[key]
+
+
+def fitted_scorer(spark, sf):
+    """The saved pipeline, read back, as a scorer."""
+    model, meta = M.load_model(saved_model(spark, sf))
+    return M.scorer(model, meta["levels"])
+
+
 @query("model_save_load")
 def q_model_save_load(spark, sf):
-    from pyspark.ml import Pipeline
-    train, test = train_test(spark, sf)
-    from ..operators.clean import category_levels
-    from ..operators.resample import with_class_weight
-    levels = category_levels(train)
-    tr = with_class_weight(M.encode(train, levels), TARGET)
-    pipe = Pipeline(stages=M.preprocessor(levels).getStages() + [M.estimators()["logistic_regression"]])
-    model = pipe.fit(tr)
-    path = shared_path(spark, "model")
-    M.save_model(model, path, {"name": "logistic_regression", "levels": levels})
-    loaded, meta = M.load_model(path)
-    out = loaded.transform(M.encode(test, meta["levels"]))
-    return out.select(ID_COL, F.col(TARGET).alias("y"), F.round(M.p1(), 4).alias("p"))
+    _, test = train_test(spark, sf)
+    return fitted_scorer(spark, sf)(test).select(ID_COL, F.col(TARGET).alias("y"), "p")
+
+
+@query("recommend_fitted")
+def q_recommend_fitted(spark, sf):
+    """Actions ranked by the saved model instead of the scorecard."""
+    return S.recommend_roi(cust(spark, sf), scorer=fitted_scorer(spark, sf)).select(
+        ID_COL, "action_id", "rank", "baseline_prob", "new_prob", "delta", "roi_pct", "net_roi")
+
+
+@query("best_roi_action_fitted")
+def q_best_roi_action_fitted(spark, sf):
+    return S.best_roi_action(cust(spark, sf), scorer=fitted_scorer(spark, sf)).select(
+        ID_COL, "action_id", "roi_pct", "net_roi")
+
+
+@query("what_if_fitted")
+def q_what_if_fitted(spark, sf):
+    return S.what_if(cust(spark, sf), scorer=fitted_scorer(spark, sf))
+
+
+@query("pdp_fitted")
+def q_pdp_fitted(spark, sf):
+    return EV.partial_dependence(cust(spark, sf), "tenure", scorer=fitted_scorer(spark, sf))
+
+
+# --- the rules of comparison, vote and selection over fixed scorers -----------------
+# Three fixed scores stand in for fitted models, so that metrics, vote and
+# selection rule have an exact oracle.
+
+_FIXED = {
+    "logistic_regression": (scorecard.probability, prob_sql()),
+    "random_forest": (lambda: F.round(F.lit(1.0) - F.col("tenure") / 80.0, 4), "ROUND(1.0e0 - tenure / 80.0e0, 4)"),
+    "gbt": (lambda: F.round(F.col("MonthlyCharges") / 125.0, 4), "ROUND(MonthlyCharges / 125.0e0, 4)"),
+}
+
+
+def fixed_predictions(spark, sf):
+    c = cust(spark, sf)
+    return {n: c.select(ID_COL, F.col(TARGET).alias("y"), p().alias("p")) for n, (p, _) in _FIXED.items()}
+
+
+def _fixed_leaderboard(spark, sf):
+    def build():
+        preds = fixed_predictions(spark, sf)
+        preds["soft_vote"] = M.soft_vote(list(preds.values()))
+        rows = [M.metrics_row(n, p) for n, p in preds.items()]
+        return spark.createDataFrame([tuple(r.values()) for r in rows], M.LEADERBOARD_SCHEMA)
+    return _memo_table(spark, sf, "leaderboard-fixed", build)
+
+
+_VOTE_SQL = "(" + " + ".join(["0.0e0", *(sql for _, sql in _FIXED.values())]) + f") / {len(_FIXED)}.0e0"
+_FX_CTE = "fx AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS name, customerID, Churn AS y, {sql} AS p FROM cust"
+    for n, sql in [*((n, q) for n, (_, q) in _FIXED.items()), ("soft_vote", _VOTE_SQL)]) + ")"
+_LB_CTE = """cm AS (SELECT name, COUNT(*) FILTER (WHERE p >= 0.5e0 AND y = 1) AS tp,
+  COUNT(*) FILTER (WHERE p >= 0.5e0 AND y = 0) AS fp, COUNT(*) FILTER (WHERE p < 0.5e0 AND y = 1) AS fn,
+  COUNT(*) FILTER (WHERE p < 0.5e0 AND y = 0) AS tn FROM fx GROUP BY name),
+rk AS (SELECT name, y, RANK() OVER (PARTITION BY name ORDER BY p)
+  + (COUNT(*) OVER (PARTITION BY name, p) - 1) / 2.0e0 AS r FROM fx),
+au AS (SELECT name, ROUND((SUM(CASE WHEN y = 1 THEN r ELSE 0 END) - SUM(y) * (SUM(y) + 1) / 2.0e0)
+  / (SUM(y) * CAST(SUM(1 - y) AS DOUBLE)), 6) AS roc_auc FROM rk GROUP BY name),
+lb AS (SELECT name, ROUND((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy,
+  ROUND(CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0e0 END, 6) AS precision,
+  ROUND(CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0.0e0 END, 6) AS recall,
+  ROUND(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0e0 * tp / (2 * tp + fp + fn) ELSE 0.0e0 END, 6) AS f1, roc_auc,
+  CAST(NULL AS DOUBLE) AS cv_auc_mean, CAST(NULL AS DOUBLE) AS cv_auc_std FROM cm JOIN au USING (name))"""
+
+
+@query("ml_vote_fixed")
+def q_ml_vote_fixed(spark, sf):
+    return M.soft_vote(list(fixed_predictions(spark, sf).values())).withColumn("p", F.round("p", 6))
+
+
+oracle("ml_vote_fixed", with_ctes(f"SELECT customerID, Churn AS y, ROUND({_VOTE_SQL}, 6) AS p FROM cust"))
+
+
+@query("leaderboard_fixed")
+def q_leaderboard_fixed(spark, sf):
+    return M.leaderboard(_fixed_leaderboard(spark, sf))
+
+
+oracle("leaderboard_fixed", with_ctes(
+    "SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY roc_auc DESC, name) AS INTEGER) AS rank FROM lb", _FX_CTE, _LB_CTE))
+
+
+@query("sink_metrics")
+def q_sink_metrics(spark, sf):
+    """The metrics table written as CSV and read back."""
+    path = shared_path(spark, "metrics")
+    SK.sink_csv(_fixed_leaderboard(spark, sf), path)
+    return spark.read.schema(M.LEADERBOARD_SCHEMA).option("header", "true").option("enforceSchema", "false").csv(path)
+
+
+oracle("sink_metrics", with_ctes("SELECT * FROM lb", _FX_CTE, _LB_CTE))
+
+
+@query("ml_select_fixed")
+def q_ml_select_fixed(spark, sf):
+    return M.select_best(_fixed_leaderboard(spark, sf))
+
+
+oracle("ml_select_fixed", with_ctes(
+    "SELECT CASE WHEN name = 'soft_vote' THEN 'gbt' ELSE name END AS name, roc_auc AS score, roc_auc, cv_auc_mean "
+    "FROM lb ORDER BY CASE WHEN roc_auc >= (SELECT MAX(roc_auc) FROM lb) - 0.005e0 THEN CASE name WHEN 'gbt' THEN 0 "
+    "WHEN 'random_forest' THEN 1 ELSE 2 END ELSE 2 END, roc_auc DESC, name LIMIT 1", _FX_CTE, _LB_CTE))
 
 
 # --- clustering -------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import ACTIONS, CALIBRATION_BINS, ID_COL, WHAT_IF_SCENARIO
+from ..constants import ACTIONS, CALIBRATION_BINS, ID_COL, WATERFALL_TOP, WHAT_IF_SCENARIO
 from ..functions import scorecard
 from ..functions.numeric import round_half_up_sql as rhu
 from ..functions.value import expected_months
@@ -16,7 +16,7 @@ from ..sources.tables import read_table
 from .catalog import query
 from .context import cust, raw
 from .oracle import oracle
-from .sqlbase import CLEAN_COLS, CLEAN_SELECT, margin_sql, prob_sql, with_ctes
+from .sqlbase import CLEAN_SELECT, margin_sql, prob_sql, with_ctes
 
 # ---------------------------------------------------------------------------
 # shared inputs
@@ -525,7 +525,7 @@ def q_roc_curve(spark, sf):
 
 
 oracle("roc_curve", esql(f"SELECT p AS threshold, ROUND({_d0('fp', 'tot_neg')}, 6) AS fpr, ROUND({_d0('tp', 'tot_pos')}, 6) AS tpr "
-                         "FROM cum", _HIST_CTE, _CUM_CTE))
+                         "FROM cum UNION ALL SELECT NULL, 0.0e0, 0.0e0", _HIST_CTE, _CUM_CTE))
 
 
 @query("roc_auc")
@@ -546,7 +546,7 @@ def q_pr_curve(spark, sf):
 
 oracle("pr_curve", esql(
     f"SELECT p AS threshold, ROUND(CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE), 6) AS precision, "
-    f"ROUND({_d0('tp', 'tot_pos')}, 6) AS recall FROM cum", _HIST_CTE, _CUM_CTE))
+    f"ROUND({_d0('tp', 'tot_pos')}, 6) AS recall FROM cum UNION ALL SELECT NULL, 1.0e0, 0.0e0", _HIST_CTE, _CUM_CTE))
 
 
 @query("average_precision")
@@ -586,6 +586,18 @@ oracle("partial_dependence", with_ctes(
     "FROM cust) b) t GROUP BY gi"))
 
 
+@query("partial_dependence_few_values")
+def q_partial_dependence_few_values(spark, sf):
+    """Fewer distinct values than grid points: the values are the grid."""
+    return EV.partial_dependence(cust(spark, sf), "SeniorCitizen")
+
+
+oracle("partial_dependence_few_values", with_ctes(
+    "SELECT CAST(gi AS INTEGER) AS grid_index, CAST(g AS DOUBLE) AS grid_value, "
+    f"ROUND(AVG({prob_sql({'SeniorCitizen': 'g'})}), 6) AS avg_p FROM cust, (SELECT SeniorCitizen AS g, "
+    "ROW_NUMBER() OVER (ORDER BY SeniorCitizen) - 1 AS gi FROM cust GROUP BY SeniorCitizen) v GROUP BY gi, g"))
+
+
 @query("shap_linear")
 def q_shap_linear(spark, sf):
     return EV.linear_contributions(cust(spark, sf))
@@ -611,6 +623,17 @@ def _shap_sql():
 oracle("shap_linear", _shap_sql())
 
 
+@query("shap_top")
+def q_shap_top(spark, sf):
+    return EV.linear_contributions(cust(spark, sf), top=WATERFALL_TOP)
+
+
+oracle("shap_top", "SELECT customerID, base_margin, CASE WHEN rank <= 8 THEN feature ELSE 'other' END AS feature, "
+       "ROUND(SUM(raw), 6) AS contribution, CAST(LEAST(rank, 9) AS INTEGER) AS rank FROM ("
+       + _shap_sql().replace("ROUND(contribution, 6) AS contribution", "contribution AS raw") + ") q "
+       "GROUP BY ALL")
+
+
 @query("shap_dependence")
 def q_shap_dependence(spark, sf):
     return EV.shap_dependence(cust(spark, sf), "tenure")

@@ -41,7 +41,10 @@ def test_curves_have_one_path_for_any_precision(spark):
         pos, neg = p[y == 1], p[y == 0]
         auc = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / len(pos) / len(neg)
         assert abs(EV.roc_auc(df).first()[0] - auc) < 1e-6
-        assert EV.roc_curve(df).count() == len(np.unique(p))
+        roc, pr = EV.roc_curve(df).collect(), EV.pr_curve(df).collect()
+        assert len(roc) == len(pr) == len(np.unique(p)) + 1  # and the point where nothing is positive
+        assert [(r.fpr, r.tpr) for r in roc if r.threshold is None] == [(0.0, 0.0)]
+        assert [(r.precision, r.recall) for r in pr if r.threshold is None] == [(1.0, 0.0)]
 
 
 def test_cluster_session_needs_a_shared_checkpoint_folder():
@@ -73,3 +76,19 @@ def test_cluster_session_needs_a_shared_checkpoint_folder():
         ensure_checkpoint_dir(_Session("yarn"))
     assert ensure_checkpoint_dir(_Session("yarn", "hdfs:///shared/chk")) == "hdfs:///shared/chk"
     assert ensure_checkpoint_dir(_Session("local[2]"))  # tests get a folder of their own
+
+
+def test_quantiles_equal_numpy(spark):
+    from staysignal.operators.common import quantiles
+    rng = np.random.default_rng(5)
+    rows = [("a", float(v)) for v in rng.integers(0, 9, 301)] + [("b", float(v)) for v in rng.normal(size=64)]
+    rows += [("c", 7.0), (None, 2.0), (None, 3.0), ("a", None)]
+    counts = spark.createDataFrame(rows, "g string, value double").groupBy("g", "value") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    qs = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q95": 0.95}
+    got = {r.g: [r[k] for k in qs] for r in quantiles(counts, qs, ("g",)).collect()}
+    for g in ("a", "b", "c", None):
+        vals = [v for k, v in rows if k == g and v is not None]
+        assert np.allclose(got[g], np.quantile(vals, list(qs.values())))
+    whole = quantiles(counts.groupBy("value").agg(F.sum("n").alias("n")), qs).first()
+    assert np.allclose(list(whole), np.quantile([v for _, v in rows if v is not None], list(qs.values())))

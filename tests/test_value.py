@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from staysignal.operators import scoring as S
 
+from .conftest import SF
+
 
 def clv_row(spark, m, t, p_pct, contract):
     df = spark.createDataFrame([(m, t, p_pct, contract)],
@@ -67,3 +69,29 @@ def test_longer_contract_saves_more(spark):
     a = roi(spark, 0.7, 0.3, 65.0, 6.0, "Month-to-month", 20.0)
     b = roi(spark, 0.7, 0.3, 65.0, 6.0, "Two year", 20.0)
     assert b.revenue_saved > a.revenue_saved
+
+
+def test_any_scorer_gives_the_scorecards_rows(spark):
+    from staysignal.functions import scorecard
+    from staysignal.operators import evaluate as EV
+    from staysignal.operators import scoring as S
+    from staysignal.plans.context import cust
+    c = cust(spark, SF)
+
+    def rows(df):
+        return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+
+    for fn in (S.recommend, S.recommend_roi, S.best_roi_action, S.what_if):
+        assert rows(fn(c, scorer=scorecard.score)) == rows(fn(c)), fn.__name__
+    risky = c.limit(1).withColumns({"tenure": F.lit(1), "Contract": F.lit("Month-to-month")})
+    loyal = c.limit(1).withColumns({"tenure": F.lit(70), "Contract": F.lit("Two year")})
+    assert S.score_batch(risky).first().p > S.score_batch(loyal).first().p
+    assert [r.grid_value for r in EV.partial_dependence(c, "SeniorCitizen").orderBy("grid_index").collect()] == [0, 1]
+
+
+def test_each_probability_is_computed_once(spark):
+    from staysignal.operators import scoring as S
+    from staysignal.plans.context import cust
+    for fn in (S.recommend_roi, S.best_roi_action, S.what_if):
+        plan = fn(cust(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("EXP(") <= 9, fn.__name__
