@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import (ACTIONS, LOYALTY_CHARGE_MIN, LOYALTY_DISCOUNT_FACTOR,
+from ..constants import (LOYALTY_CHARGE_MIN, LOYALTY_DISCOUNT_FACTOR,
                          LOYALTY_DISCOUNT_FLOOR)
 
 
@@ -44,7 +44,3 @@ def overrides() -> dict[str, dict[str, Column]]:
             F.coalesce(F.col("MonthlyCharges"), F.lit(65.0)) * F.lit(LOYALTY_DISCOUNT_FACTOR),
             F.lit(LOYALTY_DISCOUNT_FLOOR))},
     }
-
-
-def catalog_rows() -> list[tuple]:
-    return list(ACTIONS)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import YES_NO_MAP
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -39,8 +41,10 @@ def label_text(col) -> Column:
 
 
 def to_number(col) -> Column:
-    """Text or number -> double, invalid -> NULL (never raises under ANSI)."""
-    return F.trim(_c(col).cast("string")).try_cast("double")
+    """Text or number -> double, invalid -> NULL (never raises under ANSI).
+    Only decimal notation counts: not "NaN", nor the "5d" a cast would take."""
+    text = F.trim(_c(col).cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def senior_flag(col) -> Column:

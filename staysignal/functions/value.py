@@ -23,32 +23,3 @@ def expected_months(contract) -> Column:
 
 def remaining_months(contract, tenure) -> Column:
     return F.greatest(F.lit(0.0), expected_months(contract) - _c(tenure).cast("double"))
-
-
-def clv(monthly, remaining, prob) -> Column:
-    """monthly * remaining * (1 - p), 2 decimals."""
-    return F.round(_c(monthly) * _c(remaining) * (F.lit(1.0) - _c(prob)), 2)
-
-
-def revenue_at_risk(monthly, remaining, prob) -> Column:
-    """monthly * p * remaining, 2 decimals."""
-    return F.round(_c(monthly) * _c(prob) * _c(remaining), 2)
-
-
-def roi_columns(baseline, new, monthly, tenure, contract, cost) -> dict[str, Column]:
-    """Every ROI figure for one (customer, intervention) row."""
-    remaining = remaining_months(contract, tenure)
-    reduction = F.greatest(F.lit(0.0), _c(baseline) - _c(new))
-    saved = _c(monthly) * reduction * remaining
-    net = saved - _c(cost)
-    pct = F.when(_c(cost) > 0, net / _c(cost) * F.lit(100.0)).otherwise(F.lit(0.0))
-    be = F.when((reduction > 0) & (_c(monthly) > 0), _c(cost) / (_c(monthly) * reduction))
-    return {
-        "prob_reduction": reduction,
-        "revenue_saved": F.round(saved, 2),
-        "cost": F.round(_c(cost).cast("double"), 2),
-        "net_roi": F.round(net, 2),
-        "roi_pct": F.round(pct, 1),
-        "break_even_months": F.round(be, 1),
-        "monthly_rar": F.round(_c(monthly) * _c(baseline), 2),
-    }

@@ -24,7 +24,7 @@ from ..functions import actions as A
 from ..functions import scorecard
 from ..functions.bands import risk_level
 from ..functions.numeric import round_half_up
-from ..functions.value import expected_months, remaining_months
+from ..functions.value import remaining_months
 from .common import scalar_stats
 
 Scorer = Callable[[DataFrame], DataFrame]

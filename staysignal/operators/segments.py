@@ -38,13 +38,6 @@ def worst_segment_per_feature(df: DataFrame, features: list[str], target: str =
              .select("feature", "value", F.round(F.col("rate") * 100, 4).alias("churn_rate_pct"), "n"))
 
 
-def rank_within(df: DataFrame, by: list[str], order: list[Column], k: int | None = None,
-                rank_col: str = "rank") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = df.withColumn(rank_col, F.row_number().over(w))
-    return out.filter(F.col(rank_col) <= k) if k else out
-
-
 def union_sources(a: DataFrame, b: DataFrame) -> DataFrame:
     """Concatenate two extracts by column name; columns missing on one side
     become NULL."""

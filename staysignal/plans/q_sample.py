@@ -86,11 +86,17 @@ oracle("mask_labels", with_ctes(
 # --- statistical tests ---------------------------------------------------------
 
 
-def _erfc_sql(x: str) -> str:
-    t = f"(1.0e0 / (1.0e0 + 0.3275911e0 * ({x})))"
-    poly = (f"{t} * (0.254829592e0 + {t} * (-0.284496736e0 + {t} * (1.421413741e0 + {t} * "
-            f"(-1.453152027e0 + {t} * 1.061405429e0))))")
-    return f"({poly} * EXP(-(({x}) * ({x}))))"
+def _tail_sql(density: str, z: str) -> str:
+    """Two-sided tail beyond ``z`` >= 0 of a symmetric density in ``u``, by
+    Simpson's rule over 4,000 steps of [0, z] (independent of the operators)."""
+    return (f"(SELECT 1.0e0 - 2.0e0 * SUM(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END "
+            f"* {density}) * {z} / 12000.0e0 FROM (SELECT i, {z} * i / 4000.0e0 AS u FROM "
+            "(SELECT UNNEST(RANGE(0, 4001)) AS i) a) b)")
+
+
+_NORMAL = "EXP(-u * u / 2.0e0) / SQRT(2.0e0 * PI())"
+_STUDENT = ("EXP(LGAMMA((dof + 1) / 2.0e0) - LGAMMA(dof / 2.0e0)) / SQRT(dof * PI()) "
+            "* POWER(1.0e0 + u * u / dof, -(dof + 1) / 2.0e0)")
 
 
 @query("chi_square")
@@ -99,7 +105,7 @@ def q_chi_square(spark, sf):
 
 
 oracle("chi_square", with_ctes(
-    f"SELECT ROUND(stat, 6) AS statistic, CAST(1 AS BIGINT) AS dof, ROUND({_erfc_sql('SQRT(stat / 2.0e0)')}, 6) "
+    f"SELECT ROUND(stat, 6) AS statistic, CAST(1 AS BIGINT) AS dof, ROUND({_tail_sql(_NORMAL, 'SQRT(stat)')}, 6) "
     "AS p_value FROM (SELECT SUM(POWER(ABS(o - e) - LEAST(0.5e0, ABS(o - e)), 2) / e) AS stat FROM "
     "(SELECT o, ra * cb / CAST(n AS DOUBLE) AS e FROM (SELECT gender, Churn, COUNT(*) AS o FROM cust GROUP BY ALL) c "
     "JOIN (SELECT gender, COUNT(*) AS ra FROM cust GROUP BY gender) USING (gender) "
@@ -119,10 +125,11 @@ def q_t_test_pooled(spark, sf):
     return ST.t_test_pooled(cust(spark, sf), "MonthlyCharges", F.col("Contract"), "Month-to-month", "One year")
 
 
-oracle("t_test_pooled", with_ctes(
+_POOLED_SQL = (
     "SELECT ROUND((m1 - m2) / SQRT(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0e0 / n1 + 1.0e0 / n2)), 6) "
     "AS t_stat, CAST(n1 + n2 - 2 AS DOUBLE) AS dof, n1, n2, ROUND(m1, 6) AS mean1, ROUND(m2, 6) AS mean2 FROM ("
-    + _moments_sql("MonthlyCharges", "Contract = 'Month-to-month'", "Contract = 'One year'") + ") m"))
+    + _moments_sql("MonthlyCharges", "Contract = 'Month-to-month'", "Contract = 'One year'") + ") m")
+oracle("t_test_pooled", with_ctes(_POOLED_SQL))
 
 
 @query("t_test_welch")
@@ -130,10 +137,11 @@ def q_t_test_welch(spark, sf):
     return ST.t_test_welch(cust(spark, sf), "tenure", F.col("Churn"), 1, 0)
 
 
-oracle("t_test_welch", with_ctes(
+_WELCH_SQL = (
     "SELECT ROUND((m1 - m2) / SQRT(v1 / n1 + v2 / n2), 6) AS t_stat, ROUND((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) "
     "/ ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1)), 6) AS dof, n1, n2, "
-    "ROUND(m1, 6) AS mean1, ROUND(m2, 6) AS mean2 FROM (" + _moments_sql("tenure", "Churn = 1", "Churn = 0") + ") m"))
+    "ROUND(m1, 6) AS mean1, ROUND(m2, 6) AS mean2 FROM (" + _moments_sql("tenure", "Churn = 1", "Churn = 0") + ") m")
+oracle("t_test_welch", with_ctes(_WELCH_SQL))
 
 
 @query("t_test_pvalues")
@@ -150,6 +158,12 @@ def q_t_test_pvalues(spark, sf):
     return spark.createDataFrame(rows, "test string, t_stat double, dof double, p_value double")
 
 
+oracle("t_test_pvalues", with_ctes(
+    f"SELECT test, t_stat, dof, ROUND({_tail_sql(_STUDENT, 'ABS(t_stat)')}, 6) AS p_value FROM ("
+    f"SELECT 'pooled' AS test, t_stat, dof FROM ({_POOLED_SQL}) a UNION ALL "
+    f"SELECT 'welch', t_stat, dof FROM ({_WELCH_SQL}) b) t"))
+
+
 # --- per-cluster tables on a deterministic key (Cluster = contract) ------------
 
 

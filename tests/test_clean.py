@@ -114,3 +114,11 @@ def test_ffill_keyed_with_hot_and_null_keys(spark):
             last[g] = v
         want[i] = v if v is not None else last.get(g)
     assert got == want
+
+
+def test_only_decimal_numbers_are_numbers(spark):
+    from staysignal.functions.cleaning import to_number
+    texts = ["12.5", " 3 ", "-1e2", ".5", "7.", "NaN", "5d", "5f", "Infinity", "", " ", "1,5", None]
+    got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(to_number("t").alias("v"))
+           .collect()]
+    assert got == [12.5, 3.0, -100.0, 0.5, 7.0] + [None] * 8

@@ -94,3 +94,9 @@ def test_welch_matches_direct_formula(spark):
     va, vb = s.variance(a) / len(a), s.variance(b) / len(b)
     t = (s.mean(a) - s.mean(b)) / math.sqrt(va + vb)
     assert abs(r.t_stat - round(t, 6)) < 1e-6
+
+
+def test_chi_square_tail_values():
+    for stat, dof, want in [(3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (7.814727903251179, 3, 0.05),
+                            (18.307038053275146, 10, 0.05), (100.0, 1, 1.523970604832105e-23), (0.0, 3, 1.0)]:
+        assert abs(ST.chi2_pvalue(stat, dof) / want - 1) < 1e-9
