@@ -103,23 +103,34 @@ LEADERBOARD_SCHEMA = ("name string, accuracy double, precision double, recall do
                       "cv_auc_mean double, cv_auc_std double")
 
 
-def cv_auc(est, tr: DataFrame, folds: int = 5, parallelism: int = 5, fold_col: str = "fold"):
-    """k-fold cross-validated AUC (mean, population std) using the stratified
-    fold column.  Folds are fitted concurrently from driver threads -- each
-    fold is an independent set of Spark jobs -- since CrossValidator only
-    parallelises across parameter maps, not folds."""
+def cv_folds(train: DataFrame, folds: int = 5, fold_col: str = "fold") -> list[tuple[DataFrame, DataFrame]]:
+    """(fitting, validation) side of every fold, each prepared with levels,
+    scales and weights learnt on its own fitting side."""
+    return [prepare(train.filter(F.col(fold_col) != i), train.filter(F.col(fold_col) == i))[:2]
+            for i in range(folds)]
+
+
+def release(folds: list[tuple[DataFrame, DataFrame]]) -> None:
+    for side in (s for pair in folds for s in pair):
+        side.unpersist()
+
+
+def cv_auc(est, folds: list[tuple[DataFrame, DataFrame]], parallelism: int = 5):
+    """Cross-validated AUC (mean, population std) over ``cv_folds``.  Folds
+    are fitted concurrently from driver threads -- each fold is an independent
+    set of Spark jobs -- since CrossValidator only parallelises across
+    parameter maps, not folds."""
     from multiprocessing.pool import ThreadPool
 
     import numpy as np
     ev = BinaryClassificationEvaluator(labelCol=TARGET, rawPredictionCol="rawPrediction", metricName="areaUnderROC",
                                        numBins=0)
 
-    def one(i: int) -> float:
-        model = est.copy().fit(tr.filter(F.col(fold_col) != i))
-        return float(ev.evaluate(model.transform(tr.filter(F.col(fold_col) == i))))
+    def one(fold) -> float:
+        return float(ev.evaluate(est.copy().fit(fold[0]).transform(fold[1])))
 
-    with ThreadPool(max(1, min(parallelism, folds))) as pool:
-        aucs = pool.map(one, range(folds))
+    with ThreadPool(max(1, min(parallelism, len(folds)))) as pool:
+        aucs = pool.map(one, folds)
     return float(np.mean(aucs)), float(np.std(aucs))
 
 

@@ -95,12 +95,13 @@ def compared(spark, sf):
     """Leaderboard: test metrics of every model and the soft vote, plus
     5-fold cross-validated AUC on the training side."""
     def build():
-        tr, _, _, _ = _prepared(spark, sf)
+        folds = M.cv_folds(train_test(spark, sf)[0])
         rows = []
         preds = {}
         for name, est in M.estimators().items():
             preds[name] = predictions(spark, sf, name)
-            rows.append(M.metrics_row(name, preds[name], M.cv_auc(est, tr)))
+            rows.append(M.metrics_row(name, preds[name], M.cv_auc(est, folds)))
+        M.release(folds)
         rows.append(M.metrics_row("soft_vote", M.soft_vote(list(preds.values()))))
         cols = ["name", "accuracy", "precision", "recall", "f1", "roc_auc", "cv_auc_mean", "cv_auc_std"]
         return spark.createDataFrame([tuple(r[k] for k in cols) for r in rows], M.LEADERBOARD_SCHEMA)
@@ -129,34 +130,38 @@ def q_ml_tune(spark, sf):
     return spark.createDataFrame(rows, "reg_param double, elastic_net double, fit_intercept boolean, cv_auc double")
 
 
-def _forest(spark, sf):
-    train, test = train_test(spark, sf)
-    tr, te, levels, _ = M.prepare(train, test)
-    model, pred = M.fit_predict("random_forest", M.estimators()["random_forest"], tr, te)
-    return model, pred, M.feature_names(levels), tr, te
+def forest_importances(spark, sf):
+    """(feature, importance) of the forest, fitted once per application."""
+    def build():
+        train, test = train_test(spark, sf)
+        tr, te, levels, _ = M.prepare(train, test)
+        model = M.estimators()["random_forest"].fit(tr)
+        tr.unpersist(), te.unpersist()
+        return spark.createDataFrame(M.importances(model, M.feature_names(levels)),
+                                     "feature string, importance double")
+    return _memo_table(spark, sf, "importances", build)
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf):
-    model, _, names, _, _ = _forest(spark, sf)
-    return spark.createDataFrame(M.importances(model, names), "feature string, importance double")
+    return forest_importances(spark, sf)
 
 
 @query("top_features")
 def q_top_features(spark, sf):
-    model, _, names, _, _ = _forest(spark, sf)
-    df = spark.createDataFrame(M.importances(model, names), "feature string, importance double")
-    return df.orderBy(F.desc("importance"), F.asc("feature")).limit(15)
+    return forest_importances(spark, sf).orderBy(F.desc("importance"), F.asc("feature")).limit(15)
 
 
 @query("ml_feature_select")
 def q_ml_feature_select(spark, sf):
-    model, _, names, tr, te = _forest(spark, sf)
-    keep = [i for i, (_, v) in enumerate(M.importances(model, names)) if v >= 0.01]
+    weight = {r["feature"]: r["importance"] for r in forest_importances(spark, sf).collect()}  # one row per feature
+    train, test = train_test(spark, sf)
+    tr, te, levels, _ = M.prepare(train, test)
+    keep = [i for i, name in enumerate(M.feature_names(levels)) if weight[name] >= 0.01]
     sl = VectorSlicer(inputCol="features", outputCol="selected", indices=keep)
     est = M.estimators()["random_forest"].setFeaturesCol("selected")
     m2 = est.fit(sl.transform(tr))
-    pred = m2.transform(sl.transform(te)).select(ID_COL, F.col(TARGET).alias("y"), F.round(M.p1(), 4).alias("p"))
+    pred = m2.transform(sl.transform(te)).select(ID_COL, F.col(TARGET).alias("y"), M.p1().alias("p"))
     row = M.metrics_row("random_forest_selected", pred)
     return spark.createDataFrame([(row["name"], len(keep), row["roc_auc"], row["f1"])],
                                  "name string, n_features int, roc_auc double, f1 double")

@@ -77,3 +77,18 @@ def test_memo_is_reentrant_and_builds_once(spark):
     assert q_ml._memo_table(spark, "/memo-test", "outer", outer).first().x == 2
     assert q_ml._memo_table(spark, "/memo-test", "outer", outer).first().x == 2
     assert calls == ["outer", "inner"]
+
+
+def test_folds_learn_their_own_scales(spark):
+    from staysignal.plans.q_ml import train_test
+    train, _ = train_test(spark, SF)
+    folds = M.cv_folds(train, 3)
+    for fit, hold in folds:
+        n, m = fit.count(), hold.count()
+        assert n > m > 0
+        x = M.vector_to_array(F.col("features"))[0]
+        mean = fit.agg(F.avg(x)).first()[0]
+        assert abs(mean) < 1e-9  # centred on its own fitting side
+    auc, sd = M.cv_auc(M.estimators()["decision_tree"], folds)
+    assert 0.3 < auc <= 1.0 and sd >= 0.0
+    M.release(folds)
