@@ -66,3 +66,25 @@ def test_golomb_round_trip():
         v = np.sort(rng.integers(0, top, n, dtype=np.uint64))
         code = golomb.encode(v)
         assert (golomb.decode(b"xx" + code + b"yy", 2) == v).all() and golomb.size(code) == len(code)
+
+
+def test_chunks_are_balanced_by_size_and_follow_ids(spark):
+    from pyspark.sql import functions as F
+
+    from staysignal.llm.chunks import in_chunks
+    # ids with a gap of 10**15 between two halves; the last 40 ids hold nine tenths of the text
+    ids = spark.range(4000).select(F.when(F.col("id") < 2000, F.col("id")).otherwise(F.col("id") + 10**15).alias("id"),
+                                   F.when(F.col("id") >= 3960, 90_000).otherwise(100).alias("size"))
+    ids = ids.union(spark.createDataFrame([(None, None)], "id long, size int"))
+    for chunk in (200_000, 2_000):  # fewer and more than 256 chunks
+        rows_, n, total = in_chunks(ids, "id", F.col("size"), chunk)
+        got = rows_.collect()
+        assert (n, total) == (4001, 40 * 90_000 + 3960 * 100)
+        got.sort(key=lambda r: (r["id"] is not None, r["id"]))
+        numbers = [r["chunk"] for r in got]
+        assert numbers == sorted(numbers) and numbers[0] == 0
+        held = {}
+        for r in got:
+            held[r["chunk"]] = held.get(r["chunk"], 0) + max(1024, r["size"] or 0)
+        assert max(held.values()) <= 2 * max(90_000, chunk * 2)
+        assert len(held) > (256 if chunk == 2_000 else 20)
