@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import id_hash, table
 
 TRAIN_DOCS = 1500  # about so many labelled documents of either class
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 LEAST_DOCS = 4  # documents that must hold a feature
 LEAST_SHARE = 0.02  # of the toxic documents must hold a toxic feature; rarer ones come from copied texts
 LIFT = 12.0  # times as common in toxic documents
@@ -111,10 +111,12 @@ class Model:
 
 
 def summary(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Of each document: 1, its greatest marginal, the log of its expected toxic words."""
+    """Of each document: 1, its greatest marginal, the logs of its expected toxic words and of their
+    share in 100 words (a long clean text holds a suspect word by chance)."""
     most = np.zeros(n)
     np.maximum.at(most, doc, p)
-    return np.stack([np.ones(n), most, np.log1p(np.bincount(doc, p, n))], axis=1)
+    expected, words = np.bincount(doc, p, n), np.maximum(1, np.bincount(doc, minlength=n))
+    return np.stack([np.ones(n), most, np.log1p(expected), np.log1p(100 * expected / words)], axis=1)
 
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
@@ -190,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, train_docs: int = TR
     y = np.array([g[2] for g in got], np.int64)
     if len(set(y)) < 2:  # nothing to tell apart
         rate = float(y.mean()) if len(y) else 0.0
-        return Model({}, -30.0, np.zeros((2, 2)), np.array([np.log((rate + 0.01) / (1.01 - rate)), 0, 0]))
+        return Model({}, -30.0, np.zeros((2, 2)), np.array([np.log((rate + 0.01) / (1.01 - rate)), 0, 0, 0]))
     return train([g[1] for g in got], y)
 
 
