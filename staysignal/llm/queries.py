@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": _over("documents", op5_license.digest),
     "op6_embedding_dedup": _over("embeddings", op6_itq.digest),
     "op7_line_dedup": _over("documents", op7_lines.digest),
+    "op7_repeated_lines": _over("documents", op7_lines.digest_repeated),
     "op8_toxicity": _toxicity,
     "op9_exact_dedup": _over("documents", op9_exact.digest),
     "op10_jaccard_join": _over("documents", op10_chosenpath.digest),
@@ -42,6 +43,7 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": op5_license.ORACLE,
     "op6_embedding_dedup": op6_itq.ORACLE,
     "op7_line_dedup": op7_lines.ORACLE,
+    "op7_repeated_lines": op7_lines.ORACLE_REPEATED,
     "op9_exact_dedup": op9_exact.ORACLE,
     "op10_jaccard_join": op10_chosenpath.ORACLE,
 }

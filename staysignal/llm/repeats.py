@@ -13,7 +13,8 @@ a repeat covers goes; runs are judged on the input, not on what is left.
 2. Extension.  A matched anchor is extended to both sides to all runs of
    ``window`` tokens that hold it; the runs' 96-bit keys go to their owners,
    which tell each chunk what an earlier chunk has already.  Overlapping
-   repeats join to maximal repeated passages.
+   repeats join to maximal repeated passages.  With ``single``, every token
+   of that many bytes is an anchor and also a run by itself.
 3. Each chunk deletes its repeats.
 
 Chunks hold consecutive ids, so "earlier" between chunks is the smaller
@@ -37,7 +38,7 @@ from . import golomb
 from .chunks import CHUNK_BYTES, in_chunks
 from .common import bits_for, string_array, text_buffer
 from .exchange import MESSAGE, asked, messages, owners_of
-from .spans import join_kept, ngram_hashes, span_hashes, token_spans, within_row
+from .spans import ink, join_kept, ngram_hashes, span_hashes, token_spans, within_row
 
 NOTE = -1  # answers from here on are notes of a chunk to itself
 GLUE = {"words": 32, "lines": 10}
@@ -72,7 +73,12 @@ def ids_of_null(group: pa.Table) -> np.ndarray:
     return group.column("__text").is_null().to_numpy(zero_copy_only=False) if group.num_rows else np.zeros(0, bool)
 
 
-def _anchors(c: _Chunk, window: int, mode: str, width: int, h0: np.ndarray | None = None):
+def _alone(c: _Chunk, single: int | None) -> np.ndarray:
+    """Whether a token may go by itself: it has at least ``single`` bytes outside white space."""
+    return ink(c.buf, c.starts, c.ends) >= single if single is not None else np.zeros(len(c.row), bool)
+
+
+def _anchors(c: _Chunk, window: int, mode: str, width: int, h0: np.ndarray | None = None, single: int | None = None):
     """(value, token position, is a reference) of every probe of a chunk."""
     h = c.hashes(0) if h0 is None else h0
     if mode == "blocks":
@@ -85,18 +91,21 @@ def _anchors(c: _Chunk, window: int, mode: str, width: int, h0: np.ndarray | Non
         at, v, reference = at[ok], v[ok], reference[ok]
     else:
         ok = within_row(c.row, window)
-        if not len(ok):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-        views = np.lib.stride_tricks.sliding_window_view(h, window)[ok]
-        at = np.unique(np.flatnonzero(ok) + window - 1 - views[:, ::-1].argmin(axis=1))  # the last of equal minima
+        at = np.flatnonzero(_alone(c, single))
+        if len(ok):
+            views = np.lib.stride_tricks.sliding_window_view(h, window)[ok]
+            least = np.flatnonzero(ok) + window - 1 - views[:, ::-1].argmin(axis=1)  # the last of equal minima
+            at = np.union1d(at, least)
         v, reference = h[at], np.ones(len(at), bool)
     return v >> np.uint64(64 - width), at, reference
 
 
-def _runs(c: _Chunk, candidate: np.ndarray, window: int):
-    """Sorted 96-bit keys of the candidate runs, their order, and the starts of equal keys."""
-    h = ngram_hashes(c.hashes(0), window)[candidate]
-    lo = (ngram_hashes(c.hashes(1), window, 1)[candidate] >> np.uint64(32)).astype(np.uint32)
+def _runs(c: _Chunk, candidates: list[np.ndarray], windows: list[int]):
+    """Sorted 96-bit keys of the candidate runs of each length, their order, and the starts of equal keys."""
+    lanes = [c.hashes(0), c.hashes(1)]
+    h, lo = (np.concatenate([ngram_hashes(x, n, lane)[at] for at, n in zip(candidates, windows)])
+             for lane, x in enumerate(lanes))
+    lo = (lo >> np.uint64(32)).astype(np.uint32)
     order = np.argsort(h, kind="stable")
     hs, ls = h[order], lo[order]
     if ((hs[1:] == hs[:-1]) & (ls[1:] != ls[:-1])).any():
@@ -119,15 +128,20 @@ def _spread(flags: np.ndarray, n: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int, kind: str = "words", anchors: str = "blocks", key: str = "doc_id",
                    text: str = "text", carry: list[str] | None = None, with_text: bool = True,
-                   chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                   chunk_bytes: int = CHUNK_BYTES, single: int | None = None) -> DataFrame:
     """One row per input row: the columns ``carry`` (default: ``key``), then
     ``n_tokens``, ``n_removed``, ``kept_sha256``, ``spans`` (removed passages,
     as (first token, tokens)) and, if asked, ``kept_text``.
 
     A null text has no token; an empty one has no word and one empty line.
     Rows with the same id and the same text stand at the same place, so
-    neither is earlier.  Carried columns may have any name.
+    neither is earlier.  Carried columns may have any name.  With ``single``
+    (for ``winnow``), a token of at least so many bytes outside white space
+    also goes if it alone starts earlier.
     """
+    if single is not None and anchors != "winnow":
+        raise ValueError("single needs winnow anchors")
+    windows = [window] if single is None else [window, 1]
     carry = carry or [key]
     width_names = [f"__c{i}" for i in range(len(carry))]
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("__key"), F.col(f"`{text}`").alias("__text"),
@@ -139,7 +153,7 @@ def remove_repeats(docs: DataFrame, window: int, kind: str = "words", anchors: s
 
     def probe(group: pa.Table) -> pa.Table:
         c = _Chunk(group, "__key", kind)
-        v, _, reference = _anchors(c, window, anchors, width)
+        v, _, reference = _anchors(c, window, anchors, width, single=single)
         order = np.argsort(v)
         v, reference = v[order], reference[order]
         first = np.flatnonzero(np.diff(v, prepend=np.uint64(1 << 63)))
@@ -182,7 +196,7 @@ def remove_repeats(docs: DataFrame, window: int, kind: str = "words", anchors: s
         c = _Chunk(group, "__key", kind)
         number = group.column("chunk")[0].as_py()
         hits = np.sort(np.concatenate([golomb.decode(m) for m in answers.column("message").to_pylist()]))
-        v, at, _ = _anchors(c, window, anchors, width)
+        v, at, _ = _anchors(c, window, anchors, width, single=single)
         place = np.minimum(np.searchsorted(hits, v), len(hits) - 1)
         matched = np.zeros(len(c.row) + 1, np.int64)
         matched[at[hits[place] == v] + 1] = 1
@@ -190,13 +204,15 @@ def remove_repeats(docs: DataFrame, window: int, kind: str = "words", anchors: s
         inner = window // 2 if anchors == "blocks" else 1
         ok = within_row(c.row, window)
         n = len(ok)
-        candidate = np.flatnonzero(ok & (matched[window - inner + 1:window - inner + 1 + n] > matched[:n]))
-        if not len(candidate):
+        candidates = [np.flatnonzero(ok & (matched[window - inner + 1:window - inner + 1 + n] > matched[:n]))]
+        if single is not None:
+            candidates.append(np.flatnonzero(_alone(c, single) & (np.diff(matched) > 0)))
+        if not any(map(len, candidates)):
             return messages([])
-        hs, ls, _, first = _runs(c, candidate, window)
+        hs, ls, _, first = _runs(c, candidates, windows)
         hs, ls = hs[first], ls[first]
         owners, cuts = owners_of(hs, 64, owner_bits)
-        note = golomb.encode(candidate.astype(np.uint64))
+        note = b"".join(golomb.encode(x.astype(np.uint64)) for x in candidates)
         return messages([(int(o), number, golomb.encode(hs[a:b]) + ls[a:b].tobytes())
                          for o, a, b in zip(owners, cuts, cuts[1:])] + [(NOTE - number, number, note)])
 
@@ -231,9 +247,13 @@ def remove_repeats(docs: DataFrame, window: int, kind: str = "words", anchors: s
         notes = {d: m for d, m in zip(answers.column("dest").to_pylist(), answers.column("message").to_pylist())}
         mine = [d for d in notes if d < 0]
         if mine:
-            candidate = golomb.decode(notes[mine[0]]).astype(np.int64)
-            hs, ls, order, first = _runs(c, candidate, window)
-            where = candidate[order]
+            candidates, at = [], 0
+            for _ in windows:
+                candidates.append(golomb.decode(notes[mine[0]], at).astype(np.int64))
+                at += golomb.size(notes[mine[0]], at)
+            hs, ls, order, first = _runs(c, candidates, windows)
+            where = np.concatenate(candidates)[order]
+            length = np.repeat(windows, [len(x) for x in candidates])[order]
             group_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hs))))
             seen = np.zeros(len(first), bool)
             owners, cuts = owners_of(hs[first], 64, owner_bits)
@@ -247,9 +267,11 @@ def remove_repeats(docs: DataFrame, window: int, kind: str = "words", anchors: s
             same = (c.ids[c.row[where]] == c.ids[c.row[lead]]) & (place == lead_place)
             if (np.diff(c.ids) == 0).any():
                 lead_place, same = _least_place(c, where, place, group_of, len(first))
-            bad = np.zeros(max(0, len(c.row) - window + 1), bool)
-            bad[where[seen[group_of] | ~same]] = True
-            removed = _spread(bad, window)[:len(c.row)]
+            repeat = seen[group_of] | ~same
+            for w in windows:
+                bad = np.zeros(max(0, len(c.row) - w + 1), bool)
+                bad[where[repeat & (length == w)]] = True
+                removed |= _spread(bad, w)[:len(c.row)]
         out, cuts = join_kept(c.buf, c.off, c.starts, c.ends, c.row, ~removed, GLUE[kind])
         data = out.tobytes()
         shas = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]

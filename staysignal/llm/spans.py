@@ -48,6 +48,13 @@ def token_spans(buf: np.ndarray, off: np.ndarray, kind: str) -> tuple[np.ndarray
     return starts, ends, np.searchsorted(off[1:], starts, side="right")
 
 
+def ink(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bytes of every token outside ``\\x20 \\x09-\\x0D``."""
+    counts = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(~_SEPARATOR[buf], out=counts[1:])
+    return counts[ends] - counts[starts]
+
+
 @lru_cache(maxsize=4)
 def _tables(lane: int):
     """Byte values, powers of the base and of its inverse modulo 2**64."""

@@ -42,6 +42,20 @@ def test_lines_against_brute_force(spark, run):
     assert sorted(((r[0], r[1], r[2], r[3]) for r in got), key=str) == brute([(r[0], r[1]) for r in rows()], run, lines, b"\n")
 
 
+def test_single_lines_between_other_neighbours_go(spark):
+    line = "A whole sentence that many documents hold."
+    texts = [f"own {i} a\n{line}\n{'}' if i % 2 else 'Yes.'}\n\n  \nown {i} b" for i in range(6)]
+    texts += [f"{line}\nlast\n{line}", line, "", None, "p\n}\n\nq", "p\n}\n\nq\nr", "漢字漢\nx", "y\n漢字漢"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for chunk_bytes in (60, 1 << 20):
+        got = {r["doc_id"]: r["kept_text"] for r in op7_lines.repeated_lines(docs, chunk_bytes=chunk_bytes).collect()}
+        assert got[0] == texts[0] and all(line not in (got[i] or "") for i in range(1, 8))
+        assert got[1] == "own 1 a\n}\n\n  \nown 1 b"  # short and blank lines stay
+        assert (got[6], got[7], got[8], got[9]) == ("last", "", "", None)
+        assert got[10] == texts[10] and got[11] == "r"  # ... unless in a repeated run of three
+        assert got[12] == texts[12] and got[13] == "y"  # bytes count, not letters
+
+
 def test_spans_text_and_carried_columns(spark):
     docs = documents(spark)
     got = op2_substring.substring_dedup(docs, carry=docs.columns).collect()
