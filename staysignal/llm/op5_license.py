@@ -3,7 +3,10 @@
 Every sentence or line of a file is compared to licence templates by the
 cosine of sparse TF-IDF vectors (a term counts once; document frequencies
 over all files; a term outside the templates weighs as one that no file has).
-A file's own licence is its best match.  A file that consists mostly of its
+Files that hold enough terms of a standard header or of a whole licence text
+(``licenses``) are also compared to these by their sentences and paragraphs
+across line ends, their beginnings and their whole text; SPDX tags count as
+matches of score 1.  A file's own licence is its best match.  A file that consists mostly of its
 match is a licence file; files without a match of their own inherit from the
 licence file in the nearest ancestor directory, by joins on paths.
 """
@@ -11,16 +14,26 @@ licence file in the nearest ancestor directory, by joins on paths.
 from __future__ import annotations
 
 import math
+import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .licenses import HEADERS, SPDX, whole_texts
 
 THRESHOLD = 0.75
 FILE_SHARE = 0.5  # of a file's words lie in matching units: a licence file
 TERM = r"[\p{L}\p{N}]+"
 UNIT = r"[.!?]+\s+|\n"
+SENTENCE = r"[.!?]+\s+"
+PARAGRAPH = r"\n[^\p{L}\p{N}\n]*\n"  # a line without a word, as in comments
+COPYRIGHT = r"(?im)^.{0,40}copyright\s+(\(c\)|©|<|\[|\d{4}).{0,100}$"  # the holder's line is no part of a licence
+HEADS = [int(30 * 1.7 ** i) for i in range(11)]  # beginnings that are scored, in words
+TAG = (r"(?i)SPDX-License-Identifier:[ \t]*(\(*[a-z0-9][a-z0-9.+:-]*\)*"
+       r"(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[a-z0-9][a-z0-9.+:-]*\)*)*)")
 
 # Notices by which projects declare their licence.
 TEMPLATES = [
@@ -49,10 +62,92 @@ def template_terms(templates) -> list[tuple[str, list[str]]]:
     return [(name, sorted(set(regex.findall(TERM, text.lower())))) for name, text in templates]
 
 
+def _least_terms(words: list[str], weight: dict[str, float], heavy: float, threshold: float) -> tuple[list[str], int]:
+    """The heavy terms of a template, and the fewest of them that a text with a cosine of the threshold can
+    hold, should it hold all the light ones; all terms, if the light ones could do."""
+    need = threshold ** 2 * sum(weight[w] for w in words) * (1 - 1e-9)
+    for least in (heavy, 0.0):
+        chosen = sorted((w for w in words if weight[w] >= least), key=lambda w: (-weight[w], w))
+        held = sum(weight[w] for w in words if weight[w] < least)
+        if held >= need:
+            continue
+        for n, w in enumerate(chosen, 1):
+            held += weight[w]
+            if held >= need:
+                return chosen, n
+    return list(words), 1
+
+
+def _words(words) -> Column:
+    return F.split(F.lit(" ".join(words)), " ")  # one literal
+
+
+def _may_match(named, weight: dict[str, float], outside: float, threshold: float):
+    """A condition on distinct terms that holds wherever they can reach the threshold with some template."""
+    least = [_least_terms(words, weight, outside / 2, threshold) for _, words in named]
+    vocabulary = sorted({w for words, _ in least for w in words})
+
+    def some(held: Column) -> Column:
+        return (F.size(held) >= min(n for _, n in least)) & reduce(
+            or_, [F.size(F.array_intersect(held, _words(words))) >= n for words, n in least])
+
+    if not least:
+        return lambda found: F.lit(False)
+    return lambda found: F.exists(F.array(F.array_intersect(found, _words(vocabulary))), some)
+
+
+def _tagged(text: Column) -> Column:
+    """(-score, license) of each SPDX identifier; "or later" and "only" are no licences of their own."""
+    known = F.create_map(*[F.lit(x) for name in SPDX for x in (name.lower(), name)])
+    names = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TAG), F.lit(1)), lambda e: F.regexp_extract_all(
+        F.regexp_replace(e, r"(?i)\sWITH\s+\S+", ""), F.lit(r"[A-Za-z0-9][A-Za-z0-9.+:-]*"), F.lit(0))))
+    names = F.transform(names, lambda x: F.regexp_replace(x, r"(?i)[.:-]+$|(-only|-or-later|\+)$", ""))
+    names = F.transform(names, lambda x: F.coalesce(known[F.lower(x)], F.when(x.rlike("[0-9]|^LicenseRef-"), x)))
+    return F.transform(F.filter(names, lambda x: x.isNotNull()),
+                       lambda x: F.struct(F.lit(-1.0).alias("less"), x.alias("license")))
+
+
+def _long_matches(files: DataFrame, named, weight: dict[str, float], outside: float, threshold: float) -> DataFrame:
+    """(__id, found, found_words): the best match of each file's ``__long`` text to the templates ``named`` and to its
+    SPDX tags, and the words in matching units of the kind that covers most."""
+    spark = files.sparkSession
+    tokens = lambda t: F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0))
+    unit = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("tokens"))
+    split = lambda kind, parts: F.transform(parts, lambda u: unit(kind, tokens(u)))
+    bare = F.regexp_replace("__long", COPYRIGHT, "")
+    paragraphs = F.split("bare", PARAGRAPH)
+    texts = files.filter("__long is not null").select("__id", "__long", bare.alias("bare"), tokens(bare).alias("all"))
+    may_match = _may_match(named, weight, outside, threshold)
+    units = texts.select("__id", F.posexplode(F.filter(F.concat(
+        split(0, F.split("bare", UNIT)), split(1, F.flatten(F.transform(paragraphs, lambda x: F.split(x, SENTENCE)))),
+        split(2, paragraphs), F.array(unit(3, F.col("all"))),
+        F.array(*[unit(4 + i, F.slice("all", 1, n)) for i, n in enumerate(HEADS)])),
+        lambda u: may_match(u["tokens"]))).alias("j", "unit"))
+    units = units.select("__id", "j", "unit.kind", F.size("unit.tokens").alias("words"),
+                         F.explode(F.array_distinct("unit.tokens")).alias("term"))
+    weights = spark.createDataFrame(sorted({(w, weight[w]) for _, ws in named for w in ws}), "term string, w double")
+    places = spark.createDataFrame([(w, weight[w], k) for k, (_, ws) in enumerate(named) for w in ws],
+                                   "term string, w double, k int")
+    totals = spark.createDataFrame([(k, name, sum(weight[w] for w in ws)) for k, (name, ws) in enumerate(named)],
+                                   "k int, license string, total double")
+    norms = (units.join(F.broadcast(weights), "term", "left").groupBy("__id", "j", "kind", "words")
+             .agg(F.sum(F.coalesce("w", F.lit(outside))).alias("norm")))
+    scores = (units.join(F.broadcast(places), "term").groupBy("__id", "j", "k").agg(F.sum("w").alias("common"))
+              .join(F.broadcast(totals), "k").join(norms, ["__id", "j"])
+              .withColumn("less", -F.round(F.col("common") / F.sqrt(F.col("norm") * F.col("total")), 9))
+              .filter(F.col("less") <= -threshold))
+    by_unit = scores.groupBy("__id", "j", "kind", "words").agg(F.min(F.struct("less", "license")).alias("found"))
+    tagged = texts.select("__id", F.lit(-1).alias("kind"), F.array_min(_tagged(F.col("__long"))).alias("found"), F.aggregate(
+        F.regexp_extract_all("__long", F.lit(TAG), F.lit(0)), F.lit(0), lambda n, t: n + F.size(tokens(t))).alias("words"))
+    return (by_unit.select("__id", "kind", "found", "words").unionByName(tagged.filter("found is not null"))
+            .groupBy("__id", "kind").agg(F.min("found").alias("found"), F.sum("words").alias("words"))
+            .groupBy("__id").agg(F.min("found").alias("found"), F.max("words").alias("found_words")))
+
+
 def _weights(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
     """Squared idf of the templates' terms and of a term that no file has; only the
     vocabulary's counts reach the driver."""
-    own = F.array_intersect(terms("__text"), F.array(*map(F.lit, vocabulary)))
+    own = F.array_intersect(terms("__text"), _words(vocabulary))
     counts = files.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("term")).groupBy("term").count()
     df = {r["term"]: r["count"] for r in counts.collect()}
     n = df.pop("", 0)
@@ -72,18 +167,24 @@ def _core(words: list[str], weight: dict[str, float], threshold: float) -> set[s
 
 
 def license_scan(files: DataFrame, key: str, path: Column, text: str = "text", templates=None,
-                 threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
+                 threshold: float = THRESHOLD, file_share: float = FILE_SHARE, long_templates=None) -> DataFrame:
     """One row per input row: the key, path, license, origin (header, file, inherited, none) and score.
 
     Null and empty texts match nothing, but inherit; a null path is the top
     directory.  Of equal scores the first licence by name counts.  Rows with
     one path are files of their own.  An empty table gives an empty result.
+    ``templates`` are compared to single sentences and lines, ``long_templates``
+    (by default those of ``licenses``, none beside own ``templates``) also to
+    paragraphs, beginnings and whole files.
     """
+    if long_templates is None:
+        long_templates = [] if templates else HEADERS + [(n, re.sub(COPYRIGHT, "", t)) for n, t in whole_texts()]
+    long_named = template_terms(long_templates)
     named = template_terms(templates or TEMPLATES)
     rows = files.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"),
                         F.coalesce(path, F.lit("")).alias("__path"))
     vocabulary = sorted({w for _, words in named for w in words})
-    weight, outside = _weights(rows, vocabulary)
+    weight, outside = _weights(rows, sorted({*vocabulary, *(w for _, words in long_named for w in words)}))
     core = sorted(set().union(*[_core(words, weight, threshold) for _, words in named]))
     lits = lambda words: F.array(*map(F.lit, words))
     weights = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(weight[w]))])
@@ -100,20 +201,27 @@ def license_scan(files: DataFrame, key: str, path: Column, text: str = "text", t
 
     units = F.transform(F.split(F.coalesce("__text", F.lit("")), UNIT),
                         lambda u: F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0)))
-    scanned = rows.select("__key", "__path", units.alias("units"))
+    may_match = _may_match(long_named, weight, outside, threshold)
+    long_text = F.when(F.exists(F.array(terms("__text")), lambda t: F.array_contains(t, "spdx") | may_match(t)), F.col("__text"))
+    scanned = rows.select("__key", "__path", "__text", units.alias("units"))
     scanned = scanned.select(
-        "__key", "__path", F.aggregate("units", F.lit(0), lambda s, u: s + F.size(u)).alias("words"),
+        F.monotonically_increasing_id().alias("__id"), "__key", "__path", long_text.alias("__long"), F.aggregate("units", F.lit(0), lambda s, u: s + F.size(u)).alias("words"),
         F.transform(F.filter("units", lambda u: F.arrays_overlap(u, lits(core))),
                     lambda u: F.struct(best(u).alias("best"), F.size(u).alias("words"))).alias("units"))
     scanned = scanned.withColumn("units", F.filter("units", lambda u: u["best"]["less"] <= -threshold))
     name = F.lower(F.regexp_extract("__path", "([^/]*)$", 1))
     scanned = scanned.select(
-        "__key", "__path", F.regexp_extract("__path", "^(.*)/[^/]*$", 1).alias("dir"),
+        "__id", "__key", "__path", "__long", F.regexp_extract("__path", "^(.*)/[^/]*$", 1).alias("dir"), "words",
         F.array_min(F.transform("units", lambda u: u["best"])).alias("own"),
-        (F.size("units") > 0).alias("has"),
-        ((F.aggregate("units", F.lit(0), lambda s, u: s + u["words"]) >= file_share * F.col("words"))
-         | name.rlike(r"^(un)?licen[cs]e|^copying|^notice")).alias("whole"))
+        F.aggregate("units", F.lit(0), lambda s, u: s + u["words"]).cast("long").alias("own_words"),
+        name.rlike(r"^(un)?licen[cs]e|^copying|^notice").alias("named"))
     scanned = written(scanned, "licenses")
+    found = _long_matches(scanned, long_named, weight, outside, threshold)
+    scanned = scanned.drop("__long").join(found, "__id", "left").select(
+        "__key", "__path", "dir", F.least("own", "found").alias("own"),
+        (F.col("own").isNotNull() | F.col("found").isNotNull()).alias("has"),
+        ((F.greatest("own_words", "found_words") >= file_share * F.col("words")) | F.col("named")).alias("whole"))
+    scanned = written(scanned, "licensed")
     # licence of each directory with a licence file, then of each directory with files to inherit
     given = scanned.filter("has and whole").groupBy(F.col("dir").alias("above")).agg(F.min("own").alias("given"))
     wanting = scanned.filter("not has").select("dir").distinct()

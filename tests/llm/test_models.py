@@ -215,6 +215,39 @@ def test_headers_files_and_inheritance(spark):
                    5: ("CC-BY-NC-4.0", "header"), 6: (None, "none"), 7: (None, "none"), 8: ("Apache-2.0", "inherited")}
 
 
+def test_standard_headers_texts_and_tags(spark):
+    from staysignal.llm.licenses import whole_texts
+    gpl = """ * This file is part of Foo.
+ *
+ * Foo is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU %sGeneral Public License as published by
+ * the Free Software Foundation; either version %s of the License, or
+ * (at your option) any later version.
+ */
+"""
+    code = "\n".join(f"int f{i}(int x{i}) {{ return y{i} + z{i}; }}" for i in range(200))
+    text = dict(whole_texts())
+    want = {"a.c": ("GPL-2.0", "header", gpl % ("", 2) + code), "b.c": ("GPL-3.0", "header", gpl % ("", 3) + code),
+            "c.c": ("LGPL-2.1", "header", gpl % ("Lesser ", "2.1") + code),
+            "d.c": ("AGPL-3.0", "header", gpl % ("Affero ", 3) + code),
+            "e.c": ("MIT", "header", "// SPDX-License-Identifier: MIT\n" + code),
+            "f.c": ("GPL-2.0", "header", "/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */\n" + code),
+            "g.md": ("CC-BY-4.0", "header", "This work is licensed under a Creative Commons Attribution 4.0\nInternational "
+                     "License.\n\n" + code),
+            "h.txt": ("ISC", "file", "Copyright (c) 2021, Jane Roe\n\n" + " ".join(text["ISC"].split()[4:])),
+            "i.txt": ("MIT", "file", "The MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + text["MIT"].split("\n", 2)[2]),
+            "j.txt": ("GPL-3.0", "file", text["GPL-3.0"]), "k.txt": ("GPL-2.0", "file", text["GPL-2.0"]),
+            "l.txt": ("Unlicense", "file", " ".join(text["Unlicense"].split())),
+            "m.c": (None, "none", code + "\nWrite SPDX-License-Identifier: tags, free software of the public")}
+    want |= {f"n/{name}": (name, "file", t) for name, t in text.items()}
+    rows_ = [(p, t) for p, (_, _, t) in want.items()]
+    rows_ += [(f"p/{i}", f"prose {i} is the first of a kind and this is in the public {i}") for i in range(50)]
+    files = spark.createDataFrame(rows_, "p string, t string")
+    got = {r["p"]: (r["license"], r["origin"]) for r in lic.license_scan(
+        files, "p", F.concat(F.lit("x/"), F.translate("p", "./", "__"), F.lit("/"), "p"), "t").collect()}
+    assert {p: got[p] for p in want} == {p: (name, origin) for p, (name, origin, _) in want.items()}
+
+
 def test_license_rows(spark):
     got = lic.digest(documents(spark))
     assert got.count() == len(rows()) and got.filter("doc_id = 19").first()["license"] == "CC-BY-NC-4.0"
