@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,5 +71,16 @@ def string_array(buf: np.ndarray, off: np.ndarray) -> pa.Array:
     return arr.cast(pa.string())
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20, rows: int = 4096):
+    """``batch`` in slices of at most ``rows`` rows and about ``most`` bytes of text in ``column`` (one row at least)."""
+    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
+    upto, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right"))
+        end = min(max(at + 1, end), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def bits_for(n: float) -> int:
     return max(1, math.ceil(math.log2(max(2.0, float(n)))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 from . import (op1_sentencepiece, op2_substring, op3_langid, op4_packing, op5_license, op6_itq, op7_lines, op8_toxicity,
-               op9_exact, op10_chosenpath)
+               op9_exact, op10_chosenpath, op11_token_counts, op12_negatives, op13_spelling)
 from .common import table
 
 
@@ -36,6 +36,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": _toxicity,
     "op9_exact_dedup": _over("documents", op9_exact.digest),
     "op10_jaccard_join": _over("documents", op10_chosenpath.digest),
+    "op11_token_counts": _over("documents", op11_token_counts.digest),
+    "op12_hard_negatives": _over("embeddings", op12_negatives.digest),
+    "op13_spelling_variants": _over("documents", op13_spelling.digest),
 }
 
 ORACLES: dict[str, str] = {
@@ -46,4 +49,6 @@ ORACLES: dict[str, str] = {
     "op7_repeated_lines": op7_lines.ORACLE_REPEATED,
     "op9_exact_dedup": op9_exact.ORACLE,
     "op10_jaccard_join": op10_chosenpath.ORACLE,
+    "op12_hard_negatives": op12_negatives.ORACLE,
+    "op13_spelling_variants": op13_spelling.ORACLE,
 }
