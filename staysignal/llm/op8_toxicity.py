@@ -13,15 +13,18 @@ reported with their offsets.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_hash, table
+from .common import byte_slices, id_hash, table, written
 
-TRAIN_DOCS = 1500  # about so many labelled documents of either class
+TRAIN_DOCS = 1500  # about so many labelled documents of either class,
+TRAIN_BYTES = 24 << 20  # and about so many bytes of text: fewer documents if they are long
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_DOCS = 4  # documents that must hold a feature
 LEAST_SHARE = 0.02  # of the toxic documents must hold a toxic feature; rarer ones come from copied texts
@@ -119,81 +122,126 @@ def summary(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), most, np.log1p(expected), np.log1p(100 * expected / words)], axis=1)
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Fit on labelled documents, whole texts; equal ones count once."""
-    once = sorted({(t, int(y)) for t, y in zip(texts, labels)})
-    texts, labels = [t for t, _ in once], np.array([y for _, y in once], np.int64)
-    lines = [lines_of(t) for t in texts]
-    held: list[dict[str, int]] = [{}, {}]
-    for doc, y in zip(lines, labels):
-        for f in {f for line in doc for w in line for f in features(w)}:
-            held[y][f] = held[y].get(f, 0) + 1
-    n = [max(1, int((labels == y).sum())) for y in (0, 1)]
-    toxic = {f for f, k in held[1].items()
-             if f and k >= max(LEAST_DOCS, LEAST_SHARE * n[1]) and k / n[1] >= LIFT * (held[0].get(f, 0) + 0.5) / n[0]}
-    index = {f: i for i, f in enumerate(sorted(f for f in {*held[0], *held[1]} if held[0].get(f, 0) + held[1].get(f, 0)
-                                               >= LEAST_DOCS))}
-    known: dict[str, tuple[list[int], bool]] = {}
-    at, owner, tags, lengths, doc_of = [], [], [], [], []
-    token = 0
-    for d, (doc, y) in enumerate(zip(lines, labels)):
-        for line in doc:
-            for w in line:
-                if w not in known:
-                    fs = features(w)
-                    known[w] = [index[f] for f in fs if f in index], any(f in toxic for f in fs)
-                ids, bad = known[w]
-                at += ids
-                owner += [token] * len(ids)
-                tags.append(bool(bad and y))
-                token += 1
-            if line:
-                lengths.append(len(line))
-                doc_of.append(d)
-    at, owner, tags = np.array(at, np.int64), np.array(owner, np.int64), np.array(tags, float)
-    lengths = np.array(lengths, np.int64)
-    starts = np.cumsum(lengths) - lengths
+def _labelled(docs: DataFrame, labels: DataFrame, usable: Column, train_docs: int, train_bytes: int) -> DataFrame:
+    """(text, toxic): a sample by id hash of about ``train_docs`` labelled documents of either class, whole texts,
+    equal ones once; of more than ``train_bytes`` in all fewer documents are taken.  A written table."""
+    rows = labels.filter(usable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    scale = 1 << 30
+    share = lambda part: F.lit(min(scale, int(part * scale)))
+    limit = F.when(F.col("toxic") == 1, share(train_docs / max(1, counts.get(1, 0)))).otherwise(
+        share(train_docs / max(1, counts.get(0, 0))))
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < limit)  # bounded by train_docs
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = written(texts.select("text", F.col("toxic").cast("int").alias("toxic")).distinct(), "toxicity-sample")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return texts.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < share(train_bytes / max(1, size)))
+
+
+def _counted(sample: DataFrame) -> pa.Table:
+    """The sample's words (kind w) and the features (kind f) that LEAST_DOCS of its documents hold, with the number of
+    clean and of toxic documents.  Counted in tasks."""
+    def count(batches):
+        words: set[str] = set()
+        held: tuple[Counter, Counter] = Counter(), Counter()
+        for b in batches:
+            for part in byte_slices(b, 0):
+                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    own = {w for line in lines_of(text) for w in line}
+                    words |= own
+                    held[y].update({f for w in own for f in features(w)})
+        found = held[0].keys() | held[1].keys()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(["w"] * len(words) + ["f"] * len(found)), pa.array([*words, *found], pa.string()),
+             *(pa.array([0] * len(words) + [held[y][f] for f in found], pa.int64()) for y in (0, 1))],
+            names=["kind", "name", "clean", "toxic"])
+
+    rows = sample.mapInArrow(count, "kind string, name string, clean long, toxic long")
+    rows = rows.groupBy("kind", "name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return rows.filter((F.col("kind") == "w") | (F.col("clean") + F.col("toxic") >= LEAST_DOCS)).orderBy(
+        "kind", "name").toArrow()
+
+
+def _encoded(sample: DataFrame, words: list[str]) -> pa.Table:
+    """toxic, word numbers and line lengths of the sample's documents; texts stay in the tasks."""
+    known = sample.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def encode(batches):
+        number = known.value
+        for b in batches:
+            for part in byte_slices(b, 0):
+                lines = [[x for x in lines_of(t) if x] for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), pa.array([[number[w] for x in doc for w in x] for doc in lines], pa.list_(pa.int32())),
+                     pa.array([[len(x) for x in doc] for doc in lines], pa.list_(pa.int32()))],
+                    names=["toxic", "words", "lengths"])
+
+    rows = sample.orderBy("toxic", F.xxhash64("text"), "text").mapInArrow(
+        encode, "toxic int, words array<int>, lengths array<int>")
+    return rows.toArrow()
+
+
+def train(sample: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Fit on ``sample`` (text, toxic).  Tasks count features and turn words into numbers; the driver holds the
+    sample's distinct words and arrays of numbers, at most some bytes for each byte of the sample."""
+    found = _counted(sample)
+    is_word = np.array(found["kind"].to_pylist()) == "w"
+    names = found["name"].to_pylist()
+    words = [x for x, w in zip(names, is_word) if w]
+    clean, toxic = found["clean"].to_numpy()[~is_word], found["toxic"].to_numpy()[~is_word]
+    index = {x: i for i, x in enumerate(x for x, w in zip(names, is_word) if not w)}
+    del found, names
+    rows = _encoded(sample, words)
+    labels = rows["toxic"].to_numpy().astype(np.int64)
+    n = np.maximum(1, np.bincount(labels, minlength=2))
+    listed = (toxic >= max(LEAST_DOCS, LEAST_SHARE * n[1])) & (toxic / n[1] >= LIFT * (clean + 0.5) / n[0])
+    listed[[index[f] for f in [""] if f in index]] = False
+    at, owner, flagged = [], [], np.zeros(len(words), bool)
+    for i, word in enumerate(words):
+        ids = [index[f] for f in features(word) if f in index]
+        at += ids
+        owner += [i] * len(ids)
+        flagged[i] = listed[ids].any() if ids else False
+    at, owner = np.array(at, np.int64), np.array(owner, np.int64)
+    lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows["words"], rows["lengths"])]
+    of, lengths = (x.flatten().to_numpy().astype(np.int64) for x in lists)
+    doc = np.repeat(np.arange(len(labels)), pa.compute.list_value_length(lists[0]).to_numpy().astype(np.int64))
+    del rows, lists
+    tags = (flagged[of] & (labels[doc] == 1)).astype(float)
+    token, features_ = len(of), len(index)
     inner = np.ones(token, bool)
-    inner[starts] = False
+    inner[np.cumsum(lengths) - lengths] = False
     prev, cur = tags[np.flatnonzero(inner) - 1].astype(int), tags[inner].astype(int)
     seen = np.bincount(prev * 2 + cur, minlength=4).reshape(2, 2).astype(float)
-    w, bias, trans = np.zeros(len(index)), -2.0, np.zeros((2, 2))
-    mean, square = np.zeros(len(index) + 5), np.zeros(len(index) + 5)
+    w, bias, trans = np.zeros(features_), -2.0, np.zeros((2, 2))
+    mean, square = np.zeros(features_ + 5), np.zeros(features_ + 5)
+    emission = lambda: bias + np.bincount(owner, w[at], len(words))[of]
     for k in range(1, rounds + 1):  # Adam on the log likelihood
-        e = bias + np.bincount(owner, w[at], token)
-        p, pairs = marginals(e, lengths, trans, True)
-        miss = tags - p
-        grad = np.concatenate([np.bincount(at, miss[owner], len(index)) - 0.5 * w, [miss.sum()],
+        p, pairs = marginals(emission(), lengths, trans, True)
+        miss = np.bincount(of, tags - p, len(words))
+        grad = np.concatenate([np.bincount(at, miss[owner], features_) - 0.5 * w, [miss.sum()],
                                (seen - pairs).ravel() - 0.1 * trans.ravel()])
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
         step = 0.2 * (mean / (1 - 0.9 ** k)) / (np.sqrt(square / (1 - 0.99 ** k)) + 1e-8)
         w, bias, trans = w + step[:len(w)], bias + step[len(w)], trans + step[len(w) + 1:].reshape(2, 2)
-    p = marginals(bias + np.bincount(owner, w[at], token), lengths, trans)
-    x = summary(p, np.repeat(np.array(doc_of, np.int64), lengths), len(texts))
+    x = summary(marginals(emission(), lengths, trans), doc, len(labels))
     beta = np.zeros(x.shape[1])
     for _ in range(25):  # Newton with a small ridge
         q = 1 / (1 + np.exp(-(x @ beta)))
         grad = x.T @ (labels - q) - 0.05 * beta
         beta = beta + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(len(beta)), grad)
-    weights = {f: float(w[i]) for f, i in index.items() if w[i]}
-    return Model(weights, float(bias), trans, beta)
+    return Model({f: float(w[i]) for f, i in index.items() if w[i]}, float(bias), trans, beta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, train_docs: int = TRAIN_DOCS) -> Model:
-    """Train on a sample by id hash of about ``train_docs`` documents of either class."""
-    rows = labels.filter(usable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    scale = 1 << 30
-    limit = F.when(F.col("toxic") == 1, F.lit(min(scale, train_docs * scale // max(1, counts.get(1, 0))))).otherwise(
-        F.lit(min(scale, train_docs * scale // max(1, counts.get(0, 0)))))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < limit)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()  # bounded by train_docs
-    got = sorted({(r["doc_id"], r["text"] or "", r["toxic"]) for r in got})
-    y = np.array([g[2] for g in got], np.int64)
-    if len(set(y)) < 2:  # nothing to tell apart
-        rate = float(y.mean()) if len(y) else 0.0
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, train_docs: int = TRAIN_DOCS,
+        train_bytes: int = TRAIN_BYTES) -> Model:
+    """The model of a bounded sample of labelled documents."""
+    sample = _labelled(docs, labels, usable, train_docs, train_bytes)
+    n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+    if len(n) < 2:  # nothing to tell apart
+        rate = 1.0 if n.get(1) else 0.0
         return Model({}, -30.0, np.zeros((2, 2)), np.array([np.log((rate + 0.01) / (1.01 - rate)), 0, 0, 0]))
-    return train([g[1] for g in got], y)
+    return train(sample)
 
 
 class _Emissions(dict):
@@ -215,9 +263,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def f(batches):
         known = _Emissions(model)
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for at in range(0, len(texts), 1000):
-                yield block(ids.slice(at, 1000), texts[at:at + 1000], known)
+            for part in byte_slices(b, 1, rows=1000):
+                yield block(part.column(0), part.column(1).to_pylist(), known)
 
     def block(ids, texts, known) -> pa.RecordBatch:
         emission: list[float] = []
@@ -258,13 +305,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, spans: bool = True) -> DataFram
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the toxic ones."""
+    """``docs`` without the toxic ones: of rows that share an id (or a null one) all go if one of them is toxic."""
     bad = toxicity(docs, labels, spans=False).filter("predicted = 1").select(F.col("doc_id").alias("__id"))
     return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
 
 
 def digest(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    return toxicity(docs, labels, spans=False)
+    return toxicity(docs, labels)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
