@@ -34,7 +34,7 @@ CATEGORICAL_FEATURES = ["gender", "MultipleLines", "InternetService", "OnlineSec
 UPLOAD_REQUIRED = ["tenure", "MonthlyCharges", "Contract", "InternetService",
                    "PaymentMethod", "TotalCharges"]
 
-# Yes/No spellings accepted by cleaning ("1"/"0" added on purpose, see README).
+# Yes/No spellings read by cleaning; "1" and "0" only with strict=False.
 YES_NO_MAP = {"Yes": 1, "No": 0, "True": 1, "False": 0, "1": 1, "0": 0}
 NO_INTERNET = "No internet service"
 NO_PHONE = "No phone service"
@@ -121,6 +121,7 @@ THRESHOLD_GRID_POINTS = 50
 CALIBRATION_BINS = 10
 PDP_GRID_POINTS = 50
 SHAP_TOP = 10
+SHAP_BINS = 20
 WATERFALL_TOP = 8  # attributions shown one by one; the rest is one row
 TOP_RISK_N = 10
 TOP_CLV_N = 5

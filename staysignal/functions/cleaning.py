@@ -14,10 +14,10 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def yes_no_code(col, strict: bool = False) -> Column:
+def yes_no_code(col, strict: bool = True) -> Column:
     """Trimmed text -> 1/0; NULL when the spelling is not a known one.
 
-    ``strict=True`` reproduces the original map without the "1"/"0" spellings.
+    ``strict=False`` also reads the spellings "1" and "0".
     """
     text = F.trim(_c(col).cast("string"))
     expr = None
@@ -29,7 +29,7 @@ def yes_no_code(col, strict: bool = False) -> Column:
     return expr
 
 
-def binary_flag(col, strict: bool = False) -> Column:
+def binary_flag(col, strict: bool = True) -> Column:
     """Yes/No style flag -> int 1/0, unknown spellings and NULL -> 0."""
     return F.coalesce(yes_no_code(col, strict), F.lit(0)).cast("int")
 

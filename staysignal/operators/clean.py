@@ -28,12 +28,12 @@ def drop_columns(df: DataFrame, cols=(ID_COL, "Unnamed: 0", "_c0")) -> DataFrame
     return df.drop(*[c for c in cols if c in df.columns])
 
 
-def clean_yes_no(df: DataFrame, cols=BINARY_COLS, strict: bool = False) -> DataFrame:
+def clean_yes_no(df: DataFrame, cols=BINARY_COLS, strict: bool = True) -> DataFrame:
     present = [c for c in cols if c in df.columns]
     return df.withColumns({c: C.binary_flag(c, strict) for c in present})
 
 
-def clean_label(df: DataFrame, target: str = TARGET, strict: bool = False) -> DataFrame:
+def clean_label(df: DataFrame, target: str = TARGET, strict: bool = True) -> DataFrame:
     """Map the target to 1/0 and drop rows whose label is not recognised."""
     if target not in df.columns:
         return df
@@ -113,7 +113,7 @@ def ffill(df: DataFrame, cols: list[str], order_by: str, partition_by: list[str]
               .drop("__blk", *[f"__in_{c}" for c in cols])
 
 
-def clean(df: DataFrame, keep_id: bool = False, strict: bool = False) -> DataFrame:
+def clean(df: DataFrame, keep_id: bool = False, strict: bool = True) -> DataFrame:
     """The full batch cleaning chain (reference ``clean_data``)."""
     out = df if keep_id else drop_columns(df)
     out = (out.transform(clean_yes_no, strict=strict)
@@ -132,10 +132,17 @@ def clean(df: DataFrame, keep_id: bool = False, strict: bool = False) -> DataFra
     return out.dropna(how="any", subset=nullable) if nullable else out
 
 
-def preprocess_score_input(df: DataFrame) -> DataFrame:
+def learnable(df: DataFrame) -> DataFrame:
+    """The raw rows ``clean`` would keep, attributes as they are, the label as 1/0."""
+    known = [F.col(c).isNotNull() for c in ("gender", "tenure", "InternetService", "Contract", "PaymentMethod",
+                                            "MonthlyCharges")]
+    return clean_label(df).filter(reduce(lambda a, b: a & b, known) & C.total_charges("TotalCharges").isNotNull())
+
+
+def preprocess_score_input(df: DataFrame, flags=BINARY_COLS) -> DataFrame:
     """Cleaning for scoring: no row is dropped and TotalCharges stays NULL
-    when it does not parse."""
-    return (df.transform(clean_yes_no)
+    when it does not parse.  ``flags`` are the Yes/No columns still to be read."""
+    return (df.transform(clean_yes_no, cols=flags)
               .transform(clean_senior)
               .transform(clean_total_charges, impute=False)
               .transform(fill_services))

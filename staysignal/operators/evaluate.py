@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import (CALIBRATION_BINS, DECISION_THRESHOLD, PDP_GRID_POINTS, THRESHOLD_GRID_HIGH,
+from ..constants import (CALIBRATION_BINS, DECISION_THRESHOLD, PDP_GRID_POINTS, SHAP_BINS, THRESHOLD_GRID_HIGH,
                          THRESHOLD_GRID_LOW, THRESHOLD_GRID_POINTS)
 from ..functions import scorecard
 from .common import quantiles, running_sums, scalar_stats
@@ -253,3 +253,28 @@ def shap_dependence(df: DataFrame, feature: str, id_col: str = "customerID") ->
     rk = Window.orderBy(F.desc(F.abs("corr")), F.asc("other_feature"))  # <= 8 rows
     return long.select(F.lit(feature).alias("feature"), "other_feature", F.round("corr", 6).alias("corr"),
                        F.row_number().over(rk).alias("rank"))
+
+
+def attribution_bins(points: DataFrame, bins: int = SHAP_BINS) -> DataFrame:
+    """Attribution against value: ``points`` (feature, x, contribution) in ``bins`` equal ranges of each feature's
+    values, with the number of rows, mean value, mean attribution and its (population) deviation.
+
+    Sums that merge, so a hot value costs a row per task; a row without a value (null, NaN) is in no bin.
+    """
+    points = points.filter(F.col("x").isNotNull() & ~F.isnan("x") & F.col("contribution").isNotNull())
+    ends = points.groupBy("feature").agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))  # one row per feature
+    share = (F.col("x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.lit(float(bins))
+    at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share), F.lit(bins - 1))).otherwise(0).cast("int")
+    return (points.join(ends, "feature").groupBy("feature", at.alias("bin"))
+            .agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("value"),
+                 F.round(F.avg("contribution"), 6).alias("contribution"),
+                 F.round(F.stddev_pop("contribution"), 6).alias("spread")))
+
+
+def linear_points(df: DataFrame) -> DataFrame:
+    """(feature, x, contribution) of the scorecard's terms, one row per customer and term."""
+    means = scalar_stats(df, **{f"m{i}": F.avg(scorecard.term_value(t)) for i, (t, _) in enumerate(scorecard.TERMS)})
+    each = [F.struct(F.lit(t).alias("feature"), scorecard.term_value(t).cast("double").alias("x"),
+                     (F.lit(w) * (scorecard.term_value(t) - means[f"m{i}"])).alias("contribution"))
+            for i, (t, w) in enumerate(scorecard.TERMS)]
+    return df.select(F.explode(F.array(*each)).alias("e")).select("e.*")

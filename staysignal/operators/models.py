@@ -1,94 +1,60 @@
-"""Spark ML models: preprocessing, classifiers, comparison, soft vote,
-randomized tuning, selection, importances and persistence (SURVEY 2.10).
+"""Spark ML models: classifiers, comparison with resampling inside the folds, soft vote, selection, tuning of the
+selected family by racing, importances (SURVEY 2.10).
 
-Everything trains with Spark ML estimators on DataFrames; the driver only
-sees per-model metrics (a few numbers per model).  Training sets are
-persisted once and reused by every estimator and fold.
+Everything trains with Spark ML estimators on the fitting rows of a ``flow.Flow``; the driver only sees per-model
+metrics (a few numbers per model and fold).  Fits that don't depend on each other run from one pool of driver
+threads; each is an independent set of Spark jobs.
 """
 
 from __future__ import annotations
 
 import json
 import random
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CATEGORICAL_FEATURES, ID_COL, NUMERIC_FEATURES, TARGET
-from ..operators.clean import category_levels, one_hot
+from ..constants import ID_COL, TARGET
+from ..session import drop_path, shared_path
 from . import evaluate as EV
-
-# Models taken in this order if they are about as good as the best one.
-PREFERRED = ("gbt", "random_forest")
-POSITIVE_WEIGHT_COL, POSITIVE_WEIGHT = "positive_weight", 3.0  # of boosting
-
-
-def indicator_names(levels: dict[str, list[str]]) -> list[str]:
-    return [f"{c}_{lv}" for c, lvs in levels.items() for lv in sorted(lvs)[1:]]
-
-
-def encode(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
-    """Indicator columns (first level dropped, unknown -> all zeros) from
-    levels learnt on the training set."""
-    return one_hot(df, levels)
-
-
-def preprocessor(levels: dict[str, list[str]]) -> Pipeline:
-    """Scaled numerics + indicators assembled into ``features``."""
-    num = VectorAssembler(inputCols=NUMERIC_FEATURES, outputCol="num_raw", handleInvalid="keep")
-    scale = StandardScaler(inputCol="num_raw", outputCol="num_scaled", withMean=True, withStd=True)
-    cat = indicator_names(levels)
-    allv = VectorAssembler(inputCols=["num_scaled"] + cat, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[num, scale, allv])
-
-
-def feature_names(levels: dict[str, list[str]]) -> list[str]:
-    return list(NUMERIC_FEATURES) + indicator_names(levels)
-
-
-def estimators(seed: int = 42, weight_col: str | None = "weight") -> dict:
-    lr = LogisticRegression(maxIter=2000, featuresCol="features", labelCol=TARGET)
-    tree = DecisionTreeClassifier(maxDepth=8, seed=seed, featuresCol="features", labelCol=TARGET)
-    forest = RandomForestClassifier(numTrees=200, maxDepth=12, seed=seed, featuresCol="features", labelCol=TARGET)
-    gbt = GBTClassifier(maxIter=200, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, seed=seed,
-                        featureSubsetStrategy="0.8", featuresCol="features", labelCol=TARGET)
-    if weight_col:  # balanced classes; boosting weighs the positive class by a fixed factor
-        lr, tree, forest = (e.setWeightCol(weight_col) for e in (lr, tree, forest))
-        gbt = gbt.setWeightCol(POSITIVE_WEIGHT_COL)
-    return {"logistic_regression": lr, "decision_tree": tree, "random_forest": forest, "gbt": gbt}
+from .flow import POSITIVE_WEIGHT_COL, Flow, Prepared, preparation, sized
+
+# Models taken in this order if they are about as good as a best one that isn't among them.
+PREFERRED = ("gbt", "gbt_balanced", "random_forest")
+VOTE, VOTE_STANDS_FOR = "soft_vote", "gbt"
+POOL = 8  # fits at a time
+# Boosting: a round is a chain of Spark jobs whatever the rows, so a few larger steps; rounds x step stays the same.
+ROUNDS, SHRINKAGE = 40, 10.0
+
+
+def estimators(seed: int = 42, rounds: int = ROUNDS) -> dict:
+    """The compared classifiers: two boosting configurations (a fixed weight of the positive class, sampled rows and
+    columns; or balanced weights and all of both)."""
+    common = {"featuresCol": "features", "labelCol": TARGET}
+    return {
+        "logistic_regression": LogisticRegression(maxIter=2000, weightCol="weight", **common),
+        "decision_tree": DecisionTreeClassifier(maxDepth=8, seed=seed, weightCol="weight", **common),
+        "random_forest": RandomForestClassifier(numTrees=200, maxDepth=12, seed=seed, weightCol="weight", **common),
+        "gbt": GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=SHRINKAGE / rounds, subsamplingRate=0.8, featureSubsetStrategy="0.8",
+                             seed=seed, weightCol=POSITIVE_WEIGHT_COL, **common),
+        "gbt_balanced": GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=SHRINKAGE / rounds, seed=seed, weightCol="weight", **common),
+    }
 
 
 def p1(col: str = "probability"):
     return vector_to_array(F.col(col))[1]
 
 
-def prepare(train: DataFrame, test: DataFrame, weights: bool = True):
-    """Encode + assemble both sides with statistics learnt on ``train``."""
-    from .resample import with_class_weight
-    levels = category_levels(train, CATEGORICAL_FEATURES)
-    tr = encode(train, levels)
-    te = encode(test, levels)
-    if weights:
-        tr = with_class_weight(tr, TARGET).withColumn(
-            POSITIVE_WEIGHT_COL, F.when(F.col(TARGET) == 1, POSITIVE_WEIGHT).otherwise(1.0))
-    pre = preprocessor(levels).fit(tr)
-    # Iterative learners rescan their input many times: keep the assembled
-    # frames (memory, spilling to disk) instead of replaying the lineage.
-    # Their partitions are those of the input.
-    return pre.transform(tr).persist(), pre.transform(te).persist(), levels, pre
-
-
-def fit_predict(name: str, est, tr: DataFrame, te: DataFrame):
-    model = est.fit(tr)
-    pred = model.transform(te).select(ID_COL, F.col(TARGET).alias("y"), p1().alias("p"))
-    return model, pred
+def predicted(model, rows: DataFrame) -> DataFrame:
+    """(id, y, p) of rows with a known label."""
+    return model.transform(rows).select(ID_COL, F.col(TARGET).cast("int").alias("y"), p1().alias("p"))
 
 
 def metrics_row(name: str, pred: DataFrame, cv_auc=(None, None)) -> dict:
@@ -103,35 +69,50 @@ LEADERBOARD_SCHEMA = ("name string, accuracy double, precision double, recall do
                       "cv_auc_mean double, cv_auc_std double")
 
 
-def cv_folds(train: DataFrame, folds: int = 5, fold_col: str = "fold") -> list[tuple[DataFrame, DataFrame]]:
-    """(fitting, validation) side of every fold, each prepared with levels,
-    scales and weights learnt on its own fitting side."""
-    return [prepare(train.filter(F.col(fold_col) != i), train.filter(F.col(fold_col) == i))[:2]
-            for i in range(folds)]
+class Fold:
+    """One fold: fitting rows prepared (scaled, oversampled, weighed) by themselves, and the held-out rows."""
 
+    def __init__(self, stages: list, fitting: DataFrame, held: DataFrame):
+        self.prepared = Flow(stages, None).prepare(fitting)
+        rows = self.prepared.transform(held).select(ID_COL, TARGET, "features")
+        self.path = shared_path(held.sparkSession, "held-rows")
+        rows.write.parquet(self.path)
+        read = held.sparkSession.read.schema(rows.schema).parquet(self.path)
+        self.held = sized(read, read.count())
 
-def release(folds: list[tuple[DataFrame, DataFrame]]) -> None:
-    for side in (s for pair in folds for s in pair):
-        side.unpersist()
+    def auc(self, classifier) -> float:
+        """AUC on the held-out rows of ``classifier`` fitted on the others."""
+        ev = BinaryClassificationEvaluator(labelCol=TARGET, rawPredictionCol="rawPrediction", metricName="areaUnderROC",
+                                           numBins=0)
+        return float(ev.evaluate(classifier.copy().fit(self.prepared.frame).transform(self.held)))
 
+    def drop(self) -> None:
+        self.prepared.drop()
+        drop_path(self.held.sparkSession, self.path)
 
-def cv_auc(est, folds: list[tuple[DataFrame, DataFrame]], parallelism: int = 5):
-    """Cross-validated AUC (mean, population std) over ``cv_folds``.  Folds
-    are fitted concurrently from driver threads -- each fold is an independent
-    set of Spark jobs -- since CrossValidator only parallelises across
-    parameter maps, not folds."""
-    from multiprocessing.pool import ThreadPool
 
-    import numpy as np
-    ev = BinaryClassificationEvaluator(labelCol=TARGET, rawPredictionCol="rawPrediction", metricName="areaUnderROC",
-                                       numBins=0)
+def cv_folds(train: DataFrame, folds: int = 5, fold_col: str = "fold", ratio: float | None = 0.8) -> list[Fold]:
+    """Every fold of ``train`` (raw attributes, label, fold number), prepared at the same time."""
+    one = lambda i: Fold(preparation(ratio), train.filter(F.col(fold_col) != i), train.filter(F.col(fold_col) == i))
+    with ThreadPool(min(POOL, folds)) as pool:
+        return pool.map(one, range(folds), chunksize=1)
 
-    def one(fold) -> float:
-        return float(ev.evaluate(est.copy().fit(fold[0]).transform(fold[1])))
 
-    with ThreadPool(max(1, min(parallelism, len(folds)))) as pool:
-        aucs = pool.map(one, folds)
-    return float(np.mean(aucs)), float(np.std(aucs))
+def release(folds: list[Fold]) -> None:
+    for f in folds:
+        f.drop()
+
+
+def cross_validated(ests: dict, folds: list[Fold], finished=None) -> dict[str, list[float]]:
+    """AUC of every model on every fold, all fits from one pool; ``finished(name, aucs)`` is called model by model."""
+    with ThreadPool(POOL) as pool:
+        running = {n: [pool.apply_async(f.auc, (e,)) for f in folds] for n, e in ests.items()}
+        out = {}
+        for name, jobs in running.items():
+            out[name] = [j.get() for j in jobs]
+            if finished:
+                finished(name, out[name])
+    return out
 
 
 def soft_vote(preds: list[DataFrame]) -> DataFrame:
@@ -144,46 +125,91 @@ def soft_vote(preds: list[DataFrame]) -> DataFrame:
 
 
 def leaderboard(lb: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
     w = Window.orderBy(F.desc("roc_auc"), F.asc("name"))  # one row per model
     return lb.withColumn("rank", F.row_number().over(w))
 
 
+def _place(name: Column, names: tuple[str, ...]) -> Column:
+    """0-based place among ``names``, their number if absent."""
+    at = F.array_position(F.array(*[F.lit(n) for n in names]), name)
+    return F.when(at > 0, at - 1).otherwise(len(names)).cast("int")
+
+
 def select_best(lb: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """The first of ``PREFERRED`` whose test AUC is within ``tolerance`` of the
-    best one, the ensemble's included; otherwise the model with the best AUC, where
-    the ensemble stands for the boosting model.  One row per model comes in."""
-    from pyspark.sql import Window
-    best = lb.agg(F.max("roc_auc")).scalar()
-    pref = F.lit(len(PREFERRED))
-    for i, name in reversed(list(enumerate(PREFERRED))):
-        pref = F.when((F.col("name") == name) & (F.col("roc_auc") >= best - tolerance), i).otherwise(pref)
-    w = Window.orderBy(pref, F.desc("roc_auc"), F.asc("name"))
-    first = lb.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1)
-    name = F.when(F.col("name") == "soft_vote", "gbt").otherwise(F.col("name"))
+    """The model with the best test AUC (ties by name) if it is one of ``PREFERRED``; otherwise the first of
+    ``PREFERRED`` within ``tolerance`` of it, or else itself, where the ensemble stands for boosting.  One row per
+    model comes in."""
+    order = Window.orderBy(F.desc("roc_auc"), F.asc("name"))
+    ranked = lb.withColumns({"__best": F.first("name").over(order), "__top": F.max("roc_auc").over(Window.partitionBy())})
+    kept = _place(F.col("__best"), PREFERRED) < len(PREFERRED)
+    near = ~kept & (F.col("roc_auc") >= F.col("__top") - tolerance)
+    choice = Window.orderBy(F.when(near, _place(F.col("name"), PREFERRED)).otherwise(len(PREFERRED)),
+                            F.desc("roc_auc"), F.asc("name"))
+    first = ranked.withColumn("__r", F.row_number().over(choice)).filter(F.col("__r") == 1)
+    name = F.when(F.col("name") == VOTE, VOTE_STANDS_FOR).otherwise(F.col("name"))
     return first.select(name.alias("name"), F.col("roc_auc").alias("score"), "roc_auc", "cv_auc_mean")
 
 
-def tune_logistic(train: DataFrame, draws: int = 20, folds: int = 5, seed: int = 42, parallelism: int = 8):
-    """Randomized search: a seeded sample of ``draws`` points from a grid,
-    each scored by k-fold AUC (folds from the stratified fold column)."""
-    tr, _, levels, _ = prepare(train, train)
-    lr = LogisticRegression(maxIter=200, featuresCol="features", labelCol=TARGET, weightCol="weight")
-    grid = (ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.001, 0.01, 0.03, 0.1, 0.3, 1.0])
-            .addGrid(lr.elasticNetParam, [0.0, 0.25, 0.5, 0.75, 1.0]).addGrid(lr.fitIntercept, [True, False]).build())
-    rnd = random.Random(seed)
-    picked = rnd.sample(grid, min(draws, len(grid)))
-    ev = BinaryClassificationEvaluator(labelCol=TARGET, metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=picked, evaluator=ev, numFolds=folds, seed=seed,
-                        parallelism=parallelism)
-    if "fold" in tr.columns:
-        cv = cv.setFoldCol("fold")
-    model = cv.fit(tr)
-    tr.unpersist()
-    rows = []
-    for pm, m in zip(picked, model.avgMetrics):
-        rows.append((float(pm[lr.regParam]), float(pm[lr.elasticNetParam]), bool(pm[lr.fitIntercept]), float(m)))
-    return rows, model.bestModel
+# ---- tuning -------------------------------------------------------------------------------------------------------
+def grid(family: str) -> dict[str, list]:
+    """Values tried for the parameters of a family (names of the Spark estimator's)."""
+    boosting = {"maxIter": [ROUNDS, 3 * ROUNDS // 2, 2 * ROUNDS], "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.125, 0.25],
+                "subsamplingRate": [0.7, 0.8, 1.0], "featureSubsetStrategy": ["0.7", "0.8", "all"],
+                "minInstancesPerNode": [1, 3, 5], "minInfoGain": [0.0, 0.001, 0.003]}
+    return {
+        "gbt": boosting,
+        "gbt_balanced": {**boosting, "minInstancesPerNode": [10, 20, 30]},
+        "random_forest": {"numTrees": [200, 300], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 4],
+                          "minInfoGain": [0.0, 0.001]},
+        "decision_tree": {"maxDepth": [4, 6, 8, 10], "minInstancesPerNode": [1, 2, 4, 8], "impurity": ["gini", "entropy"]},
+        "logistic_regression": {"regParam": [0.0, 0.001, 0.01, 0.03, 0.1, 0.3, 1.0],
+                                "elasticNetParam": [0.0, 0.25, 0.5, 0.75, 1.0], "standardization": [True, False]},
+    }[family]
+
+
+def draws(family: str, n: int = 20, seed: int = 42) -> list[dict]:
+    """``n`` different seeded points of the family's grid (all, if it has fewer)."""
+    values = grid(family)
+    size = int(np.prod([len(v) for v in values.values()]))
+    out = []
+    for at in random.Random(seed).sample(range(size), min(n, size)):
+        point = {}
+        for name, v in values.items():
+            at, i = divmod(at, len(v))
+            point[name] = v[i]
+        out.append(point)
+    return out
+
+
+def race(candidates: list, folds: list, score, finalists: int = 2) -> list[list[float]]:
+    """Scores of every candidate, fold by fold: after each fold the better half by mean score goes on, at least
+    ``finalists``.  ``score(candidate, fold)`` runs from a pool."""
+    seen: list[list[float]] = [[] for _ in candidates]
+    alive = list(range(len(candidates)))
+    with ThreadPool(POOL) as pool:
+        for fold in folds:
+            got = pool.map(lambda i: score(candidates[i], fold), alive, chunksize=1)
+            for i, x in zip(alive, got):
+                seen[i].append(x)
+            alive = sorted(alive, key=lambda i: (-np.mean(seen[i]), i))[:max(finalists, -(-len(alive) // 2))]
+    return seen
+
+
+def tune(family: str, folds: list[Fold], n: int = 20, seed: int = 42) -> tuple[list[tuple], dict]:
+    """Rows (draw, family, params, folds, cv_auc, winner) of a raced search, and the winning parameters."""
+    tried = draws(family, n, seed)
+    seen = race(tried, folds, lambda point, fold: fold.auc(configured(family, point)))
+    full = [i for i, x in enumerate(seen) if len(x) == len(folds)]
+    best = max(full, key=lambda i: (np.mean(seen[i]), -i))
+    rows = [(i, family, json.dumps(point, sort_keys=True), len(x), float(np.mean(x)), i == best)
+            for i, (point, x) in enumerate(zip(tried, seen))]
+    return rows, tried[best]
+
+
+def configured(family: str, point: dict):
+    """The family's classifier with the parameters of ``point``."""
+    est = estimators()[family].copy()
+    return est.setParams(**point) if point else est
 
 
 def importances(model, names: list[str]) -> list[tuple[str, float]]:
@@ -194,25 +220,16 @@ def importances(model, names: list[str]) -> list[tuple[str, float]]:
     return [(n, float(v)) for n, v in zip(names, vals)]
 
 
-def save_model(model: PipelineModel, path: str, meta: dict) -> None:
-    model.write().overwrite().save(path)
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(path + "_meta")
+def classifier_of(model: PipelineModel):
+    """The classifier at the end of a fitted flow."""
+    return model.stages[-1]
 
 
-def scorer(model: PipelineModel, levels: dict[str, list[str]]):
-    """A fitted pipeline as ``DataFrame -> DataFrame`` adding ``p``, for every
-    operator that takes a scorer."""
-    def run(df: DataFrame) -> DataFrame:
-        return model.transform(encode(df, levels)).select(*df.columns, p1().alias("p"))
-    return run
+def features_of(model: PipelineModel):
+    """The fitted feature stage of a flow."""
+    return next(s for s in model.stages if hasattr(s, "names"))
 
 
-def load_model(path: str):
-    spark = SparkSession.getActiveSession()
-    try:
-        model = PipelineModel.load(path)
-    except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"no saved model at {path}") from e
-    meta = json.loads(spark.read.text(path + "_meta").first()[0])
-    return model, meta
+def prepare(train: DataFrame, ratio: float | None = 0.8) -> Prepared:
+    """Fitting rows of the whole training side."""
+    return Flow(preparation(ratio), None).prepare(train)

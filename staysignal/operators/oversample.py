@@ -21,10 +21,11 @@ from .resample import stratified_rank
 
 
 def smote(df: DataFrame, key: str, vec: str, label: str, ratio: float = 0.8, k: int = 5, seed: int = 42,
-          block_size: int = 64) -> DataFrame:
+          block_size: int = 64, neighbours=None) -> DataFrame:
     """Returns ``df`` plus synthetic minority rows: ``synthetic`` = true, a
     NULL ``key``, and the pair (``parent_key``, ``child``) naming each one.
-    Ids may be of any type; other columns of ``df`` are NULL in new rows."""
+    Ids may be of any type; other columns of ``df`` are NULL in new rows.
+    ``neighbours(rows, key, vec, k, seed)`` replaces the exact search."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) != 2:
         raise ValueError("SMOTE needs exactly two classes")
@@ -41,7 +42,7 @@ def smote(df: DataFrame, key: str, vec: str, label: str, ratio: float = 0.8, k:
     parents = ranked.withColumn("n_children", F.lit(q) + F.when(F.col("rank") < rem, 1).otherwise(0)) \
                     .filter(F.col("n_children") > 0)
     kids = parents.select(key, vec, F.explode(F.sequence(F.lit(0), F.col("n_children") - 1)).alias("child"))
-    nn = knn(mino, key, vec, k=k, block_size=block_size, seed=seed)
+    nn = neighbours(mino, key, vec, k, seed) if neighbours else knn(mino, key, vec, k=k, block_size=block_size, seed=seed)
     avail = nn.groupBy(key).agg(F.max("nbr_rank").alias("k_avail"))
     kids = kids.join(avail, key, "left")
     pick = (F.pmod(F.xxhash64(F.col(key), F.col("child"), F.lit(seed)), F.col("k_avail")) + 1).cast("int")

@@ -95,7 +95,7 @@ def class_weights(df: DataFrame, label: str = "Churn") -> DataFrame:
 def with_class_weight(df: DataFrame, label: str = "Churn", out: str = "weight") -> DataFrame:
     """Attach the balanced weight per row (weightCol for Spark ML)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label)  # one row per class
+    return df.join(w, label)  # one row per class: Spark broadcasts it by its measured size
 
 
 def mask_labels(df: DataFrame, key: str, label: str = "Churn", hidden: float = 0.8, seed: int = 42) -> DataFrame:

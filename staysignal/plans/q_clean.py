@@ -71,8 +71,8 @@ def q_clean_label_text(spark, sf):
 
 
 oracle("clean_label_text", with_ctes(
-    "SELECT customerID, CASE WHEN TRIM(Churn) IN ('Yes','True','1') THEN 'Yes' "
-    "WHEN TRIM(Churn) IN ('No','False','0') THEN 'No' END AS Churn FROM raw"))
+    "SELECT customerID, CASE WHEN TRIM(Churn) IN ('Yes','True') THEN 'Yes' "
+    "WHEN TRIM(Churn) IN ('No','False') THEN 'No' END AS Churn FROM raw"))
 
 
 @query("clean_senior")

@@ -8,71 +8,129 @@ oracle; the driver checks their rows, and tests/ checks their properties
 from __future__ import annotations
 
 import threading
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import functions as F
 
 from ..constants import ID_COL, TARGET
 from ..functions import scorecard
+from ..functions.bands import risk_level
 from ..operators import cluster as CL
 from ..operators import evaluate as EV
+from ..operators import flow as FL
 from ..operators import models as M
 from ..operators import resample as R
 from ..operators import scoring as S
-from ..operators.clean import category_levels
+from ..operators.clean import learnable
+from ..operators.neighbors_lsh import knn_lsh
+from ..operators.oversample import smote
+from ..operators.tree_shap import tree_shap
 from ..session import shared_path
 from ..sources import sinks as SK
 from . import q_sample
 from .catalog import query
-from .context import cust
+from .context import cust, raw
 from .oracle import oracle
 from .sqlbase import prob_sql, with_ctes
 
 
-def train_test(spark, sf):
-    """80/20 stratified split; the train side carries a stratified 5-fold id."""
-    s = R.split(cust(spark, sf), ID_COL, 0.2, [TARGET]).persist()
-    train = R.kfold(s.filter(F.col("split") == "train").drop("split"), ID_COL, 5, [TARGET]).persist()
-    test = s.filter(F.col("split") == "test").drop("split")
-    return train, test
+_MEMO: dict[tuple, str] = {}
+_OBJECTS: dict[tuple, object] = {}  # fitted models and prepared folds of this application
+_MEMO_LOCK = threading.RLock()  # re-entrant: a memoised build may use other memoised results
 
 
-@query("ml_preprocess")
-def q_ml_preprocess(spark, sf):
-    train, test = train_test(spark, sf)
-    _, te, levels, _ = M.prepare(train, test)
-    arr = M.vector_to_array(F.col("features"))
-    return te.select(ID_COL, F.size(arr).alias("n_features"), arr.alias("features"))
+def _key(spark, sf, name):
+    return (spark.sparkContext.applicationId, sf.rstrip("/"), name)
 
 
-_MEMO: dict[tuple, str] = {}
-_MEMO_LOCK = threading.RLock()  # re-entrant: a memoised build may use other memoised results
+def _store(spark, sf, name, df):
+    path = shared_path(spark, f"memo-{name}")
+    df.write.mode("overwrite").parquet(path)
+    _MEMO[_key(spark, sf, name)] = path
 
 
 def _memo_table(spark, sf, name, build):
     """Build a result once per application and input folder, write it to the
     shared checkpoint folder, and hand every later plan the written table
     (fits are expensive; their outputs are small)."""
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
     with _MEMO_LOCK:
-        path = _MEMO.get(key)
-        if path is None:
-            path = shared_path(spark, f"memo-{name}")
-            build().write.mode("overwrite").parquet(path)
-            _MEMO[key] = path
-    return spark.read.parquet(path)
+        if _key(spark, sf, name) not in _MEMO:
+            _store(spark, sf, name, build())
+        return spark.read.parquet(_MEMO[_key(spark, sf, name)])
 
 
-def _prepared(spark, sf):
-    train, test = train_test(spark, sf)
-    return M.prepare(train, test)
+def _memo_object(spark, sf, name, build):
+    with _MEMO_LOCK:
+        key = _key(spark, sf, name)
+        if key not in _OBJECTS:
+            _OBJECTS[key] = build()
+        return _OBJECTS[key]
 
 
-def predictions(spark, sf, name):
+def train_test(spark, sf):
+    """80/20 stratified split of the customers batch cleaning keeps, with their raw attributes and the label as 1/0;
+    the train side carries a stratified 5-fold id.  Written once."""
+    def build():
+        s = R.split(learnable(raw(spark, sf)), ID_COL, 0.2, [TARGET])
+        return R.kfold(s, ID_COL, 5, ["split", TARGET])
+    rows = _memo_table(spark, sf, "split", build)
+    return (rows.filter(F.col("split") == "train").drop("split"), rows.filter(F.col("split") == "test").drop("split", "fold"))
+
+
+def prepared(spark, sf):
+    """The training side's fitting rows: scaled, oversampled, weighed; prepared once."""
+    return _memo_object(spark, sf, "prepared", lambda: M.prepare(train_test(spark, sf)[0]))
+
+
+def folds(spark, sf):
+    return _memo_object(spark, sf, "folds", lambda: M.cv_folds(train_test(spark, sf)[0]))
+
+
+def feature_model(spark, sf):
+    """Cleaning and features learned on the training side, without resampling."""
+    return _memo_object(spark, sf, "features", lambda: PipelineModel(FL.Flow(
+        [FL.CleanInput(), FL.DropIncomplete(), FL.Features()], None).prepare(train_test(spark, sf)[0]).stages))
+
+
+@query("ml_preprocess")
+def q_ml_preprocess(spark, sf):
+    arr = M.vector_to_array(F.col("features"))
+    te = feature_model(spark, sf).transform(train_test(spark, sf)[1])
+    return te.select(ID_COL, F.size(arr).alias("n_features"), arr.alias("features"))
+
+
+def fitted(spark, sf, name):
+    """A model fitted on the training side, once per application; its test predictions are written with it."""
     def build():
-        tr, te, _, _ = _prepared(spark, sf)
-        return M.fit_predict(name, M.estimators()[name], tr, te)[1]
-    return _memo_table(spark, sf, f"pred-{name}", build)
+        model = prepared(spark, sf).fit(M.estimators()[name])
+        _store(spark, sf, f"pred-{name}", M.predicted(model, train_test(spark, sf)[1]))
+        return model
+    return _memo_object(spark, sf, f"model-{name}", build)
+
+
+def predictions(spark, sf, name):
+    fitted(spark, sf, name)
+    return _memo_table(spark, sf, f"pred-{name}", None)
+
+
+def all_predictions(spark, sf):
+    """Every model's test predictions; missing models are fitted at the same time."""
+    return _all_predictions(spark, sf, prepared(spark, sf), train_test(spark, sf)[1])
+
+
+def _all_predictions(spark, sf, ready, test):
+    todo = {n: e for n, e in M.estimators().items() if _key(spark, sf, f"model-{n}") not in _OBJECTS}
+
+    def one(name):
+        model = ready.fit(todo[name])
+        _store(spark, sf, f"pred-{name}", M.predicted(model, test))
+        _OBJECTS[_key(spark, sf, f"model-{name}")] = model
+    with ThreadPool(M.POOL) as pool:
+        pool.map(one, todo, chunksize=1)
+    return {n: spark.read.parquet(_MEMO[_key(spark, sf, f"pred-{n}")]) for n in M.estimators()}
 
 
 def _single(name):
@@ -81,28 +139,41 @@ def _single(name):
     return run
 
 
-for _key, _name in [("ml_logreg", "logistic_regression"), ("ml_tree", "decision_tree"),
-                    ("ml_forest", "random_forest"), ("ml_gbt", "gbt")]:
-    query(_key)(_single(_name))
+for _name_, _model in [("ml_logreg", "logistic_regression"), ("ml_tree", "decision_tree"),
+                       ("ml_forest", "random_forest"), ("ml_gbt", "gbt"), ("ml_gbt_balanced", "gbt_balanced")]:
+    query(_name_)(_single(_model))
 
 
 @query("ml_vote")
 def q_ml_vote(spark, sf):
-    return M.soft_vote([predictions(spark, sf, n) for n in M.estimators()])
+    return M.soft_vote(list(all_predictions(spark, sf).values()))
+
+
+def _cross_validated(spark, sf, prepared_folds):
+    """{name: AUC of every fold}; a model's figures are written as soon as its folds are done.  Takes no lock."""
+    todo = {n: e for n, e in M.estimators().items() if _key(spark, sf, f"cv-{n}") not in _MEMO}
+
+    def finished(name, aucs):
+        _store(spark, sf, f"cv-{name}", spark.createDataFrame([(name, i, a) for i, a in enumerate(aucs)],
+                                                              "name string, fold int, auc double"))
+    if todo:
+        M.cross_validated(todo, prepared_folds, finished)
+    return {n: [r["auc"] for r in spark.read.parquet(_MEMO[_key(spark, sf, f"cv-{n}")]).orderBy("fold").collect()]
+            for n in M.estimators()}
 
 
 def compared(spark, sf):
-    """Leaderboard: test metrics of every model and the soft vote, plus
-    5-fold cross-validated AUC on the training side."""
+    """Leaderboard: test metrics of every model and the soft vote, plus 5-fold cross-validated AUC on the training
+    side; rows are oversampled on the fitting side of each fold and of the final fit alone."""
     def build():
-        folds = M.cv_folds(train_test(spark, sf)[0])
-        rows = []
-        preds = {}
-        for name, est in M.estimators().items():
-            preds[name] = predictions(spark, sf, name)
-            rows.append(M.metrics_row(name, preds[name], M.cv_auc(est, folds)))
-        M.release(folds)
-        rows.append(M.metrics_row("soft_vote", M.soft_vote(list(preds.values()))))
+        with ThreadPool(1) as pool:  # the other thread must not wait for this one's lock
+            cv = pool.apply_async(_cross_validated, (spark, sf, folds(spark, sf)))
+            preds = all_predictions(spark, sf)
+            aucs = cv.get()
+        preds[M.VOTE] = M.soft_vote(list(preds.values()))
+        with ThreadPool(M.POOL) as pool:
+            rows = pool.map(lambda n: M.metrics_row(n, preds[n], (float(np.mean(aucs[n])), float(np.std(aucs[n])))
+                                                    if n in aucs else (None, None)), preds, chunksize=1)
         cols = ["name", "accuracy", "precision", "recall", "f1", "roc_auc", "cv_auc_mean", "cv_auc_std"]
         return spark.createDataFrame([tuple(r[k] for k in cols) for r in rows], M.LEADERBOARD_SCHEMA)
     return _memo_table(spark, sf, "leaderboard", build)
@@ -123,21 +194,43 @@ def q_ml_select(spark, sf):
     return M.select_best(compared(spark, sf))
 
 
+TUNED = ("draw int, family string, params string, folds int, cv_auc double, winner boolean, test_auc double, "
+         "test_f1 double")
+
+
+def tuned(spark, sf):
+    """Draws of the selected family's raced search; the winner is refitted on the training side, measured on the test
+    side and saved as one flow."""
+    def build():
+        family = M.select_best(compared(spark, sf)).first()["name"]
+        rows, point = M.tune(family, folds(spark, sf))
+        model = prepared(spark, sf).fit(M.configured(family, point))
+        got = M.metrics_row(family, M.predicted(model, train_test(spark, sf)[1]))
+        _OBJECTS[_key(spark, sf, "model-tuned")] = model
+        _MEMO[_key(spark, sf, "flow-tuned")] = FL.save(model, shared_path(spark, "flow"))
+        return spark.createDataFrame([(*r, *((got["roc_auc"], got["f1"]) if r[-1] else (None, None))) for r in rows], TUNED)
+    return _memo_table(spark, sf, "tuned", build)
+
+
 @query("ml_tune")
 def q_ml_tune(spark, sf):
-    train, _ = train_test(spark, sf)
-    rows, _ = M.tune_logistic(train)
-    return spark.createDataFrame(rows, "reg_param double, elastic_net double, fit_intercept boolean, cv_auc double")
+    return tuned(spark, sf)
+
+
+@query("train_flow")
+def q_train_flow(spark, sf):
+    """Compare, select, tune, save, reload: the reloaded flow scores all raw customers, labelled or not."""
+    family = tuned(spark, sf).filter("winner").first()["family"]
+    flow = FL.load(_MEMO[_key(spark, sf, "flow-tuned")])
+    p = FL.scorer(flow)(raw(spark, sf)).select(ID_COL, F.lit(family).alias("model"), "p")
+    return p.withColumn("Risk_Level", risk_level(F.col("p")))
 
 
 def forest_importances(spark, sf):
     """(feature, importance) of the forest, fitted once per application."""
     def build():
-        train, test = train_test(spark, sf)
-        tr, te, levels, _ = M.prepare(train, test)
-        model = M.estimators()["random_forest"].fit(tr)
-        tr.unpersist(), te.unpersist()
-        return spark.createDataFrame(M.importances(model, M.feature_names(levels)),
+        model = fitted(spark, sf, "random_forest")
+        return spark.createDataFrame(M.importances(M.classifier_of(model), M.features_of(model).names()),
                                      "feature string, importance double")
     return _memo_table(spark, sf, "importances", build)
 
@@ -155,38 +248,22 @@ def q_top_features(spark, sf):
 @query("ml_feature_select")
 def q_ml_feature_select(spark, sf):
     weight = {r["feature"]: r["importance"] for r in forest_importances(spark, sf).collect()}  # one row per feature
-    train, test = train_test(spark, sf)
-    tr, te, levels, _ = M.prepare(train, test)
-    keep = [i for i, name in enumerate(M.feature_names(levels)) if weight[name] >= 0.01]
+    ready = prepared(spark, sf)
+    names = ready.stages[-1].names()
+    keep = [i for i, name in enumerate(names) if weight[name] >= 0.01]
     sl = VectorSlicer(inputCol="features", outputCol="selected", indices=keep)
     est = M.estimators()["random_forest"].setFeaturesCol("selected")
-    m2 = est.fit(sl.transform(tr))
-    pred = m2.transform(sl.transform(te)).select(ID_COL, F.col(TARGET).alias("y"), M.p1().alias("p"))
-    row = M.metrics_row("random_forest_selected", pred)
+    model = PipelineModel([*ready.stages, sl, est.fit(sl.transform(ready.frame))])
+    row = M.metrics_row("random_forest_selected", M.predicted(model, train_test(spark, sf)[1]))
     return spark.createDataFrame([(row["name"], len(keep), row["roc_auc"], row["f1"])],
                                  "name string, n_features int, roc_auc double, f1 double")
 
 
-def saved_model(spark, sf) -> str:
-    """Path of the fitted pipeline, fitted and saved once per application."""
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"), "saved-model")
-    with _MEMO_LOCK:
-        if key not in _MEMO:
-            from pyspark.ml import Pipeline
-            train, _ = train_test(spark, sf)
-            levels = category_levels(train)
-            tr = R.with_class_weight(M.encode(train, levels), TARGET)
-            pipe = Pipeline(stages=M.preprocessor(levels).getStages() + [M.estimators()["logistic_regression"]])
-            path = shared_path(spark, "model")
-            M.save_model(pipe.fit(tr), path, {"name": "logistic_regression", "levels": levels})
-            _MEMO[key] = path
-        return _MEMO[key]
-
-
 def fitted_scorer(spark, sf):
-    """The saved pipeline, read back, as a scorer."""
-    model, meta = M.load_model(saved_model(spark, sf))
-    return M.scorer(model, meta["levels"])
+    """The logistic flow, saved once per application and read back, as a scorer."""
+    def build():
+        return FL.load(FL.save(fitted(spark, sf, "logistic_regression"), shared_path(spark, "flow")))
+    return FL.scorer(_memo_object(spark, sf, "reloaded", build))
 
 
 @query("model_save_load")
@@ -294,10 +371,12 @@ def q_ml_select_fixed(spark, sf):
     return M.select_best(_fixed_leaderboard(spark, sf))
 
 
+_BEST_CTE = "best AS (SELECT name AS first_name, roc_auc AS top FROM lb ORDER BY roc_auc DESC, name LIMIT 1)"
 oracle("ml_select_fixed", with_ctes(
     "SELECT CASE WHEN name = 'soft_vote' THEN 'gbt' ELSE name END AS name, roc_auc AS score, roc_auc, cv_auc_mean "
-    "FROM lb ORDER BY CASE WHEN roc_auc >= (SELECT MAX(roc_auc) FROM lb) - 0.005e0 THEN CASE name WHEN 'gbt' THEN 0 "
-    "WHEN 'random_forest' THEN 1 ELSE 2 END ELSE 2 END, roc_auc DESC, name LIMIT 1", _FX_CTE, _LB_CTE))
+    "FROM lb, best ORDER BY CASE WHEN first_name IN ('gbt', 'gbt_balanced', 'random_forest') OR roc_auc < top - 0.005e0 "
+    "THEN 3 ELSE CASE name WHEN 'gbt' THEN 0 WHEN 'gbt_balanced' THEN 1 WHEN 'random_forest' THEN 2 ELSE 3 END END, "
+    "roc_auc DESC, name LIMIT 1", _FX_CTE, _LB_CTE, _BEST_CTE))
 
 
 # --- clustering -------------------------------------------------------------------
@@ -334,11 +413,11 @@ def q_pca_2d(spark, sf):
 
 @query("smote")
 def q_smote(spark, sf):
-    from ..operators.oversample import smote
-    train, test = train_test(spark, sf)
-    tr, _, _, _ = M.prepare(train, test, weights=False)
-    arr = tr.select(ID_COL, TARGET, M.vector_to_array(F.col("features")).alias("x"))
-    return smote(arr, ID_COL, "x", TARGET, ratio=0.8, k=5)
+    """The training side oversampled between near neighbours found by hashing (recall measured, 0.9 at least)."""
+    arr = feature_model(spark, sf).transform(train_test(spark, sf)[0]).select(
+        ID_COL, TARGET, M.vector_to_array(F.col("features")).alias("x"))
+    near = lambda rows, key, vec, k, seed: knn_lsh(rows, key, vec, k=k, seed=seed)[0]
+    return smote(arr, ID_COL, "x", TARGET, ratio=0.8, k=5, neighbours=near)
 
 
 @query("smote_counts")
@@ -366,13 +445,22 @@ def q_label_propagation(spark, sf):
     return out.join(arr.select(ID_COL, TARGET), ID_COL)
 
 
+def forest_attributions(spark, sf):
+    """(customerID, feature, x, contribution, p, base) of the fitted forest for all raw customers; written once."""
+    def build():
+        flow = fitted(spark, sf, "random_forest")
+        found, base = tree_shap(flow, raw(spark, sf), ID_COL, M.features_of(flow).names())
+        return found.withColumn("base", F.lit(base))
+    return _memo_table(spark, sf, "forest-attributions", build)
+
+
 @query("shap_tree")
 def q_shap_tree(spark, sf):
-    from ..operators.explain import permutation_shapley
-    train, test = train_test(spark, sf)
-    tr, te, levels, _ = M.prepare(train, test)
-    model = M.estimators()["random_forest"].fit(tr)
-    names = M.feature_names(levels)
-    mean = tr.select(M.vector_to_array(F.col("features")).alias("x")) \
-             .select(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(names))]).first()
-    return permutation_shapley(model, te, ID_COL, [float(v) for v in mean], names, permutations=8)
+    """Exact attributions of the fitted forest for every customer, from its trees' paths."""
+    return forest_attributions(spark, sf).select(ID_COL, "feature", F.round("contribution", 9).alias("contribution"))
+
+
+@query("shap_dependence_fitted")
+def q_shap_dependence_fitted(spark, sf):
+    """The forest's attributions against its features' values (z-scores and indicators)."""
+    return EV.attribution_bins(forest_attributions(spark, sf))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import ACTIONS, CALIBRATION_BINS, ID_COL, WATERFALL_TOP, WHAT_IF_SCENARIO
+from ..constants import ACTIONS, CALIBRATION_BINS, ID_COL, SHAP_BINS, WATERFALL_TOP, WHAT_IF_SCENARIO
 from ..functions import scorecard
 from ..functions.numeric import round_half_up_sql as rhu
 from ..functions.value import expected_months
@@ -654,5 +654,28 @@ def _shap_dep_sql():
 
 oracle("shap_dependence", _shap_dep_sql())
 
+
+@query("shap_dependence_points")
+def q_shap_dependence_points(spark, sf):
+    """Attribution against value, every scorecard term."""
+    return EV.attribution_bins(EV.linear_points(cust(spark, sf)))
+
+
+def _shap_points_sql():
+    from ..functions.scorecard import TERMS
+    from .sqlbase import term_sql
+    rows = " UNION ALL ".join(
+        f"SELECT '{t}' AS feature, CAST({term_sql(t)} AS DOUBLE) AS x, CAST({w!r} AS DOUBLE) * ({term_sql(t)} - "
+        f"(SELECT AVG({term_sql(t)}) FROM cust)) AS contribution FROM cust" for t, w in TERMS)
+    return with_ctes(
+        "SELECT feature, bin, COUNT(*) AS n, ROUND(AVG(x), 6) AS value, ROUND(AVG(contribution), 6) AS contribution, "
+        "ROUND(STDDEV_POP(contribution), 6) AS spread FROM (SELECT *, CAST(CASE WHEN hi > lo THEN "
+        f"LEAST(FLOOR((x - lo) / (hi - lo) * {SHAP_BINS}.0e0), {SHAP_BINS - 1}) ELSE 0 END AS INTEGER) AS bin FROM "
+        "(SELECT *, MIN(x) OVER (PARTITION BY feature) AS lo, MAX(x) OVER (PARTITION BY feature) AS hi FROM pt) r) b "
+        "GROUP BY feature, bin", f"pt AS ({rows})")
+
+
+oracle("shap_dependence_points", _shap_points_sql())
+
 # keep margin_sql importable for users composing their own oracles
 __all__ = ["margin_sql"]

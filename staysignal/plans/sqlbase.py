@@ -44,12 +44,12 @@ FROM v)"""
 
 
 def flag_sql(col: str) -> str:
-    return (f"CASE WHEN TRIM(CAST({col} AS VARCHAR)) IN ('Yes','True','1') THEN 1 ELSE 0 END")
+    return (f"CASE WHEN TRIM(CAST({col} AS VARCHAR)) IN ('Yes','True') THEN 1 ELSE 0 END")
 
 
 def label_sql(col: str) -> str:
-    return (f"CASE WHEN TRIM(CAST({col} AS VARCHAR)) IN ('Yes','True','1') THEN 1 "
-            f"WHEN TRIM(CAST({col} AS VARCHAR)) IN ('No','False','0') THEN 0 END")
+    return (f"CASE WHEN TRIM(CAST({col} AS VARCHAR)) IN ('Yes','True') THEN 1 "
+            f"WHEN TRIM(CAST({col} AS VARCHAR)) IN ('No','False') THEN 0 END")
 
 
 CLEAN_SELECT = f"""SELECT customerID, gender,
