@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import (BINARY_COLS, CATEGORICAL_FEATURES, ID_COL, INTERNET_SERVICE_COLS,
                          NO_INTERNET, TARGET)
 from ..functions import cleaning as C
-from .common import broadcast_if_small, quantiles, running_sums, scalar_stats
+from .common import broadcast_if_small, in_ranges, quantiles, running_sums, scalar_stats, sketched_quantiles
 
 CLEAN_ORDER = ["gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "PhoneService",
                "MultipleLines", "InternetService", "OnlineSecurity", "OnlineBackup",
@@ -81,36 +85,61 @@ def dedup(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     return df.dropDuplicates(subset) if subset else df.dropDuplicates()
 
 
-def ffill(df: DataFrame, cols: list[str], order_by: str, partition_by: list[str] | None = None,
-          block_rows: int = 1 << 20) -> DataFrame:
-    """Forward fill NULLs in ``order_by`` order (optionally per partition key).
+def ffill(df: DataFrame, cols: list[str], order_by: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Forward fill NULLs in ``order_by`` order (optionally per partition key): the last non-null value before a row.
 
-    The fill distributes even when one key (or the whole table, without a
-    key) holds most rows: rows are cut into contiguous blocks of the
-    (numeric, unique within a key) order column, each (key, block) is filled
-    by a window over that block alone, and the value carried into a block is
-    the last non-null value of the key's earlier blocks, found on a small
-    per-block summary (one row per key and block).
+    Rows are range-partitioned by (keys, order column of any type) and filled inside their partition, so neither a
+    hot key nor a table without a key is one task.  What a partition's first key has seen before it follows from
+    one row per partition: the keys at its ends and the values it ends with.  Ties in ``order_by`` follow no order.
     """
     keys = list(partition_by or [])
-    key = F.col(order_by)
-    lo = df.agg(F.min(key)).scalar()
-    blk = F.floor((key - lo) / F.lit(block_rows)).cast("bigint")
-    keyed = df.withColumn("__blk", blk)
-    w = (Window.partitionBy(*keys, "__blk").orderBy(order_by)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = keyed.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-    # per (key, block): last non-null value of each column
-    summary = keyed.groupBy(*keys, "__blk").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"__last_{c}") for c in cols])
-    prev = (Window.partitionBy(*keys).orderBy("__blk") if keys else Window.orderBy("__blk")) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__blk").alias("__cb"),
-                           *[F.last(f"__last_{c}", ignorenulls=True).over(prev).alias(f"__in_{c}") for c in cols])
-    cond = [F.col("__blk") == F.col("__cb")] + [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    out = local.join(carry, cond, "left").drop("__cb", *[f"__k{i}" for i in range(len(keys))])
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__in_{c}")) for c in cols}) \
-              .drop("__blk", *[f"__in_{c}" for c in cols])
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema] + [T.StructField("__pid", T.IntegerType())]
+
+    def step(batches):
+        last = None  # the last row, filled
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*([last] if last else []), batch]).combine_chunks()
+            n = table.num_rows
+            new = np.zeros(n, bool)
+            new[0] = True
+            for k in keys:
+                c = table.column(k).combine_chunks()
+                c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+                same = pc.fill_null(pc.equal(c[1:], c[:-1]), False)
+                both = pc.and_(pc.is_null(c[1:]), pc.is_null(c[:-1]))
+                new[1:] |= ~pc.or_(same, both).to_numpy(zero_copy_only=False)
+            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            for name in cols:
+                c = table.column(name)
+                seen = np.maximum.accumulate(np.where(c.is_valid().to_numpy(), np.arange(n), -1))
+                at = pa.array(seen, mask=seen < start)
+                table = table.set_column(table.schema.get_field_index(name), name, c.take(at))
+            filled = table.slice(1 if last else 0).combine_chunks().to_batches()
+            last = table.slice(n - 1).combine_chunks().to_batches()[0]
+            yield from filled
+
+    order = [F.col(c) for c in (*keys, order_by)]
+    local = in_ranges(df, order, step, T.StructType(fields), "ffill")
+    key, end = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__one")), F.struct(*order)
+    ends = local.groupBy("__pid").agg(F.min(key).alias("first"), F.max(key).alias("last"),
+                                      F.max_by(F.struct(*cols), end).alias("values")).orderBy("__pid").collect()
+    carried, before = [], None  # one row per partition
+    for r in ends:
+        into = before[1] if before and before[0] == r["first"] else [None] * len(cols)
+        carried.append((r["__pid"], *into))
+        own = [v if v is not None else w for v, w in zip(r["values"], into)] if r["first"] == r["last"] else list(r["values"])
+        before = (r["last"], own)
+    kinds = [T.StructField("__p", T.IntegerType()), *[T.StructField(f"__in_{i}", df.schema[c].dataType) for i, c in enumerate(cols)]]
+    spark = df.sparkSession
+    carry = F.broadcast(spark.createDataFrame(carried, T.StructType(kinds)))
+    firsts = [T.StructField("__q", T.IntegerType()), T.StructField("__first", local.select(key.alias("k")).schema["k"].dataType)]
+    first = F.broadcast(spark.createDataFrame([(r["__pid"], r["first"]) for r in ends], T.StructType(firsts)))
+    out = local.join(carry, F.col("__pid") == F.col("__p"), "left").join(first, F.col("__pid") == F.col("__q"), "left")
+    at_start = key.eqNullSafe(F.col("__first"))
+    return out.withColumns({c: F.coalesce(F.col(c), F.when(at_start, F.col(f"__in_{i}"))) for i, c in enumerate(cols)}) \
+              .select(*df.columns)
 
 
 def clean(df: DataFrame, keep_id: bool = False, strict: bool = True) -> DataFrame:
@@ -152,12 +181,13 @@ def preprocess_score_input(df: DataFrame, flags=BINARY_COLS) -> DataFrame:
 # Imputation: statistics learnt on one frame (train), applied to another.
 # --------------------------------------------------------------------------
 
-def impute(train: DataFrame, target: DataFrame, cols: list[str], strategy: str) -> DataFrame:
+def impute(train: DataFrame, target: DataFrame, cols: list[str], strategy: str, exact: bool = True) -> DataFrame:
     """Fill NULLs of ``cols`` in ``target`` using ``train`` statistics (all
     columns' statistics in one scalar subquery).
 
     strategy: mean | median | mode | zero.  Median is the exact (interpolated)
-    percentile; mode breaks ties by the smallest value.
+    percentile (``exact=False``: from a quantile sketch, in one scan); mode
+    breaks ties by the smallest value.
     """
     if strategy == "zero":
         return target.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(target.schema[c].dataType))
@@ -165,7 +195,10 @@ def impute(train: DataFrame, target: DataFrame, cols: list[str], strategy: str)
     if strategy == "mean":
         st = scalar_stats(train, **{f"v{i}": F.avg(c) for i, c in enumerate(cols)})
         return target.withColumns({c: F.coalesce(F.col(c).cast("double"), st[f"v{i}"]) for i, c in enumerate(cols)})
-    if strategy == "median":
+    if strategy == "median" and not exact:
+        med = sketched_quantiles(train, cols, {"q": 0.5})
+        st = scalar_stats(med, **{c: F.max(F.when(F.col("column_name") == c, F.col("q"))) for c in cols})
+    elif strategy == "median":
         long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
                                                 for c in cols])).alias("s")).select("s.*")
         med = quantiles(long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n")), {"q": 0.5}, ("name",))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.types import StructType
+
+from ..session import written
 
 
 def scalar_stats(df: DataFrame, **aggs: Column) -> dict[str, Column]:
@@ -13,24 +19,40 @@ def scalar_stats(df: DataFrame, **aggs: Column) -> dict[str, Column]:
     return {k: sub.getField(k) for k in aggs}
 
 
+def in_ranges(df: DataFrame, order: list[Column], step, schema: str | StructType, name: str) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order`` and run through ``step(batches)``, partition by partition; a
+    written table with the partition's number in ``__pid``.
+
+    One exchange, on sampled bounds, so partitions hold similar row counts however the values cluster.  The table is
+    written because what follows (totals and rows) must see the very same partition of every row.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id())
+    return written(ordered.mapInArrow(step, schema), name)
+
+
 def running_sums(df: DataFrame, order: Column | list[Column], cols: list[str], prefix: str = "cum_") -> DataFrame:
-    """Inclusive running sums of the non-negative ``cols`` in ``order`` (one
-    or more Columns whose combined values must be distinct), without a
-    single-partition window.
-
-    Rows are range-partitioned on ``order`` (sampled bounds, so partitions
-    hold similar row counts however the values cluster); each partition
-    sums locally (materialised once in ``spark.checkpoint.dir``), and the
-    totals of the partitions before it -- a table with one row per
-    partition, broadcast -- are added as an offset.
+    """Inclusive running sums of the non-negative ``cols`` (numbers without nulls) in ``order`` (one or more Columns
+    whose combined values must be distinct), without a window.
+
+    Each range partition sums locally; the totals of the partitions before it, a table with one row per partition,
+    are added as an offset where the rows lie.
     """
-    from pyspark.sql import Window
     order = order if isinstance(order, list) else [order]
-    d = df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id())
-    w = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # written once (reliable checkpoint): the totals below and the final join
-    # must see the very same partition of every row, even if a stage reruns
-    local = d.select("*", *[F.sum(c).over(w).alias(f"__run_{c}") for c in cols]).checkpoint()
+    kinds = {c: T.DoubleType() if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else T.LongType() for c in cols}
+    fields = [*df.schema.fields, T.StructField("__pid", T.IntegerType()), *[T.StructField(f"__run_{c}", k) for c, k in kinds.items()]]
+
+    def step(batches):
+        total = {c: 0 for c in cols}
+        for batch in batches:
+            added = []
+            for c in cols:
+                v = batch.column(c).to_numpy(zero_copy_only=False)
+                run = np.cumsum(v, dtype=np.float64 if v.dtype.kind == "f" else np.int64) + total[c]
+                total[c] = run[-1] if len(run) else total[c]
+                added.append(pa.array(run))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *(f"__run_{c}" for c in cols)])
+
+    local = in_ranges(df, order, step, T.StructType(fields), "running")
     tot = local.groupBy("__pid").agg(*[F.max(f"__run_{c}").alias(f"__tot_{c}") for c in cols])
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = tot.select("__pid", *[F.coalesce(F.sum(f"__tot_{c}").over(before), F.lit(0)).alias(f"__off_{c}")
@@ -78,3 +100,22 @@ def quantiles(counts: DataFrame, qs: dict[str, float], groups: tuple[str, ...] =
         frac = F.max(pos - F.floor(pos))
         aggs.append((lo + (hi - lo) * frac).alias(name))
     return run.groupBy(*groups).agg(*aggs)
+
+
+# Quantile sketches: a rank read from one is off by at most about RANK_ERROR of the rows (tested).
+SKETCH_K, RANK_ERROR = 1600, 0.005
+
+
+def sketched_quantiles(df: DataFrame, cols: list[str], qs: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Approximate quantiles of numeric columns (column_name and a column per entry of ``qs``) from mergeable KLL
+    sketches: one scan, one partial aggregate, a few kilobytes a task for each column and group.  Nulls are left out;
+    a column without values has null quantiles."""
+    by = by or []
+    value = lambda c: F.col(c).cast("double")
+    sk = df.groupBy(*by).agg(*[F.kll_sketch_agg_double(F.when(~F.isnan(value(c)), value(c)), SKETCH_K).alias(f"__k{i}")
+                               for i, c in enumerate(cols)])
+    read = lambda i, q: F.when(F.kll_sketch_get_n_double(F.col(f"__k{i}")) > 0,
+                               F.kll_sketch_get_quantile_double(F.col(f"__k{i}"), F.lit(float(q))))
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), *[read(i, q).alias(n) for n, q in qs.items()])
+                     for i, c in enumerate(cols)])
+    return sk.select(*by, F.explode(each).alias("e")).select(*by, "e.*")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (CATEGORICAL_FEATURES, HIST_BINS, NUMERIC_FEATURES, SERVICE_COLS, TARGET)
 from ..functions.bands import cohort_tenure_band, eda_tenure_band
-from .common import broadcast_if_small, quantiles, scalar_stats
+from .common import broadcast_if_small, quantiles, sketched_quantiles, scalar_stats
 
 
 def rate_pct(col: str = TARGET) -> Column:
@@ -26,8 +26,10 @@ def rate_pct(col: str = TARGET) -> Column:
 
 def churn_overview(df: DataFrame, target: str = TARGET) -> DataFrame:
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # over <= 2 aggregated rows
-    return counts.select(target, "n", F.round(F.col("n") * F.lit(100.0) / total, 4).alias("share_pct"))
+    every = Window.partitionBy()  # over <= 2 aggregated rows
+    stay, churned = (F.coalesce(F.sum(F.when(F.col(target) == y, F.col("n"))).over(every), F.lit(0)) for y in (0, 1))
+    return counts.select(target, "n", F.round(F.col("n") * F.lit(100.0) / F.sum("n").over(every), 4).alias("share_pct"),
+                         F.round(stay / F.greatest(churned, F.lit(1)), 4).alias("imbalance_ratio"))
 
 
 def kpi_summary(df: DataFrame) -> DataFrame:
@@ -147,6 +149,19 @@ def clean_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return _shape(before, "before").unionByName(_shape(after, "after"))
 
 
+HLL_BITS = 14  # distinct counts are off by about 0.8 % (one standard error), few values are counted exactly
+
+
+def column_profile_sketched(df: DataFrame) -> DataFrame:
+    """As ``column_profile``, distinct counts from HLL sketches: one scan, one
+    partial aggregate of some 16 kB a column and task; nothing else is shuffled."""
+    dtypes = dict(df.dtypes)
+    each = [F.struct(F.lit(c).alias("column_name"), F.lit(dtypes[c]).alias("dtype"),
+                     F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), HLL_BITS)), F.lit(0))
+                     .cast("bigint").alias("n_distinct"), F.min(c).cast("string").alias("sample_value")) for c in df.columns]
+    return df.agg(F.array(*each).alias("a")).select(F.explode("a").alias("e")).select("e.*")
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """dtype, exact distinct count and a deterministic sample (the minimum)
     per column.  Distinct values are grouped as narrow (column, value) rows
@@ -186,15 +201,19 @@ def numeric_profile(df: DataFrame, cols=NUMERIC_FEATURES) -> DataFrame:
         F.round(F.min("value"), 2).alias("min"), F.round(F.max("value"), 2).alias("max"))
 
 
-def describe(df: DataFrame, cols=NUMERIC_FEATURES) -> DataFrame:
+def describe(df: DataFrame, cols=NUMERIC_FEATURES, exact: bool = True) -> DataFrame:
     """count/mean/std/min/quartiles/max per numeric column; the quartiles are
-    exact and read from the counted values (``common.quantiles``)."""
+    exact and read from the counted values (``common.quantiles``), or with
+    ``exact=False`` from quantile sketches."""
     long = long_format(df, list(cols), cast="double")
     stats = long.groupBy("column_name").agg(
         F.count("value").alias("count"), F.round(F.avg("value"), 6).alias("mean"),
         F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    q = quantiles(counts, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ("column_name",))
+    wanted = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    if exact:
+        q = quantiles(long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")), wanted, ("column_name",))
+    else:
+        q = sketched_quantiles(df, list(cols), wanted)
     out = stats.join(q, "column_name", "left")  # one row per column on both sides
     return out.select("column_name", "count", "mean", "std", "min",
                       *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")], "max")
@@ -205,13 +224,16 @@ def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
     return df.groupBy(row).agg(*[F.count_if(F.col(col) == F.lit(v)).alias(f"{col}_{v}") for v in values])
 
 
-def box_stats(df: DataFrame, value: str, by: str = TARGET) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: str = TARGET, exact: bool = True) -> DataFrame:
     """Quartiles, 1.5*IQR whiskers and outlier count per group, all from the
-    counted (group, value) pairs; raw rows are shuffled by none of them."""
+    counted (group, value) pairs; raw rows are shuffled by none of them.
+    With ``exact=False`` the quartiles come from quantile sketches."""
     hist = df.groupBy(by, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
              .filter(F.col("value").isNotNull())
     ends = hist.groupBy(by).agg(F.min("value").alias("min"), F.max("value").alias("max"))
-    stats = ends.join(quantiles(hist, {"q1": 0.25, "median": 0.5, "q3": 0.75}, (by,)), by)
+    wanted = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    q = quantiles(hist, wanted, (by,)) if exact else sketched_quantiles(df, [value], wanted, [by]).drop("column_name")
+    stats = ends.join(q, by)
     stats = stats.withColumns({"lo_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                                "hi_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     joined = hist.join(broadcast_if_small(stats.select(by, "lo_fence", "hi_fence")), by)

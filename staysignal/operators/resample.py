@@ -6,7 +6,7 @@ A ``row_number() over (partition by label ...)`` puts a whole class in one
 task -- with two classes, half the table per task.  Instead every row gets a
 deterministic hash ``h`` and a bucket ``b = h * B / H``:
 
-1. count rows per (stratum, bucket)  -- a partial aggregate, <= strata x B rows;
+1. count rows per (stratum, bucket)  -- a partial aggregate, <= strata x B rows (B follows the row count);
 2. running count of earlier buckets per stratum -- a window over that small
    table, joined back on (stratum, bucket) (broadcast only if the planner
    measures it to be small: the strata are the caller's columns);
@@ -34,11 +34,16 @@ def row_hash(key: Column, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HASH_HEX_DIGITS), 16, 10).cast("bigint")
 
 
+BUCKET_ROWS = 20_000
+
+
 def stratified_rank(df: DataFrame, key: str, strata: list[str] | None = None, seed: int = 42,
-                    buckets: int = 1024) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Adds ``__h`` (hash), ``rank`` (0-based position in the stratum by
-    (hash, key)) and ``stratum_n`` (stratum size)."""
+    (hash, key)) and ``stratum_n`` (stratum size).  The number of hash buckets
+    follows the row count (BUCKET_ROWS each); ranks don't depend on it."""
     strata = list(strata or [])
+    buckets = buckets or max(1, -(-df.count() // BUCKET_ROWS))
     h = row_hash(F.col(key), seed)
     d = df.withColumn("__h", h).withColumn("__b", (F.col("__h") / float(HASH_MOD) * buckets).cast("int"))
     counts = d.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__cnt"))

@@ -47,17 +47,17 @@ def chi_square(df: DataFrame, a: str, b: str, correction: bool = True) -> DataFr
     wa, wb, w = Window.partitionBy(a), Window.partitionBy(b), Window.partitionBy()
     c = cells.select(
         "o", F.sum("o").over(wa).alias("ra"), F.sum("o").over(wb).alias("cb"), F.sum("o").over(w).alias("n"),
-        F.count(F.lit(1)).over(wa).alias("cells_a"), F.count(F.lit(1)).over(wb).alias("cells_b"),
-        F.size(F.collect_set(a).over(w)).alias("r"), F.size(F.collect_set(b).over(w)).alias("k"))
+        F.count(F.lit(1)).over(wa).alias("cells_a"), F.count(F.lit(1)).over(wb).alias("cells_b"))
     e = F.col("ra") * F.col("cb") / F.col("n")
+    r, k = (F.round(F.sum(F.lit(1.0) / F.col(x))) for x in ("cells_a", "cells_b"))  # a level's cells add up to one
     agg = c.agg(
         (F.sum(F.pow(F.col("o") - e, 2) / e)
-         + F.when(F.count(F.lit(1)) == F.first("r") * F.first("k"), 0.0).otherwise(F.first("n") - F.sum(e)))
+         + F.when(F.count(F.lit(1)) == r * k, 0.0).otherwise(F.first("n") - F.sum(e)))
         .alias("plain"),
         F.max(F.abs(F.col("o") - e)).alias("d"), F.first("n").alias("n"),
         F.sum(F.lit(1.0) / (F.col("ra") * F.col("cells_a"))).alias("inv_r"),
         F.sum(F.lit(1.0) / (F.col("cb") * F.col("cells_b"))).alias("inv_c"),
-        ((F.first("r") - 1) * (F.first("k") - 1)).cast("bigint").alias("dof"))
+        ((r - 1) * (k - 1)).cast("bigint").alias("dof"))
     d = F.col("d")
     yates = F.pow(d - F.least(F.lit(0.5), d), 2) * F.col("n") * F.col("inv_r") * F.col("inv_c")
     stat = F.when((F.col("dof") == 1) & F.lit(bool(correction)), yates).otherwise(F.col("plain"))
@@ -140,3 +140,8 @@ def t_pvalue(t: float, dof: float) -> float:
     if t is None or dof is None or dof <= 0 or math.isnan(t):
         return float("nan")
     return betainc(dof / 2.0, 0.5, dof / (dof + t * t))
+
+
+def decision(result, level: float = 0.05) -> str:
+    """Whether equal means are rejected at ``level`` by a t test's one-row result."""
+    return "reject" if t_pvalue(result["t_stat"], result["dof"]) < level else "fail to reject"

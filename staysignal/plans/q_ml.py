@@ -381,19 +381,24 @@ oracle("ml_select_fixed", with_ctes(
 
 # --- clustering -------------------------------------------------------------------
 
+def clusters(spark, sf):
+    """Customers with their k-means cluster, fitted once per application."""
+    return _memo_table(spark, sf, "clusters", lambda: CL.kmeans(cust(spark, sf), k=4))
+
+
 @query("kmeans")
 def q_kmeans(spark, sf):
-    return CL.kmeans(cust(spark, sf), k=4).select(ID_COL, "Cluster")
+    return clusters(spark, sf).select(ID_COL, "Cluster")
 
 
 @query("cluster_browse")
 def q_cluster_browse(spark, sf):
-    return CL.kmeans(cust(spark, sf), k=4).filter(F.col("Cluster") == "Cluster 1")
+    return clusters(spark, sf).filter(F.col("Cluster") == "Cluster 1")
 
 
 @query("kmeans_cluster_summary")
 def q_kmeans_cluster_summary(spark, sf):
-    return CL.cluster_summary(CL.kmeans(cust(spark, sf), k=4))
+    return CL.cluster_summary(clusters(spark, sf))
 
 
 @query("silhouette_sweep")
@@ -405,7 +410,7 @@ def q_silhouette_sweep(spark, sf):
 
 @query("pca_2d")
 def q_pca_2d(spark, sf):
-    out, var = CL.pca_2d(CL.kmeans(cust(spark, sf), k=4))
+    out, var = CL.pca_2d(clusters(spark, sf))
     return out.withColumns({"var_pc1": F.lit(var[0]), "var_pc2": F.lit(var[1])})
 
 

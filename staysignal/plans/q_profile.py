@@ -23,7 +23,9 @@ def q_churn_overview(spark, sf):
 
 
 oracle("churn_overview", with_ctes(
-    "SELECT Churn, COUNT(*) AS n, ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 4) AS share_pct "
+    "SELECT Churn, COUNT(*) AS n, ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 4) AS share_pct, "
+    "ROUND(COALESCE(SUM(COUNT(*) FILTER (WHERE Churn = 0)) OVER (), 0) / CAST(GREATEST(COALESCE(SUM(COUNT(*) FILTER "
+    "(WHERE Churn = 1)) OVER (), 0), 1) AS DOUBLE), 4) AS imbalance_ratio "
     "FROM cust GROUP BY Churn"))
 
 
@@ -335,3 +337,20 @@ def _bin_sql(col: str, bins: int) -> str:
 oracle("scatter_sample", with_ctes(
     f"SELECT Churn, {_bin_sql('tenure', 20)} AS x_bin, {_bin_sql('MonthlyCharges', 20)} AS y_bin, COUNT(*) AS n "
     "FROM cust GROUP BY ALL"))
+
+
+# --- the same tables from mergeable sketches (stated error, one scan); tests compare them with the exact ones ---------
+
+@query("describe_sketched")
+def q_describe_sketched(spark, sf):
+    return P.describe(cust(spark, sf), exact=False)
+
+
+@query("box_stats_sketched")
+def q_box_stats_sketched(spark, sf):
+    return P.box_stats(cust(spark, sf), "MonthlyCharges", exact=False)
+
+
+@query("column_profile_sketched")
+def q_column_profile_sketched(spark, sf):
+    return P.column_profile_sketched(raw(spark, sf))

@@ -134,14 +134,18 @@ oracle("t_test_pooled", with_ctes(_POOLED_SQL))
 
 @query("t_test_welch")
 def q_t_test_welch(spark, sf):
-    return ST.t_test_welch(cust(spark, sf), "tenure", F.col("Churn"), 1, 0)
+    """Welch's test with its decision at the 5 % level (the p-value of the one-row result)."""
+    out = ST.t_test_welch(cust(spark, sf), "tenure", F.col("Churn"), 1, 0)
+    return out.withColumn("decision", F.lit(ST.decision(out.first())))
 
 
 _WELCH_SQL = (
     "SELECT ROUND((m1 - m2) / SQRT(v1 / n1 + v2 / n2), 6) AS t_stat, ROUND((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) "
     "/ ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1)), 6) AS dof, n1, n2, "
     "ROUND(m1, 6) AS mean1, ROUND(m2, 6) AS mean2 FROM (" + _moments_sql("tenure", "Churn = 1", "Churn = 0") + ") m")
-oracle("t_test_welch", with_ctes(_WELCH_SQL))
+oracle("t_test_welch", with_ctes(
+    f"SELECT w.*, CASE WHEN {_tail_sql(_STUDENT, 'ABS(t_stat)')} < 0.05e0 THEN 'reject' ELSE 'fail to reject' END AS decision "
+    f"FROM ({_WELCH_SQL}) w"))
 
 
 @query("t_test_pvalues")

@@ -12,7 +12,9 @@ from ..operators import clean as K
 from ..operators import evaluate as EV
 from ..operators import scoring as S
 from ..operators import segments as G
+from ..session import shared_path
 from ..sources.tables import read_table
+from ..streaming import history as H
 from .catalog import query
 from .context import cust, raw
 from .oracle import oracle
@@ -189,12 +191,19 @@ oracle("expected_months", with_ctes(f"SELECT customerID, {_EXPECTED_SQL} AS expe
 
 @query("recent_predictions")
 def q_recent_predictions(spark, sf):
-    ev = read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type", "value"])
-    return G.top_n(ev, [F.desc("ts"), F.desc("event_id")], 20)
-
-
-oracle("recent_predictions", "SELECT event_id, ts, user_id, event_type, value FROM events "
-       "ORDER BY ts DESC, event_id DESC LIMIT 20")
+    """Requests (the events' users) land as files, a stream scores them into the history, whose newest rows are read."""
+    landing, path, chk = (shared_path(spark, n) for n in ("requests", "history", "history-chk"))
+    ev = read_table(spark, sf, "events", ["event_id", "ts", "user_id"])
+    ev.select("event_id", "ts", F.concat(F.lit("C"), F.col("user_id").cast("string")).alias(ID_COL)) \
+      .repartition(4).write.parquet(landing)
+    H.start_history(spark, landing, batch_input(spark, sf), path, chk, files_per_batch=2).awaitTermination()
+    return H.recent(spark.read.parquet(path))
+
+
+oracle("recent_predictions", bsql(
+    "SELECT event_id, ts, customerID, Contract, tenure, MonthlyCharges, InternetService, TechSupport, Churn_Probability, "
+    "Prediction, Risk_Level, CLV_Estimate, Revenue_at_Risk FROM bsc JOIN events ON customerID = "
+    "CONCAT('C', CAST(user_id AS VARCHAR(20))) ORDER BY ts DESC, event_id DESC LIMIT 20"))
 
 
 @query("head_preview")
