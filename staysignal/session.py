@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,26 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once per application: they then find it whatever folder the
+    driver was started in.  Spark serves the file; tasks on other machines read nothing of the driver's disk."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="staysignal-modules-"), "staysignal_modules.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith((".py", ".txt"))):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.join("staysignal", os.path.relpath(full, home)))
+    sc.addPyFile(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -48,6 +70,7 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     cluster session without a shared folder is an error, because a
     machine-local folder would not survive the loss of an executor.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
