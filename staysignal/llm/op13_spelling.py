@@ -32,6 +32,7 @@ LEAST_COUNT = 2
 RATIO = 10  # a form is at least so many times as frequent
 HOME = 512  # home words of a sub-block
 TILE = 2048  # words multiplied at once
+BROADCAST_BLOCKS = 400_000  # block sizes of some 20 bytes each
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 DELETE = 31
 HELD_WORDS = 1 << 18
@@ -110,6 +111,14 @@ def adjacent(m: int) -> np.ndarray:
     return np.array([np.zeros(m, np.int64), *eye, *moved])
 
 
+def keys_of(counts: np.ndarray) -> pa.Array:
+    """Each row of class counts as bytes: one for a count, four in a row with counts above 255."""
+    if not len(counts) or counts.max() < 256:
+        raw = np.ascontiguousarray(counts.astype(np.uint8))
+        return pa.Array.from_buffers(pa.binary(counts.shape[1]), len(counts), [None, pa.py_buffer(raw)]).cast(pa.binary())
+    return pa.array([row.astype(np.uint8 if row.max() < 256 else "<u4").tobytes() for row in counts], pa.binary())
+
+
 def placed(words: DataFrame, classes: np.ndarray, m: int, visits: bool) -> DataFrame:
     """bucket, word, n and home of every word: its own block and, with ``visits``, the adjacent ones."""
     steps = adjacent(m) if visits else adjacent(m)[:1]
@@ -122,10 +131,7 @@ def placed(words: DataFrame, classes: np.ndarray, m: int, visits: bool) -> DataF
                     at = own + step
                     some = np.flatnonzero((at >= 0).all(axis=1))
                     rows = part.take(pa.array(some))
-                    raw = np.ascontiguousarray(at[some].astype("<u4"))
-                    keys = pa.Array.from_buffers(pa.binary(4 * m), len(some), [None, pa.py_buffer(raw)])
-                    yield pa.RecordBatch.from_arrays([keys.cast(pa.binary()), *rows.columns,
-                                                      pa.array(np.full(len(some), k == 0))],
+                    yield pa.RecordBatch.from_arrays([keys_of(at[some]), *rows.columns, pa.array(np.full(len(some), k == 0))],
                                                      names=["bucket", "word", "n", "home"])
     return words.select("word", "n").mapInArrow(f, "bucket binary, word string, n long, home boolean")
 
@@ -174,7 +180,9 @@ def near_words(words: DataFrame, home: int = HOME) -> DataFrame:
     total = words.count()
     m = max(4, round(math.log2(max(2, total)) / 3))  # finer blocks for more words
     classes = letter_classes(words, m)
-    sizes = placed(words, classes, m, visits=False).groupBy("bucket").agg(F.count("*").alias("size"))
+    sizes = written(placed(words, classes, m, visits=False).groupBy("bucket").agg(F.count("*").alias("size")), "blocks")
+    if sizes.count() <= BROADCAST_BLOCKS:  # otherwise a shuffled join of the same rows
+        sizes = F.broadcast(sizes)
     members = placed(words, classes, m, visits=True).join(sizes, "bucket")
     met = in_blocks(members, "bucket", "size", "word", home)
 
