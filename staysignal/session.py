@@ -48,6 +48,8 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Send this package's modules to the Python workers, once per application: they then find it whatever folder the
     driver was started in.  Spark serves the file; tasks on other machines read nothing of the driver's disk."""
+    if not isinstance(spark, SparkSession):  # a stand-in without workers
+        return
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -70,10 +72,10 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     cluster session without a shared folder is an error, because a
     machine-local folder would not survive the loss of an executor.
     """
-    ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
+        ship_package(spark)
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or fallback
     if not configured:
@@ -81,6 +83,7 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS/S3)")
         configured = tempfile.mkdtemp(prefix="staysignal-checkpoints-")
     sc.setCheckpointDir(configured)
+    ship_package(spark)
     return sc.getCheckpointDir() or configured
 
 
