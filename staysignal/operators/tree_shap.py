@@ -79,6 +79,8 @@ class Tree:
         kinds = (np.int64, float, bool, np.int64, np.int64, float, float)
         self.feature, self.threshold, self.is_left, self.parent, self.before, self.share, self.value = (
             np.array(c, k) for c, k in zip(columns, kinds))
+        self.order = np.argsort(self.feature, kind="stable")
+        self.first = np.flatnonzero(np.diff(self.feature[self.order], prepend=-1))  # edges of one feature
         # the product over a path of d features has degree d - 1 in t, beside the attributed one
         points, weights = np.polynomial.legendre.leggauss(max(1, (len(self.levels) + 1) // 2))
         self.t, self.weights = (points + 1) / 2, weights / 2
@@ -104,11 +106,13 @@ class Tree:
         gain[again] -= gain[self.before[again]] if len(again) else 0
         for lo, hi in self.levels[1:]:
             step[lo:hi] *= step[self.parent[lo:hi]]
-        total = step * self.value[:, None, None]
+        step *= self.value[:, None, None]
+        total = step
         for lo, hi in reversed(self.levels[1:]):
-            np.add.at(total, self.parent[lo:hi], total[lo:hi])
-        part = (gain * total) @ self.weights  # edges x rows
-        np.add.at(out.T, self.feature, part)
+            total[self.parent[lo:hi:2]] += total[lo:hi:2] + total[lo + 1:hi:2]  # the two children of a node lie together
+        gain *= total
+        part = gain @ self.weights  # edges x rows
+        out[:, self.feature[self.order[self.first]]] += np.add.reduceat(part[self.order], self.first).T
 
 
 def trees_of(classifier) -> list[Tree]:
@@ -134,6 +138,9 @@ def tree_shap(flow: PipelineModel, rows: DataFrame, id_col: str, names: list[str
     trees = trees_of(flow.stages[-1])
     sent = rows.sparkSession.sparkContext.broadcast(trees)  # as large as the model
     p = vector_to_array(F.col("probability"))[1]
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows.rdd.getNumPartitions() < spread:  # a few large partitions would leave cores idle
+        rows = rows.repartition(spread)
     scored = flow.transform(rows).select(F.col(id_col).cast("string").alias(id_col), vector_to_array("features").alias("x"),
                                          p.alias("p"))
 
