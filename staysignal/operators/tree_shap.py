@@ -4,8 +4,9 @@ A leaf gives a row's feature i the share v * (o_i - z_i) * sum over subsets S of
 |S|! (d - |S| - 1)! / d! * prod_{j in S} o_j * prod_{j not in S} z_j, where o_j says whether the row follows all of the
 path's splits on j and z_j is the share of training weight (cover) that does.  The subset weights are the integrals of
 t^|S| (1 - t)^(d - |S| - 1) over 0..1, so the sum is the integral of prod_j (z_j (1 - t) + o_j t), a polynomial that
-Gauss-Legendre points integrate exactly.  For each point, products run down the trees and sums of leaves come back up:
-every edge is visited once for a batch of rows, rows aren't copied, and nothing is sampled.
+Gauss-Legendre points integrate exactly.  The shares of a leaf depend on a row only through the o_j of its path, one
+bit for each feature: they are computed once for every pattern of bits and looked up by all rows of a batch.  Rows
+aren't copied, and nothing is sampled.
 
 The node table is read from the saved model; it is as large as the model and travels to the tasks as arrays.
 """
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ..session import drop_path, shared_path
 
-ROWS = 128  # rows explained at once in a task
+ROWS = 16_384  # rows explained at once in a task
+MOST_PATTERNS = 8_192  # a leaf with more patterns has those computed that the rows at hand show
 
 
 def node_table(classifier) -> tuple[DataFrame, str]:
@@ -55,64 +57,84 @@ def node_table(classifier) -> tuple[DataFrame, str]:
 
 
 class Tree:
-    """One tree as arrays over its edges (an edge leads to a node other than the root), level by level."""
+    """One tree as its edges in depth-first order (an edge leads to a node other than the root).
+
+    On a path every feature has a bit, in the order of its first split; a row's pattern at an edge says which features
+    it follows so far.  A leaf's attributions depend on the row through the pattern alone, so they are computed once a
+    pattern and looked up by the rows.
+    """
 
     def __init__(self, nodes: dict[int, tuple]):
-        edges: list[tuple] = []  # feature, threshold, is_left, parent edge, earlier edge of the feature, z, leaf value
-        self.levels: list[tuple[int, int]] = []
-        # (node, edge that leads to it, latest edge of each feature on its path with its z)
-        level = [(0, -1, {})]
-        while level:
-            following, start = [], len(edges)
-            for node, edge, latest in level:
-                feature, threshold, left, right, cover, _ = nodes[node]
-                for child, side in ((left, True), (right, False)) if feature >= 0 else ():
-                    before, z = latest.get(feature, (-1, 1.0))
-                    z *= nodes[child][4] / cover
-                    value = nodes[child][5] if nodes[child][0] < 0 else 0.0
-                    following.append((child, len(edges), {**latest, feature: (len(edges), z)}))
-                    edges.append((feature, threshold, side, edge, before, z, value))
-            if len(edges) > start:
-                self.levels.append((start, len(edges)))
-            level = following
-        columns = list(zip(*edges)) if edges else [()] * 7
-        kinds = (np.int64, float, bool, np.int64, np.int64, float, float)
-        self.feature, self.threshold, self.is_left, self.parent, self.before, self.share, self.value = (
-            np.array(c, k) for c, k in zip(columns, kinds))
-        self.order = np.argsort(self.feature, kind="stable")
-        self.first = np.flatnonzero(np.diff(self.feature[self.order], prepend=-1))  # edges of one feature
-        # the product over a path of d features has degree d - 1 in t, beside the attributed one
-        points, weights = np.polynomial.legendre.leggauss(max(1, (len(self.levels) + 1) // 2))
-        self.t, self.weights = (points + 1) / 2, weights / 2
+        # (depth, feature, threshold, is_left, bit, is_new, leaf), leaf: (features, shares of cover, value) or None
+        self.edges: list[tuple] = []
+        todo = [(0, 0, {})]  # node, depth, {feature: (bit, z)} in bit order; then the edge that leads to it
+        while todo:
+            node, depth, path, *edge = todo.pop()
+            feature, threshold, left, right, cover, value = nodes[node]
+            if edge:
+                leaf = (np.array(list(path)), np.array([z for _, z in path.values()]), value) if feature < 0 else None
+                self.edges.append((depth - 1, *edge, leaf))
+            for child, is_left in ((right, False), (left, True)) if feature >= 0 else ():
+                bit, z = path.get(feature, (len(path), 1.0))
+                share = z * nodes[child][4] / cover
+                todo.append((child, depth + 1, {**path, feature: (bit, share)}, feature, threshold, is_left, bit, feature not in path))
         self.base = sum(n[5] * n[4] for n in nodes.values() if n[0] < 0) / nodes[0][4]
 
     def add(self, x: np.ndarray, out: np.ndarray) -> None:
         """Add the attributions of the rows ``x`` to ``out`` (rows x features)."""
-        if not len(self.feature):
+        if not self.edges:
             return
-        follows = (x[:, self.feature].T <= self.threshold[:, None]) == self.is_left[:, None]
-        first = self.before < 0
-        for lo, hi in self.levels:  # a row follows a feature's splits so far
-            k = np.arange(lo, hi)[~first[lo:hi]]
-            follows[k] &= follows[self.before[k]]
-        z = self.share[:, None] * (1 - self.t)  # edges x points
-        met = z + self.t
-        factor = np.where(follows[:, :, None], met[:, None, :], z[:, None, :])
-        gain = np.where(follows[:, :, None], ((1 - self.share)[:, None] / met)[:, None, :],
-                        np.broadcast_to(-1 / (1 - self.t), z.shape)[:, None, :])
-        again = np.flatnonzero(~first)
-        step = factor.copy()
-        step[again] /= factor[self.before[again]]
-        gain[again] -= gain[self.before[again]] if len(again) else 0
-        for lo, hi in self.levels[1:]:
-            step[lo:hi] *= step[self.parent[lo:hi]]
-        step *= self.value[:, None, None]
-        total = step
-        for lo, hi in reversed(self.levels[1:]):
-            total[self.parent[lo:hi:2]] += total[lo:hi:2] + total[lo + 1:hi:2]  # the two children of a node lie together
-        gain *= total
-        part = gain @ self.weights  # edges x rows
-        out[:, self.feature[self.order[self.first]]] += np.add.reduceat(part[self.order], self.first).T
+        columns = np.ascontiguousarray(x.T)
+        own, found = np.zeros(columns.shape), np.empty(len(x))
+        at = [np.zeros(len(x), np.intp)]  # patterns of the current path, by depth
+        for depth, feature, threshold, is_left, bit, is_new, leaf in self.edges:
+            follows = (columns[feature] <= threshold) == is_left
+            pattern = at[depth] | (follows.astype(np.intp) << bit) if is_new else at[depth] & ~((~follows).astype(np.intp) << bit)
+            if leaf is None:
+                at[depth + 1:] = [pattern]
+                continue
+            features, z, value = leaf
+            if 1 << len(z) > MOST_PATTERNS:
+                met, pattern = np.unique(pattern, return_inverse=True)
+                table = shares(z, value, met)
+            else:
+                table = shares(z, value)
+            for j, f in enumerate(features):
+                np.take(table[j], pattern, out=found, mode="clip")
+                own[f] += found
+        out += own.T
+
+
+def shares(z: np.ndarray, value: float, patterns: np.ndarray | None = None) -> np.ndarray:
+    """Attributions (features x patterns) of a leaf's features for each of ``patterns`` (all 2^d unless given)."""
+    d = len(z)
+    # the product over the other features has degree d - 1 in t
+    points, weights = np.polynomial.legendre.leggauss((d + 1) // 2) if d not in _POINTS else _POINTS[d]
+    _POINTS[d] = points, weights
+    t = (points + 1) / 2
+    left_out = z[:, None] * (1 - t)  # features x points
+    met = left_out + t
+    if patterns is None:
+        patterns = np.arange(1 << d)
+        product = (weights / 2 * value)[:, None]  # points x patterns of the bits so far
+        for j in range(d):
+            product = np.hstack([product * left_out[j][:, None], product * met[j][:, None]])
+    else:
+        product = np.repeat((weights / 2 * value)[:, None], len(patterns), axis=1)
+        for j in range(d):
+            product *= np.where(patterns >> j & 1, met[j][:, None], left_out[j][:, None])
+    bits = (patterns >> np.arange(d)[:, None] & 1).astype(bool)
+    return np.where(bits, ((1 - z)[:, None] / met) @ product, (-1 / (1 - t)) @ product)
+
+
+_POINTS: dict[int, tuple] = {}  # Gauss-Legendre points and weights by number of features
+
+
+def attributions(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    out = np.zeros(x.shape)
+    for tree in trees:
+        tree.add(x, out)
+    return out
 
 
 def trees_of(classifier) -> list[Tree]:
@@ -125,13 +147,6 @@ def trees_of(classifier) -> list[Tree]:
     return [Tree(found[t]) for t in sorted(found)]
 
 
-def attributions(x: np.ndarray, trees: list[Tree]) -> np.ndarray:
-    out = np.zeros(x.shape)
-    for tree in trees:
-        tree.add(x, out)
-    return out
-
-
 def tree_shap(flow: PipelineModel, rows: DataFrame, id_col: str, names: list[str]) -> tuple[DataFrame, float]:
     """((id, feature, x, contribution, p), base) for every row and feature: a row's contributions add up to its
     probability (its log odds for boosting) less ``base``, the expected value over the training weight."""

@@ -94,3 +94,31 @@ def test_attribution_bins(spark):
     assert sum(r.n for k, r in got.items() if k[0] == "a") == 100 and got[("a", 9)].value == 94.5
     assert all(abs(r.contribution - 2 * r.value) < 1e-6 for k, r in got.items() if k[0] == "a")
     assert EV.attribution_bins(spark.createDataFrame([], "feature string, x double, contribution double")).count() == 0
+
+
+def test_long_paths_compute_the_patterns_of_their_rows(monkeypatch):
+    """A chain that splits on 14 features: 2^14 patterns a leaf, of which 50 rows show at most 50."""
+    d = 14
+    nodes = {}
+    for i in range(d):
+        nodes[2 * i] = (i, 0.5, 2 * i + 1, 2 * i + 2, float(2 * d - i), 0.0)
+        nodes[2 * i + 1] = (-1, None, -1, -1, 1.0, i / d)
+    nodes[2 * d] = (-1, None, -1, -1, float(d), 1.0)
+    tree, x, sizes, plain = TS.Tree(nodes), np.random.default_rng(3).random((50, d)), [], TS.shares
+    monkeypatch.setattr(TS, "shares", lambda *a: (lambda t: sizes.append(t.shape[1]) or t)(plain(*a)))
+    got = TS.attributions(x, [tree])
+    assert max(sizes) <= TS.MOST_PATTERNS
+    monkeypatch.setattr(TS, "MOST_PATTERNS", 1 << d)
+    assert np.allclose(got, TS.attributions(x, [tree]), atol=1e-12)
+    first = np.where((x <= 0.5).any(axis=1), (x <= 0.5).argmax(axis=1) / d, 1.0)
+    assert np.allclose(got.sum(axis=1), first - tree.base)
+
+
+def test_rows_share_the_work_of_a_pattern(monkeypatch):
+    """The shares of a leaf are computed once a batch, however many rows it has."""
+    nodes = {0: (0, 0.5, 1, 2, 10.0, 0.0), 1: (-1, None, -1, -1, 4.0, 0.2), 2: (1, 0.5, 3, 4, 6.0, 0.0),
+             3: (-1, None, -1, -1, 3.0, 0.5), 4: (-1, None, -1, -1, 3.0, 0.9)}
+    sizes, plain = [], TS.shares
+    monkeypatch.setattr(TS, "shares", lambda *a: (lambda t: sizes.append(t.size) or t)(plain(*a)))
+    TS.attributions(np.random.default_rng(1).random((5000, 2)), [TS.Tree(nodes)])
+    assert sizes and sum(sizes) <= 2 + 8 + 8
