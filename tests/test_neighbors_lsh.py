@@ -58,3 +58,19 @@ def test_repeated_vectors_and_tiny_tables(spark):
     assert L.knn_lsh(table(spark, x[:1]), "id", "v", k=2)[0].count() == 0
     empty = spark.createDataFrame([], "id long, v array<double>")
     assert L.knn_lsh(empty, "id", "v", k=2)[0].count() == 0
+
+
+def test_recall_counts_true_neighbours_and_sends_a_bounded_number_of_rows(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(600, 6))
+    base = table(spark, x).select("id", F.col("v").alias("vec"))
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1)
+    rows = [(i, int(j), float(d[i, j])) for i in range(600) for j in [*order[i, :3], order[i, 9]]]  # 3 of 4 are true
+    best = spark.createDataFrame(rows, "a long, b long, d2 double")
+    assert abs(L.measured_recall(best, base, 4, 6, queries=50) - 0.75) < 1e-9
+    frames = []
+    of = type(base).mapInArrow
+    monkeypatch.setattr(type(base), "mapInArrow", lambda self, *a, **k: frames.append(of(self, *a, **k)) or frames[-1])
+    L.measured_recall(best, base, 4, 6, queries=50)
+    assert len(frames) == 1 and frames[0].count() <= 4 * 50 * 4  # partitions x queries x k
