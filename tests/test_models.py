@@ -178,3 +178,31 @@ def test_tuning_returns_the_winner_of_all_folds(spark):
     won = [r for r in rows if r[-1]]
     assert len(won) == 1 and won[0][3] == 3 and won[0][2] == __import__("json").dumps(point, sort_keys=True)
     assert won[0][4] == max(r[4] for r in rows if r[3] == 3)
+
+
+def test_fitting_rows_have_a_bounded_number_of_partitions():
+    assert FL.partitions(0, 12) == 1 and FL.partitions(15_000, 12) == 1 and FL.partitions(90_000, 12) == 5
+    assert FL.partitions(900_000, 12) == 12  # one per core, not one per 20,000 rows
+    assert FL.partitions(900_000, 4) == 4 and FL.partitions(6_000_000, 12) == 24
+
+
+def test_few_files_of_fitting_rows_are_spread(spark):
+    rows = spark.range(50_000).coalesce(1).select(F.col("id").cast("string").alias("customerID"), F.lit(1.0).alias("weight"))
+    ready = FL.Prepared([], rows)
+    assert ready.rows == 50_000 and ready.frame.rdd.getNumPartitions() == 3
+    ready.drop()
+
+
+def test_forest_keeps_node_ids_beside_its_rows(spark):
+    assert M.estimators()["random_forest"].getCacheNodeIds()
+
+
+def test_restarts_run_together_and_the_cheapest_wins(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from staysignal.operators import cluster as CL
+    rows = [(float(i % 3) * 10 + i % 7 / 10, float(i % 2)) for i in range(120)]
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double"))
+    fits = CL.fits_of(data, [(3, s) for s in range(4)])
+    assert [m.getSeed() if hasattr(m, "getSeed") else i for i, m in enumerate(fits)] == list(range(4))
+    best = CL.best_kmeans(data, 3, 0, 4)
+    assert best.summary.trainingCost == min(m.summary.trainingCost for m in fits)
