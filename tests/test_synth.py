@@ -66,6 +66,64 @@ def test_label_propagation_recovers_separable_labels(spark):
     assert acc > 0.8
 
 
+def by_rows(rows, near, gamma, rounds):
+    """Propagation row by row over (key, label, vector): {key: (f0, f1)}; ``near`` is the neighbours' table."""
+    rep, node = {}, {}
+    for k, _, v in rows:
+        rep[v] = min(rep.get(v, k), k)
+    for k, _, v in rows:
+        node[k] = rep[v]
+    f = {k: (float(y == 0), float(y == 1)) for k, y, _ in rows}
+    for _ in range(rounds):
+        mean = {}
+        for n in set(node.values()):
+            held = [f[k] for k in node if node[k] == n]
+            mean[n] = np.mean(held, axis=0)
+        nxt = {}
+        for k, y, _ in rows:
+            edges = [(node[k], 1.0), *((r.nbr_id, np.exp(-gamma * r.dist2)) for r in near if r.k == k)]
+            new = sum(w * mean[n] for n, w in edges) / sum(w for _, w in edges)
+            nxt[k] = f[k] if y >= 0 else tuple(new)
+        f = nxt
+    return f
+
+
+def test_label_propagation_rounds_work_on_nodes_and_equal_those_on_rows(spark, monkeypatch):
+    from staysignal.operators import semi
+    rng = np.random.default_rng(7)
+    rows = [(i + 1, int(rng.integers(-1, 2)) if i % 3 == 0 else -1, (float(rng.integers(4)), float(rng.integers(4))))
+            for i in range(120)]  # at most 16 nodes
+    df = spark.createDataFrame([(k, y, list(v)) for k, y, v in rows], "k long, masked_label int, x array<double>")
+    sizes = {}
+
+    def written(table, name):
+        out = real(table, name)
+        sizes[name] = out.count()
+        return out
+    real = semi.written
+    monkeypatch.setattr(semi, "written", written)
+    got = {r.k: r for r in label_propagation(df, "k", "x", k=3, max_iter=4, gamma=0.5, exact=True).collect()}
+    nodes = len({v for _, _, v in rows})
+    assert sizes["edges"] == 4 * nodes and sizes["propagated"] == sizes["members"] == nodes
+    want = by_rows(rows, knn(df, "k", "x", k=3).collect(), 0.5, 4)
+    assert len(got) == len(rows)
+    for k, (f0, f1) in want.items():
+        assert got[k].rounds == 4 and not got[k].converged
+        assert got[k].p_churn is None if f0 + f1 == 0 else abs(got[k].p_churn - f1 / (f0 + f1)) < 1e-9
+
+
+def test_label_propagation_of_repeated_and_null_keys(spark):
+    rows = [(1, 1, [0.0, 0.0]), (1, -1, [0.0, 0.0]), (2, -1, [0.0, 0.0]), (2, -1, [5.0, 0.0]), (3, 0, [5.0, 0.0]),
+            (None, -1, [0.0, 0.0]), (None, 1, [9.0, 9.0]), (4, -1, [9.0, 9.0]), (5, None, [5.0, 0.0])]
+    df = spark.createDataFrame(rows, "k long, masked_label int, x array<double>")
+    out = label_propagation(df, "k", "x", k=1, max_iter=1, gamma=1.0, exact=True).collect()
+    assert sorted(str(r.k) for r in out) == sorted(str(r[0]) for r in rows)
+    got = {(r.k, r.masked_label): r for r in out}
+    assert got[(None, -1)].p_churn is None and got[(None, 1)].p_churn == 1.0  # a row without id only keeps its label
+    assert got[(1, 1)].p_churn == 1.0 and got[(3, 0)].p_churn == 0.0
+    assert got[(2, -1)].p_churn == got[(2, -1)].p_churn and 0.0 < got[(2, -1)].p_churn < 1.0  # hears both its nodes
+
+
 def test_permutation_shapley_sums_to_prediction_gap(spark):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
