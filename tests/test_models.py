@@ -206,3 +206,22 @@ def test_restarts_run_together_and_the_cheapest_wins(spark, monkeypatch):
     assert [m.getSeed() if hasattr(m, "getSeed") else i for i, m in enumerate(fits)] == list(range(4))
     best = CL.best_kmeans(data, 3, 0, 4)
     assert best.summary.trainingCost == min(m.summary.trainingCost for m in fits)
+
+
+def test_every_model_has_a_place_in_the_pool(spark):
+    assert sorted(M.LONGEST_FIRST) == sorted(M.estimators()) and sorted(["x", *M.LONGEST_FIRST], key=M._start)[-1] == "x"
+
+
+def test_a_fold_cuts_its_rows_for_the_fits_that_run_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(FL, "ROWS_PER_PARTITION", 100)
+    rows = spark.range(0, 3000, 1, 12).selectExpr("string(id) customerID", "int(id % 2) Churn", "double(id) features")
+    fold = M.Fold([], rows, rows)
+    cores = spark.sparkContext.defaultParallelism
+    for fits in (100, M.POOL, 3, 2, 1, 0):
+        fold.share(fits)
+        own = -(-cores // max(1, min(fits, M.POOL)))
+        assert fold.fitting.rdd.getNumPartitions() == min(own, fold.prepared.frame.rdd.getNumPartitions())
+        assert fold.fitting.count() == 3000 and fold.scored.count() == 3000
+    fold.share(100)
+    assert fold.fitting.rdd.getNumPartitions() == -(-cores // M.POOL)
+    fold.drop()
