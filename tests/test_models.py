@@ -208,6 +208,17 @@ def test_restarts_run_together_and_the_cheapest_wins(spark, monkeypatch):
     assert best.summary.trainingCost == min(m.summary.trainingCost for m in fits)
 
 
+def test_race_runs_long_draws_first_and_tells_a_fold_how_many_run():
+    told, asked = [], []
+    truth = {1: 0.1, 5: 0.5, 3: 0.9, 2: 0.7}
+    seen = M.race([1, 5, 3, 2], [0.0, 0.01, -0.01], lambda c, f: asked.append(c) or truth[c] + f, work=lambda c: c,
+                  start=lambda f, n: told.append((f, n)))
+    assert told == [(0.0, 4), (0.01, 2), (-0.01, 2)] and len(asked) == 8
+    assert [len(s) for s in seen] == [1, 1, 3, 3] and seen[2] == [0.9, 0.91, 0.89] and seen[3][0] == 0.7
+    assert M.work({"numTrees": 200, "maxDepth": 10}) > M.work({"numTrees": 300, "maxDepth": 5})
+    assert M.work({"maxIter": 80, "maxDepth": 3}) > M.work({"regParam": 0.1}) == 1
+
+
 def test_every_model_has_a_place_in_the_pool(spark):
     assert sorted(M.LONGEST_FIRST) == sorted(M.estimators()) and sorted(["x", *M.LONGEST_FIRST], key=M._start)[-1] == "x"
 
