@@ -230,9 +230,9 @@ def test_a_fold_cuts_its_rows_for_the_fits_that_run_at_a_time(spark, monkeypatch
     cores = spark.sparkContext.defaultParallelism
     for fits in (100, M.POOL, 3, 2, 1, 0):
         fold.share(fits)
-        own = -(-cores // max(1, min(fits, M.POOL)))
+        own = max(2, -(-cores // max(1, min(fits, M.POOL))))
         assert fold.fitting.rdd.getNumPartitions() == min(own, fold.prepared.frame.rdd.getNumPartitions())
         assert fold.fitting.count() == 3000 and fold.scored.count() == 3000
     fold.share(100)
-    assert fold.fitting.rdd.getNumPartitions() == -(-cores // M.POOL)
+    assert fold.fitting.rdd.getNumPartitions() == max(2, -(-cores // M.POOL))
     fold.drop()
