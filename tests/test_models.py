@@ -193,6 +193,16 @@ def test_few_files_of_fitting_rows_are_spread(spark):
     ready.drop()
 
 
+def test_fitting_rows_keep_their_bound_beyond_one_partition_per_core(spark, monkeypatch):
+    monkeypatch.setattr(FL, "MOST_ROWS_PER_PARTITION", 500)
+    rows = spark.range(12_000).select(F.col("id").cast("string").alias("customerID"), F.lit(1.0).alias("weight"))
+    ready = FL.Prepared([], rows)
+    sizes = [r["count"] for r in ready.frame.groupBy(F.spark_partition_id()).count().collect()]
+    assert ready.frame.rdd.getNumPartitions() == 24 and max(sizes) <= 550 and sum(sizes) == 12_000
+    assert ready.frame.select("customerID").distinct().count() == 12_000
+    ready.drop()
+
+
 def test_forest_keeps_node_ids_beside_its_rows(spark):
     assert M.estimators()["random_forest"].getCacheNodeIds()
 
