@@ -122,3 +122,46 @@ def test_rows_share_the_work_of_a_pattern(monkeypatch):
     monkeypatch.setattr(TS, "shares", lambda *a: (lambda t: sizes.append(t.size) or t)(plain(*a)))
     TS.attributions(np.random.default_rng(1).random((5000, 2)), [TS.Tree(nodes)])
     assert sizes and sum(sizes) <= 2 + 8 + 8
+
+
+def test_any_cut_into_blocks_gives_the_same(spark, monkeypatch):
+    """One block for as many leaves as fit, or one for each leaf, with all patterns or those of the rows."""
+    df, names, x = data(spark)
+    trees = TS.trees_of(RandomForestClassifier(numTrees=5, maxDepth=6, seed=3, weightCol="w").fit(df))
+    x = np.vstack([x, np.full((1, 4), np.nan)])
+    blocks = lambda: sum(block is not None for t in trees for *_, block in t.steps(len(x)))
+    monkeypatch.setattr(TS, "LOOKUP", 10**6)
+    few, want = blocks(), TS.attributions(x, trees)
+    monkeypatch.setattr(TS, "EACH", 10**12)
+    many = blocks()
+    assert many > 2 * few and np.allclose(TS.attributions(x, trees), want, atol=1e-12)
+    monkeypatch.setattr(TS, "MOST_PATTERNS", 1)
+    assert np.allclose(TS.attributions(x, trees), want, atol=1e-12)
+
+
+def test_neighbouring_leaves_are_looked_up_together(monkeypatch):
+    """Eight leaves under seven splits: one table for many rows, where each leaf had its own."""
+    nodes = {i: (i % 3, 0.1 * (i + 1), 2 * i + 1, 2 * i + 2, float(8 >> (i + 1).bit_length() - 1), 0.0) for i in range(7)}
+    nodes |= {7 + i: (-1, None, -1, -1, 1.0, i / 8) for i in range(8)}
+    calls, plain = [], TS.shares
+    monkeypatch.setattr(TS, "shares", lambda *a: calls.append(1) or plain(*a))
+    x, tree = np.random.default_rng(2).random((20_000, 3)), TS.Tree(nodes)
+    got = TS.attributions(x, [tree])
+    assert len(calls) == 1
+    leaf = np.zeros(len(x), int)
+    for _ in range(3):
+        leaf = np.where(x[np.arange(len(x)), leaf % 3] <= 0.1 * (leaf + 1), 2 * leaf + 1, 2 * leaf + 2)
+    assert np.allclose(got.sum(axis=1), (leaf - 7) / 8 - tree.base)
+
+
+def test_tables_are_computed_once_a_core(spark):
+    """A task computes the tables of all blocks, so there are no more tasks than cores and chunks of rows need."""
+    df, names, _ = data(spark)
+    flow, rows = PipelineModel([DecisionTreeClassifier(maxDepth=3).fit(df)]), df.select("id", "features")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found, _ = TS.tree_shap(flow, rows, "id", names)
+        assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and found.count() == 1200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
