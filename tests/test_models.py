@@ -246,3 +246,33 @@ def test_a_fold_cuts_its_rows_for_the_fits_that_run_at_a_time(spark, monkeypatch
     fold.share(100)
     assert fold.fitting.rdd.getNumPartitions() == max(2, -(-cores // M.POOL))
     fold.drop()
+
+
+def test_race_does_not_wait_for_the_last_score_of_a_fold():
+    """The best of four is sure to go on once three are scored; the fourth is scored until that one has been seen again."""
+    import threading
+    truth, again = [0.4, 0.3, 0.2, 0.1], threading.Event()
+
+    def score(c, f):
+        if f:
+            again.set()
+        return truth[c] + f if c < 3 or again.wait(20) else 1.0
+    seen = M.race(list(range(4)), [0.0, 0.01], score, finalists=2)
+    assert [len(s) for s in seen] == [2, 2, 1, 1] and seen[3] == [0.1]
+
+
+def test_race_raises_what_a_score_raises():
+    def score(c, f):
+        raise ValueError("no score")
+    with pytest.raises(ValueError, match="no score"):
+        M.race([1, 2, 3], [0, 1], score)
+
+
+def test_few_rows_stay_in_one_piece_while_fits_keep_the_cores_busy(spark):
+    rows = spark.range(0, 50_000, 1, 12).selectExpr("string(id) customerID", "int(id % 2) Churn", "double(id) features")
+    fold, cores = M.Fold([], rows, rows), spark.sparkContext.defaultParallelism
+    for fits, want in ((25, 1), (cores, 1), (1, min(cores, 3))):
+        fold.share(fits)
+        assert fold.fitting.rdd.getNumPartitions() == want and fold.fitting.count() == 50_000
+    assert M.at_a_time([fold]) == max(M.POOL, cores)
+    fold.drop()
