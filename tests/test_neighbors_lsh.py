@@ -74,3 +74,13 @@ def test_recall_counts_true_neighbours_and_sends_a_bounded_number_of_rows(spark,
     monkeypatch.setattr(type(base), "mapInArrow", lambda self, *a, **k: frames.append(of(self, *a, **k)) or frames[-1])
     L.measured_recall(best, base, 4, 6, queries=50)
     assert len(frames) == 1 and frames[0].count() <= 4 * 50 * 4  # partitions x queries x k
+
+
+def test_a_task_sends_no_whole_sample_to_the_driver(spark, monkeypatch):
+    """The rows of the lowest hashes, found among those below a bound; all rows if these are too few."""
+    base = spark.range(0, 20_000, 1, 16).selectExpr("string(id) id", "array(double(id)) vec").checkpoint()
+    want = base.orderBy(F.xxhash64("id", F.lit(7))).limit(100).collect()
+    asked, plain = [], type(base).orderBy
+    monkeypatch.setattr(type(base), "orderBy", lambda self, *a: asked.append(self.count()) or plain(self, *a))
+    assert L._lowest(base, 20_000, 100, 7) == want and len(asked) == 1 and 100 <= asked[0] < 400
+    assert L._lowest(base, 20_000_000, 100, 7) == want and len(asked) == 3  # far fewer rows than said
